@@ -70,16 +70,18 @@ class Words:
         inside = word[a]
         edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
         self.start, self.end = edge[0::2], edge[1::2]
-        self.hash = self._hash(a)
+        self.hash = self._hash(self.start, self.end)
         self.first = np.searchsorted(self.start, self.base)
 
-    def _hash(self, a: np.ndarray) -> np.ndarray:
-        out = np.empty(len(self.start), dtype=np.uint64)
+    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the byte ranges, which ascend and may not overlap."""
+        a = np.frombuffer(self.buf, dtype=np.uint8)
+        out = np.empty(len(start), dtype=np.uint64)
         i = 0
         while i < len(out):
-            lo = int(self.start[i])
-            j = max(i + 1, int(np.searchsorted(self.end, lo + PIECE, side="right")))
-            s, e = self.start[i:j] - lo, self.end[i:j] - lo
+            lo = int(start[i])
+            j = max(i + 1, int(np.searchsorted(end, lo + PIECE, side="right")))
+            s, e = start[i:j] - lo, end[i:j] - lo
             n = int(e[-1])
             p, q = _powers(max(n, 1 << 16))
             c = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[a[lo : lo + n]] * p[:n], dtype=np.uint64)))
@@ -87,6 +89,11 @@ class Words:
             i = j
         return out
 
+    def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words longer than k bytes, and hashes of their first k bytes, which no whole word shares."""
+        long = np.flatnonzero(self.end - self.start > k)
+        return long, mix(self._hash(self.start[long], self.start[long] + k) + np.uint64(k))
+
     def __len__(self) -> int:
         return len(self.first) - 1
 

@@ -7,22 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language
+from . import contamination, language, toxicity
 from ._base import table
 from .packing import pack
 
 WHITE = r"[^\x20\x09-\x0D]+"
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), _remainder(3) != 1)
+    got = toxicity.score(docs, model)
+    return got.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-def _remainder(n: int):
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
-
-
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, _remainder(5) != 0)
@@ -34,7 +41,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_benchmark_decontamination, op7_language_id, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op3_toxicity, op6_benchmark_decontamination, op7_language_id, op9_best_fit_packing)}
 
 
 #: Words of the window tables below: lower-cased A-Z, as lists.
