@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, substrings, toxicity
+from . import contamination, language, minhash, substrings, toxicity
 from ._base import table
 from .packing import pack
 
 WHITE = r"[^\x20\x09-\x0D]+"
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("class_id")
+
+
 def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
@@ -45,7 +49,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op4_substring_dedup, op6_benchmark_decontamination, op7_language_id, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_toxicity, op4_substring_dedup, op6_benchmark_decontamination, op7_language_id, op9_best_fit_packing)}
 
 
 #: Words of the window tables below: lower-cased A-Z, as lists.
@@ -78,5 +82,20 @@ FROM d LEFT JOIN ps USING (r)
 """
 
 
+_OP2 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(r'[^\x20\x09-\x0D]+')} AS w FROM documents),
+sh AS (SELECT DISTINCT r, doc_id, g FROM (
+  SELECT r, doc_id, array_to_string(w[s : s + 2], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM d WHERE len(w) >= 3)
+  UNION ALL SELECT r, doc_id, array_to_string(w, ' ') FROM d WHERE len(w) IN (1, 2))),
+n AS (SELECT r, doc_id, count(*) AS n FROM sh GROUP BY r, doc_id),
+p AS (SELECT a.r AS ra, b.r AS rb, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM p JOIN n x ON x.r = p.ra JOIN n y ON y.r = p.rb WHERE 100 * p.c >= 85 * (x.n + y.n - p.c)),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM d LEFT JOIN n ON n.r = d.r JOIN c ON c.a = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": _OP4, "op6_benchmark_decontamination": _OP6}
+    return {"op2_minhash_near_dedup": _OP2, "op4_substring_dedup": _OP4, "op6_benchmark_decontamination": _OP6}
