@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, minhash, substrings, toxicity
+from . import contamination, fingerprints, language, minhash, secrets, substrings, toxicity
 from ._base import table
 from .packing import pack
 
 WHITE = r"[^\x20\x09-\x0D]+"
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("class_id")
 
@@ -33,6 +37,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -49,7 +58,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_toxicity, op4_substring_dedup, op6_benchmark_decontamination, op7_language_id, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_minhash_near_dedup, op3_toxicity, op4_substring_dedup, op5_secret_scans, op6_benchmark_decontamination, op7_language_id, op9_best_fit_packing)}
 
 
 #: Words of the window tables below: lower-cased A-Z, as lists.
