@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, fingerprints, language, minhash, secrets, substrings, toxicity
+from . import contamination, fingerprints, language, minhash, pii, secrets, substrings, toxicity, urls
 from ._base import table
 from .packing import pack
 
@@ -53,12 +53,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_minhash_near_dedup, op3_toxicity, op4_substring_dedup, op5_secret_scans, op6_benchmark_decontamination, op7_language_id, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_minhash_near_dedup, op3_toxicity, op4_substring_dedup, op5_secret_scans, op6_benchmark_decontamination, op7_language_id, op8_pii_surrogates, op9_best_fit_packing, op10_url_filters)}
 
 
 #: Words of the window tables below: lower-cased A-Z, as lists.
