@@ -9,7 +9,6 @@ all blocks, so nothing that grows is broadcast at once.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,6 +177,30 @@ def term_counts(docs: DataFrame, block: Block) -> dict[int, int]:
     return {r[0]: r[1] for r in got}
 
 
+def _hold(docs: DataFrame, items: DataFrame, window: int) -> list:
+    sc = docs.sparkSession.sparkContext
+    return [sc.broadcast(b.ranked(term_counts(docs, b))) for b in blocks(items, window)]
+
+
+def _hits(held: list, w: Words, found: list[set[str]] | None = None) -> np.ndarray:
+    """Words of each document inside any occurrence of a window; `found` gets the items."""
+    edge = np.zeros(len(w.hash) + 1, dtype=np.int64)
+    doc = w.doc_of_word()
+    for one in held:
+        blk = one.value
+        win, start = phrases(blk, w)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + blk.length[win], -1)
+        if found is not None and len(win):
+            for d, i in np.unique(np.stack([doc[start], blk.item[win]], axis=1), axis=0).tolist():
+                found[d].add(blk.ids[i])
+    return np.bincount(doc[np.cumsum(edge[:-1]) > 0], minlength=len(w))
+
+
+def _contaminated(hit: np.ndarray, n: np.ndarray, min_share: float) -> np.ndarray:
+    return (hit > 0) & (round(1 / min_share) * hit >= n)
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, min_share: float = 0.05, slack: int | None = None) -> DataFrame:
     """Per document: n_words, the words inside any occurrence of an item's window (n_hit), the items with such windows,
     and whether it is contaminated (n_hit > 0 and n_hit >= min_share of the words). With `slack`, near_items counts the
@@ -186,37 +209,26 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, min_share
     A null or empty text has no words and no hits; repeated rows are judged one by one; no item: no hits.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sc = docs.sparkSession.sparkContext
-    held = [sc.broadcast(b.ranked(term_counts(docs, b))) for b in blocks(items, window)]
-    one_in = round(1 / min_share)
+    held = _hold(docs, items, window)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             w = Words(b.column(1).to_pylist(), PLAIN, True)
-            edge = np.zeros(len(w.hash) + 1, dtype=np.int64)
-            doc = w.doc_of_word()
             items_of: list[set[str]] = [set() for _ in range(len(w))]
+            hit, n = _hits(held, w, items_of), w.counts()
             near_of: list[set[str]] = [set() for _ in range(len(w))]
-            for one in held:
-                blk = one.value
-                win, start = phrases(blk, w)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + blk.length[win], -1)
-                for d, i in np.unique(np.stack([doc[start], blk.item[win]], axis=1), axis=0).tolist() if len(win) else ():
-                    items_of[d].add(blk.ids[i])
-                if slack is not None:
-                    win, at = proximity(blk, w, slack)
-                    for d, i in np.unique(np.stack([doc[at], blk.item[win]], axis=1), axis=0).tolist() if len(win) else ():
-                        near_of[d].add(blk.ids[i])
-            hit = np.bincount(doc[np.cumsum(edge[:-1]) > 0], minlength=len(w))
-            n = w.counts()
+            for one in held if slack is not None else ():
+                blk, doc = one.value, w.doc_of_word()
+                win, at = proximity(blk, w, slack)
+                for d, i in zip(doc[at].tolist(), blk.item[win].tolist(), strict=True):
+                    near_of[d].add(blk.ids[i])
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": b.column(0),
                     "n_words": pa.array(n, pa.int64()),
                     "n_hit": pa.array(hit, pa.int64()),
                     "items": pa.array([sorted(s) for s in items_of], pa.list_(pa.string())),
-                    "contaminated": pa.array((hit > 0) & (one_in * hit >= n), pa.bool_()),
+                    "contaminated": pa.array(_contaminated(hit, n, min_share), pa.bool_()),
                     "near_items": pa.array([len(s) for s in near_of] if slack is not None else [None] * len(w), pa.int64()),
                 }
             )
@@ -224,5 +236,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, min_share
     return docs.mapInArrow(judge, "doc_id long, n_words long, n_hit long, items array<string>, contaminated boolean, near_items long")
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = 13, min_share: float = 0.05) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated."""
+    held = _hold(docs.select("text"), items, window)
+    where = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            w = Words(b.column(where).to_pylist(), PLAIN, True)
+            yield b.filter(pa.array(~_contaminated(_hits(held, w), w.counts(), min_share)))
+
+    return docs.mapInArrow(keep, docs.schema)
