@@ -70,24 +70,23 @@ def differing_paragraphs(a: Column, b: Column) -> Column:
 
 
 def successors(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id) for the distinct ids of `ids`; the last id is followed by the first.
+    """(doc_id, half, next_id) for the distinct ids of `ids` (doc_id, half); the last id is followed by the first.
 
     Ids are ordered within ranges that approximate quantiles bound; the first id of each range follows the range before. So
-    no task orders all ids.
+    no task orders all ids. `half` is the largest of an id's rows.
     """
-    ids = ids.select("doc_id").where("doc_id is not null").distinct()
-    n = ids.count()
+    ids = ids.where("doc_id is not null").groupBy("doc_id").agg(F.max("half").alias("half"))
+    n, low = ids.agg(F.count("*"), F.min("doc_id")).first()
     if not n:
         return ids.withColumn("next_id", F.col("doc_id"))
     parts = max(2, min(RANGES, n // 5000))
     bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0]))
     spot = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("doc_id")))
     ids = settle(ids.withColumn("part", spot))
-    firsts = ids.groupBy("part").agg(F.min("doc_id").alias("first"))  # one row a range
-    following = firsts.select((F.row_number().over(Window.orderBy("part"))).alias("at"), "part", "first", F.lead("first").over(Window.orderBy("part")).alias("after"))
-    following = following.select("part", F.coalesce("after", F.min("first").over(Window.partitionBy())).alias("after"))
+    firsts = ids.groupBy("part").agg(F.min("doc_id").alias("first"))  # one row a range, RANGES at most
+    following = firsts.select("part", F.coalesce(F.lead("first").over(Window.orderBy("part")), F.lit(low)).alias("after"))
     led = ids.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
-    return led.join(F.broadcast(following), "part").select("doc_id", F.coalesce("next_id", "after").alias("next_id"))
+    return led.join(F.broadcast(following), "part").select("doc_id", "half", F.coalesce("next_id", "after").alias("next_id"))
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
@@ -98,17 +97,22 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     each of them is followed by the next larger id. A row without id is followed by an empty text. All characters are code points.
     """
     docs = texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    after = successors(docs)
-    held = docs.join(after, "doc_id", "left")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    following = docs.where("doc_id is not null")
-    if repeated:
-        following = following.groupBy("doc_id").agg(F.min("text").alias("text"))
-    pair = held.join(following.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text")), "next_id", "left").withColumn("next_text", F.coalesce("next_text", F.lit("")))
-    n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    pair = pair.select("doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.left("next_text", half)).alias("edited"), "next_text")
-    pair = pair.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), tree(F.col("text")).alias("t"), tree(F.col("edited")).alias("te"), tags(tree(F.col("next_text"))).alias("an"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    own, lost = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    after = successors(own.select("doc_id", half.alias("half")))
+    first = own
+    if own.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        first = own.groupBy("doc_id").agg(F.min("text").alias("text"))
+    # Texts move once, by doc_id; from there each row sends its predecessor the beginning that the edit takes, and its leaves.
+    packed = F.array_join(tags(tree(F.col("text"))), "")
+    sent = first.join(after.select(F.col("doc_id").alias("to"), "half", F.col("next_id").alias("doc_id")), "doc_id")
+    sent = sent.select(F.col("to").alias("doc_id"), F.left("text", F.col("half")).alias("beginning"), packed.alias("next_leaves"))
+    lost = lost.select("doc_id", "text", F.lit("").alias("beginning"), F.array_join(tags(tree(F.lit(""))), "").alias("next_leaves"))
+    pair = own.join(sent, "doc_id").select("doc_id", "text", "beginning", "next_leaves").unionByName(lost)
+    edited = F.concat(F.left("text", F.length("text") - half), F.left("beginning", half))
+    pair = pair.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "next_leaves")
+    leaves = F.transform(F.sequence(F.lit(0), F.floor(F.length("next_leaves") / 8).cast("int") - 1), lambda i: F.substring(F.col("next_leaves"), i * 8 + 1, F.lit(8)))
+    pair = pair.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), tree(F.col("text")).alias("t"), tree(F.col("edited")).alias("te"), leaves.alias("an"))
     pair = pair.select("doc_id", "n_chars", "edited_sha256", _section_hashes(F.col("t")).alias("s"), tags(F.col("t")).alias("a"), _section_hashes(F.col("te")).alias("se"), tags(F.col("te")).alias("ae"), "an")
     return pair.select(
         "doc_id", "n_chars", "edited_sha256",
