@@ -136,7 +136,7 @@ class Model:
                 bad = np.flatnonzero(nxt == DEAD)
                 if len(bad):
                     cb = c[bad]
-                    count[bad] += 1 + alone[cb]
+                    count[bad] += (state[bad] != 0) + alone[cb].astype(np.int64)
                     nxt[bad] = start[cb]
                 state = nxt.astype(np.int32)
             out[:, k] = np.bincount(owner, weights=count, minlength=len(docs)) * self.bits[k]

@@ -111,7 +111,7 @@ def _draw(e: DataFrame, key: str) -> DataFrame:
     full = None
     for g, names in NAMES.items():
         s = g.split("_")[1]
-        value = F.when(two, F.concat_ws(" ", _pick(names, h, 0), F.concat(_pick(FAMILY[s], h, 4), F.when(F.col("attempt") > 2, F.concat(F.lit("-"), _pick(FAMILY[s], h, 9)))))).otherwise(
+        value = F.when(two, F.concat_ws(" ", _pick(names, h, 0), F.concat(_pick(FAMILY[s], h, 4), F.when(F.col("attempt") > 2, F.concat(F.lit("-"), _pick(FAMILY[s], h, 9))).otherwise("")))).otherwise(
             F.concat(_pick(FAMILY[s], h, 4), F.when(F.col("attempt") > 2, F.concat(F.lit("-"), _pick(FAMILY[s], h, 9))).otherwise(""))
         )
         cond = F.concat_ws("_", F.col("gender"), script) == g

@@ -25,6 +25,7 @@ TERMS, LEAST_CHI = 2000, 20.0
 #: Examples in a block of postings; neighbours that vote; weight of the base rate beside their cosines.
 BLOCK, NEIGHBOURS, SMOOTHING = 64, 15, 2.0
 PREFIXES = (4, 5)
+EXAMPLE_BATCH = 1 << 19
 
 
 def _pairs(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -44,13 +45,18 @@ class Model:
     def __init__(self, ids: list[int], example_texts: list[str], labels: list[int], base_rate: float) -> None:
         self.ids, self.label, self.base_rate = np.array(ids, dtype=np.int64), np.array(labels, dtype=np.float64), base_rate
         self.texts = example_texts
-        d, t = _pairs(Words(example_texts, PLAIN, True))
-        terms, t = np.unique(t, return_inverse=True)
-        seen = np.unique(d * max(1, len(terms)) + t)
-        d, t = seen // max(1, len(terms)), seen % max(1, len(terms))
-        y = self.label[d] if len(d) else np.empty(0)
-        a = np.bincount(t, weights=y, minlength=len(terms))
-        c = np.bincount(t, minlength=len(terms)) - a
+        found, held = [], []  # each batch's terms, and how many of its examples of either label hold them
+        for lo, w in self._batches():
+            d, t = _pairs(w)
+            u, t = np.unique(t, return_inverse=True)
+            seen = np.unique(d * max(1, len(u)) + t)
+            y = self.label[lo + seen // max(1, len(u))]
+            a = np.bincount(seen % max(1, len(u)), weights=y, minlength=len(u))
+            found.append(u)
+            held.append(np.stack([a, np.bincount(seen % max(1, len(u)), minlength=len(u)) - a]))
+        terms, at = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_inverse=True)
+        both = np.concatenate(held, axis=1) if held else np.empty((2, 0))
+        a, c = (np.bincount(at, weights=x, minlength=len(terms)) for x in both)
         p, q = self.label.sum(), len(ids) - self.label.sum()
         n = p + q
         off = a * (q - c) - (p - a) * c
@@ -58,6 +64,15 @@ class Model:
         order = np.lexsort((terms, -chi))[:TERMS]
         self.terms = np.sort(terms[order[chi[order] > LEAST_CHI]])
 
+    def _batches(self) -> Iterator[tuple[int, Words]]:
+        """The examples' words, a bounded number of characters at once."""
+        lo = size = 0
+        for hi, t in enumerate([*self.texts, None]):
+            if hi > lo and (t is None or size + len(t) > EXAMPLE_BATCH):
+                yield lo, Words(self.texts[lo:hi], PLAIN, True)
+                lo, size = hi, 0
+            size += len(t or "")
+
     def counts(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, term number and occurrences of the index's terms, by document."""
         d, h = _pairs(w)
@@ -81,7 +96,8 @@ class Model:
         """Builds the postings, with idf from the whole corpus."""
         df = np.array([frequency.get(i, 0) for i in range(len(self.terms))], dtype=np.float64)
         self.idf = np.log((documents + 1) / (df + 1)) + 1
-        d, t, x = self.weights(Words(self.texts, PLAIN, True))
+        parts = [(d + lo, t, x) for lo, w in self._batches() for d, t, x in [self.weights(w)]]
+        d, t, x = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         self.blocks = -(-len(self.ids) // BLOCK)
         order = np.lexsort((d, t))
         self.example, self.weight = d[order], x[order]
@@ -147,7 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column) -> Model:
     rows.sort(key=lambda r: (-r["toxic"], r["doc_id"], r["text"]))
     total = size.get(0, 0) + size.get(1, 0)
     model = Model([r["doc_id"] for r in rows], [r["text"] for r in rows], [r["toxic"] for r in rows], size.get(1, 0) / total if total else 0.0)
+    texts, model.texts = model.texts, []
     held = docs.sparkSession.sparkContext.broadcast(model)
+    model.texts = texts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
