@@ -121,11 +121,17 @@ def _render(a: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(a), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
+def _with_random(found: DataFrame) -> DataFrame:
+    """Adds `random` to the rows of scan(). Only rows with runs are joined; all others would share one null key."""
+    plain = found.where("run_key is null").withColumn("random", F.array().cast("array<struct<start:int,end:int>>"))
+    mixed = found.where("run_key is not null").join(random_runs(found.select("runs", "run_key")), "run_key", "left")
+    return plain.unionByName(mixed.select(plain.columns))
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base, spans): `base` and `spans` list kind:start:end in the order of starts, then of
     KINDS, comma-joined; spans adds the random runs."""
-    found = settle(scan(docs.select("doc_id", "text")).drop("text"))
-    found = found.join(random_runs(found), "run_key", "left")
+    found = _with_random(settle(scan(docs.select("doc_id", "text")).drop("text")))
     base = F.concat(*[F.transform(k, _row(i)) for i, k in enumerate(KINDS[:3])])
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     extra = F.coalesce(F.transform("random", _row(3)), none)
@@ -136,10 +142,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """The rows of docs, all columns, with every secret's span in `text` replaced by `mask`; overlapping spans become one mask."""
     columns = docs.columns
     found = scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id"), F.col("text")))
-    hits = random_runs(found.select("doc_id", "runs", "run_key"))
-    plain = found.where("run_key is null").withColumn("random", F.array().cast("array<struct<start:int,end:int>>"))
-    mixed = found.where("run_key is not null").join(hits, "run_key", "left").select(*plain.columns)
-    found = plain.unionByName(mixed)
+    found = _with_random(found)
     all_spans = F.array_sort(F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS[:3]], F.coalesce("random", F.array().cast("array<struct<start:int,end:int>>"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     piece = lambda acc, s: F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
