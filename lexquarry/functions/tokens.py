@@ -20,7 +20,7 @@ STOP_WORDS = (
 ).split()
 
 #: Line ends that Python's text model knows, as one separator.
-LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _SPACE = r"[\s\x1c-\x1f]"
 
 
