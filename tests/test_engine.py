@@ -230,3 +230,34 @@ def test_references_resolve_to_the_first_of_five(engine):
     refs = engine.spark.createDataFrame([("pkg.helper",), ("unknown",), ("IndexStore",)], "ref string")
     got = {r["ref"]: r["resolved"] for r in xref.resolve_refs(engine.corpus, refs).collect()}
     assert got == {"pkg.helper": "pkg.helper (pkg/service.py:L8)", "unknown": "unknown", "IndexStore": "IndexStore (pkg/service.py:L1)"}
+
+
+def test_service(engine):
+    import threading
+    import urllib.error
+    import urllib.request
+    from http.server import ThreadingHTTPServer
+
+    from lexquarry.serve import Service, handler, tools
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), handler(Service(engine)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+
+    def get(path, data=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(base + path, data=json.dumps(data).encode() if data is not None else None), timeout=120) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    assert get("/index/search?q=readme&limit=1")[1]["results"][0]["path"] == "README.md"
+    assert get("/index/file?path=docs/guide.txt")[1]["content_indexed"] is True
+    assert get("/index/file?path=none")[0] == 404 and get("/index/skeleton")[0] == 400 and get("/nowhere")[0] == 404
+    assert get("/ramdisk/create", {})[0] == 409 and get("/ask", {"question": "?"})[0] == 400
+    assert get("/index/children?path=tests")[1]["count"] == 2
+    assert len(get("/")[1]["routes"]["GET"]) == 14 and len(get("/")[1]["routes"]["POST"]) == 4
+    assert {x["path"] for x in get("/fs/tree")[1]["children"]} >= {"docs", "__pycache__"}
+    server.shutdown()
+    assert set(tools(engine)) == {"get_file_skeleton", "get_symbol_contour", "search_codebase", "ask_codebase", "get_index_stats"}
+    assert tools(engine)["search_codebase"]("guide", 1)[0]["excerpt"].endswith("hello [[guide]]\n  line 2: header\n  line 3: alpha beta gamma\n  line 4: footer")
