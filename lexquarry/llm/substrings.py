@@ -41,15 +41,17 @@ _SCHEMA = pa.schema([("to", pa.int64()), ("block", pa.int64()), ("kind", pa.int3
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(len(a).to_bytes(8, "little") + a.astype(np.int64 if a.dtype != np.uint64 else np.uint64).tobytes() for a in arrays), 1)
+    """Arrays of 8-byte numbers as bytes, compressed unless they are few: in a very large corpus a message may hold one anchor."""
+    raw = b"".join(len(a).to_bytes(4, "little") + a.astype(np.int64 if a.dtype != np.uint64 else np.uint64).tobytes() for a in arrays)
+    return b"z" + zlib.compress(raw, 1) if len(raw) > 128 else b"r" + raw
 
 
 def _unpack(b: bytes) -> list[np.ndarray]:
-    b, at, out = zlib.decompress(b), 0, []
+    b, at, out = zlib.decompress(b[1:]) if b[:1] == b"z" else b[1:], 0, []
     while at < len(b):
-        n = int.from_bytes(b[at : at + 8], "little")
-        out.append(np.frombuffer(b, dtype=np.int64, count=n, offset=at + 8))
-        at += 8 + 8 * n
+        n = int.from_bytes(b[at : at + 4], "little")
+        out.append(np.frombuffer(b, dtype=np.int64, count=n, offset=at + 4))
+        at += 4 + 8 * n
     return out
 
 
@@ -197,18 +199,26 @@ def repeats(docs: DataFrame, window: int = 13, blocks: int | None = None) -> Dat
         last = np.append(first[1:], len(a)) - 1
         a, lo, hi = a[first], d[first] if len(a) else d, d[last] if len(a) else d
         s = _shard(a, shards)
-        return _message([(int(k), key[0].as_py(), 0, _pack(a[s == k], (lo != hi)[s == k])) for k in np.unique(s)])
+        if not len(a):
+            return _message([])
+        # An anchor of several documents of the block is sent twice, and so counts as repeated wherever it arrives.
+        a, s = np.concatenate((a, a[lo != hi])), np.concatenate((s, s[lo != hi]))
+        order = np.argsort(s, kind="stable")
+        k, at = np.unique(s[order], return_index=True)
+        return _message([(x, key[0].as_py(), 0, _pack(part)) for x, part in zip(k.tolist(), np.split(a[order], at[1:]), strict=True)])
 
     def answer(key: tuple, t: pa.Table) -> pa.Table:
         block = t.column("block").to_pylist()
         got = [_unpack(x) for x in t.column("body").to_pylist()]
         a = np.concatenate([g[0] for g in got])
-        many = np.concatenate([g[1] for g in got])
         own = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
         u, inv, n = np.unique(a, return_inverse=True, return_counts=True)
-        twice = (n > 1) | (np.bincount(inv, weights=many, minlength=len(u)) > 0)
-        ok = twice[inv]
-        return _message([(block[i], key[0].as_py(), 1, _pack(a[(own == i) & ok])) for i in np.unique(own[ok]).tolist()])
+        ok = (n > 1)[inv]
+        a, own = a[ok], own[ok]  # in the order of the messages
+        if not len(a):
+            return _message([])
+        i, at = np.unique(own, return_index=True)
+        return _message([(block[x], key[0].as_py(), 1, _pack(np.unique(part))) for x, part in zip(i.tolist(), np.split(a, at[1:]), strict=True)])
 
     def send(key: tuple, t: pa.Table, m: pa.Table) -> pa.Table:
         b = _Block(t, window)

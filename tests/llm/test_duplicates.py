@@ -117,6 +117,13 @@ def test_removed_words_equal_brute_force(docs, rows, blocks):
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == brute_repeats(rows)
 
 
+def test_nothing_repeats(spark):
+    rows = [(1, "short"), (2, " ".join(f"a{i}" for i in range(50))), (3, " ".join(f"b{i}" for i in range(50))), (4, None)]
+    for blocks in (1, 9):
+        got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string"), blocks=blocks).collect()
+        assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(1, 1, 0), (2, 50, 0), (3, 50, 0), (4, 0, 0)]
+
+
 def test_removed_spans_are_maximal(docs):
     for r in substrings.repeats(docs).collect():
         spans = [(s["start"], s["end"]) for s in r["removed"]]
