@@ -16,12 +16,14 @@ from ._base import settle, texts
 #: Ranges of ids that find each row's successor, at most; they hold ids only, never texts.
 RANGES = 512
 
-_LEAF_ENDS = r"(?s)(?<=[.!?] )|(?<=\G.{256})"
+#: A leaf: the least run of at most 256 characters that ends a sentence, else 256 characters or what is left.
+_LEAF = r"(?s).{0,254}?[.!?] |.{1,256}"
 
 
 def tree(text: Column) -> Column:
     """The tree of a text: array of sections, each an array of paragraphs, each an array of leaf hashes."""
-    leaves = lambda p: F.transform(F.split(p, _LEAF_ENDS, -1), lambda s: F.md5(s.cast("binary")))
+    pieces = lambda p: F.when(p == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(p, F.lit(_LEAF), F.lit(0)))
+    leaves = lambda p: F.transform(pieces(p), lambda s: F.md5(s.cast("binary")))
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), leaves))
 
 

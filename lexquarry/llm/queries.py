@@ -99,6 +99,33 @@ FROM d LEFT JOIN ps USING (r)
 """
 
 
+_LEAVES = "CASE WHEN p = '' THEN [''] ELSE regexp_extract_all(p, '(?s).{0,254}?[.!?] |.{1,256}') END"
+
+
+def _tree(v: str) -> str:
+    return f"list_transform(string_split({v}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform({_LEAVES}, lambda x: md5(x))))"
+
+
+def _fingerprint(t: str, s: str) -> str:
+    return f"sha256(array_to_string({s}, '')) || ':' || array_to_string(list_transform({s}, lambda x: left(x, 16)), '') || ':' || array_to_string({t}, '')"
+
+
+def _likeness(a: str, b: str) -> str:
+    return f"2.0 * len(list_intersect({a}, {b})) / (len(list_distinct({a})) + len(list_distinct({b})))"
+
+
+_SECTIONS = "list_transform({0}, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ''))), '')))"
+_TAGS = "list_transform(flatten(flatten({0})), lambda x: left(x, 8))"
+_OP1 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+e AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nxt FROM d),
+f AS (SELECT doc_id, n, t, nxt, left(t, n - n // 2) || left(nxt, n // 2) AS et FROM e),
+g AS (SELECT doc_id, n, et, {_tree('t')} AS a, {_tree('et')} AS b, {_tree('nxt')} AS c FROM f),
+h AS (SELECT doc_id, n, et, {_SECTIONS.format('a')} AS sa, {_TAGS.format('a')} AS ta, {_SECTIONS.format('b')} AS sb, {_TAGS.format('b')} AS tb, {_TAGS.format('c')} AS tc FROM g)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(et) AS edited_sha256, {_fingerprint('ta', 'sa')} AS fingerprint, {_fingerprint('tb', 'sb')} AS edited_fingerprint,
+  CAST({_likeness('ta', 'tb')} AS DOUBLE) AS near_edited, CAST({_likeness('ta', 'tc')} AS DOUBLE) AS near_next FROM h
+"""
+
 _OP2 = rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(r'[^\x20\x09-\x0D]+')} AS w FROM documents),
 sh AS (SELECT DISTINCT r, doc_id, g FROM (
@@ -115,4 +142,4 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": _OP2, "op4_substring_dedup": _OP4, "op6_benchmark_decontamination": _OP6}
+    return {"op1_document_fingerprints": _OP1, "op2_minhash_near_dedup": _OP2, "op4_substring_dedup": _OP4, "op6_benchmark_decontamination": _OP6}
