@@ -16,7 +16,7 @@ from lexquarry.sources import fstree, scip
 from lexquarry.streaming.refresh import TABLES, Generations, build, classify, follow
 
 TREE = {
-    "README.md": "ramdisk server readme",
+    "README.md": "memory server readme",
     "server_notes.md": "server",
     "docs/guide.txt": "hello guide\nheader\nalpha beta gamma\nfooter",
     "pkg/service.py": 'class IndexStore:\n    """Keeps things."""\n\n    def rebuild_index(self, x: int) -> int:\n        return helper(x)\n\n\ndef helper(x):\n    return IndexStore\n',
@@ -84,7 +84,7 @@ def test_entry_children_stats(engine):
 
 def test_worked_scores(spark, tmp_path):
     root = tmp_path / "proj"
-    make(root, {"README.md": "ramdisk server readme", "server_notes.md": "server"})
+    make(root, {"README.md": "memory server readme", "server_notes.md": "server"})
     c = build(spark, str(root))
     got = [(r["path"], round(r["score"], 6)) for r in search.search(c, "readme server").collect()]
     assert got == [("README.md", 2.329688), ("server_notes.md", 0.852228)]
