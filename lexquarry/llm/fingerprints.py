@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._base import settle, texts
 
@@ -98,7 +99,10 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     doc_id; the last is followed by the first. Null texts count as empty. Of rows with one id, the least text follows;
     each of them is followed by the next larger id. A row without id is followed by an empty text. All characters are code points.
     """
-    docs = texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    if docs.schema["doc_id"].dataType != T.LongType():
+        docs = texts(docs)
+    # No alias on doc_id: the exchange of texts by it must be the same on both sides of the join, to be used twice.
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     own, lost = docs.where("doc_id is not null"), docs.where("doc_id is null")
     after = successors(own.select("doc_id", half.alias("half")))
