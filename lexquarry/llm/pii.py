@@ -4,7 +4,8 @@ Detected entities (e-mail addresses, telephone, payment-card, account, network a
 address) are replaced by keyed ones of the same type and format: each character by one of its class, drawn from a
 keyed digest; cards keep their issuer digit and a valid check digit, addresses stay valid, names keep gender and
 script. Equal entities get equal surrogates everywhere (coreference). A surrogate that two entities share, or that is
-itself an entity of the corpus, is drawn anew for all but the first, until all are distinct.
+itself an entity of the corpus, is drawn anew for all but the first, until all are distinct. From some attempt on, more
+is drawn than the format holds (WIDE), so that distinct surrogates exist however many entities of a kind there are.
 """
 
 from __future__ import annotations
@@ -31,6 +32,13 @@ FAMILY = {
     "latin": ["Alder", "Birch", "Cedar", "Dorn", "Elm", "Fisk", "Garten", "Holm", "Iversen", "Jansen", "Keller", "Linden", "Moller", "Norden", "Olsen", "Perrin", "Quist", "Roth", "Sander", "Thorn"],
     "cyrillic": ["Белый", "Волк", "Гром", "Дуб", "Камень", "Лес", "Мороз", "Орёл", "Рудь", "Шум"],
 }
+#: Syllables that family names get from attempt WIDE["name"] on.
+SYLLABLES = {"latin": [c + v for c in "bcdfghjklmnpqrstvwxz" for v in "aeiou"], "cyrillic": [c + v for c in "бвгджзклмнпрстфхцчшщ" for v in "аеиоу"]}
+#: Attempts from which surrogates grow: names by syllables, e-mail addresses by characters, numbers by digits, each one more
+#: an attempt; network addresses take octets of any length, and at last the IPv6 form under its prefix for documentation.
+WIDE = {"name": 5, "email": 5, "ip": 5, "ipv6": 20, "number": 12}
+#: Pieces that a surrogate grows by at most.
+MOST = 16
 
 _WORD = r"[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'-]+"
 _CYR = r"[А-ЯЁ][а-яё-]+"
@@ -87,6 +95,12 @@ def _pick(values: list[str], h: Column, i: int) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), _number(h, i, len(values)).cast("int"))
 
 
+def _tail(h: Column, n: Column, pieces: list[str]) -> Column:
+    """n keyed pieces in a row, MOST at most; none where n is below 1."""
+    at = F.slice(F.sequence(F.lit(0), F.lit(MOST - 1)), F.lit(1), F.greatest(n, F.lit(0)))
+    return F.array_join(F.transform(at, lambda i: F.get(F.array(*[F.lit(x) for x in pieces]), _number(h, i * 3, len(pieces)).cast("int"))), "")
+
+
 def _mapped(v: Column, h: Column) -> Column:
     """Each letter and digit by one of its class; other characters stay."""
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -113,31 +127,37 @@ def _draw(e: DataFrame, key: str) -> DataFrame:
     """Adds `surrogate` (in canonical form and, for names, without title) for type, canonical and attempt."""
     seed = F.concat_ws("|", F.lit(key), "type", "canonical", F.col("attempt").cast("string"))
     e = e.withColumn("h", F.concat(F.sha2(seed.cast("binary"), 256), F.sha2(F.concat(seed, F.lit("+")).cast("binary"), 256)))
-    h, v = F.col("h"), F.col("canonical")
+    e = e.withColumn("more", F.concat(F.sha2(F.concat(seed, F.lit("-")).cast("binary"), 256), F.sha2(F.concat(seed, F.lit("=")).cast("binary"), 256)))
+    h, v, more, attempt = F.col("h"), F.col("canonical"), F.col("more"), F.col("attempt")
+    grown = lambda kind: F.least(attempt - (WIDE[kind] - 1), F.lit(MOST))
     local, domain = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1)
     reserved = domain.rlike(r"(?:^|\.)(?:example\.(?:com|org|net)|[a-z0-9-]+\.(?:test|example|invalid))$")
     host = F.when(reserved, domain).otherwise(F.concat(_mapped(F.regexp_replace(domain, r"\.[^.]*$", ""), F.reverse(h)), F.lit(".example")))
     octet = lambda x, i: F.when(F.length(x) == 3, 100 + _number(h, i * 3, 156)).when(F.length(x) == 2, 10 + _number(h, i * 3, 90)).otherwise(1 + _number(h, i * 3, 9)).cast("string")
+    address = F.array_join(F.transform(F.split(v, r"\."), lambda x, i: F.when(attempt >= WIDE["ip"], (1 + _number(h, i * 3, 255)).cast("string")).otherwise(octet(x, i))), ".")
+    address = F.when(attempt >= WIDE["ipv6"], F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substring(more, F.lit(4 * i + 1), F.lit(4))) for i in range(6)])).otherwise(address)
+    local = F.when(attempt >= WIDE["email"], F.concat(F.substring(_mapped(local, h), F.lit(1), 64 - grown("email")), _tail(more, grown("email"), list("abcdefghijklmnopqrstuvwxyz0123456789")))).otherwise(_mapped(local, h))
     drawn = F.concat(F.substring(v, F.lit(1), F.col("keep")), _mapped(F.substring(v, F.col("keep") + 1, F.length(v)), h))
+    drawn = F.when(F.col("type").isin("phone", "ssn") & (attempt >= WIDE["number"]), F.concat(drawn, _tail(more, grown("number"), list("0123456789")))).otherwise(drawn)
     two = F.size(F.split(v, " ")) > 1
     script = F.when(v.rlike("^[А-ЯЁ]"), "cyrillic").otherwise("latin")
     full = None
     for g, names in NAMES.items():
         s = g.split("_")[1]
-        value = F.when(two, F.concat_ws(" ", _pick(names, h, 0), F.concat(_pick(FAMILY[s], h, 4), F.when(F.col("attempt") > 2, F.concat(F.lit("-"), _pick(FAMILY[s], h, 9))).otherwise("")))).otherwise(
-            F.concat(_pick(FAMILY[s], h, 4), F.when(F.col("attempt") > 2, F.concat(F.lit("-"), _pick(FAMILY[s], h, 9))).otherwise(""))
-        )
+        rest = F.when(attempt >= WIDE["name"], _tail(more, F.least(grown("name") + 1, F.lit(MOST)), SYLLABLES[s])).when(attempt > 2, F.concat(F.lit("-"), _pick(FAMILY[s], h, 9))).otherwise("")
+        family = F.concat(_pick(FAMILY[s], h, 4), rest)
+        value = F.when(two, F.concat_ws(" ", _pick(names, h, 0), family)).otherwise(family)
         cond = F.concat_ws("_", F.col("gender"), script) == g
         full = F.when(cond, value) if full is None else full.when(cond, value)
     e = e.withColumn("drawn", drawn)
     return e.withColumn(
         "surrogate",
-        F.when(F.col("type") == "email", F.concat(_mapped(local, h), F.lit("@"), host))
-        .when(F.col("type") == "ip", F.array_join(F.transform(F.split(v, r"\."), octet), "."))
+        F.when(F.col("type") == "email", F.concat(local, F.lit("@"), host))
+        .when(F.col("type") == "ip", address)
         .when(F.col("type") == "card", _check_digit(F.col("drawn")))
         .when(F.col("type") == "name", F.coalesce(full, F.col("drawn")))
         .otherwise(F.col("drawn")),
-    ).drop("h", "drawn")
+    ).drop("h", "more", "drawn")
 
 
 def surrogates(entities: DataFrame, key: str, max_attempts: int = 40) -> DataFrame:
@@ -155,12 +175,12 @@ def surrogates(entities: DataFrame, key: str, max_attempts: int = 40) -> DataFra
 
 
 def _formatted(value: Column, kind: Column, surrogate: Column) -> Column:
-    """The surrogate in the format of this occurrence: its separators, and its title."""
+    """The surrogate in the format of this occurrence: its separators, and its title; what a number has grown by follows."""
     spread = F.aggregate(
         F.split(value, ""),
         F.struct(F.lit(0).alias("i"), F.lit("").alias("out")),
         lambda a, c: F.when(c.rlike("^[A-Za-z0-9]$"), F.struct((a["i"] + 1).alias("i"), F.concat(a["out"], F.substring(surrogate, a["i"] + 1, F.lit(1))).alias("out"))).otherwise(F.struct(a["i"].alias("i"), F.concat(a["out"], c).alias("out"))),
-        lambda a: a["out"],
+        lambda a: F.concat(a["out"], F.substring(surrogate, a["i"] + 1, F.length(surrogate))),
     )
     return F.when(kind == "name", F.concat(F.regexp_extract(value, r"^\S+ ", 0), surrogate)).when(kind.isin("email", "ip"), surrogate).otherwise(spread)
 

@@ -141,6 +141,31 @@ def test_surrogates_stay_distinct(spark):
     assert not {(r["type"], r["surrogate"]) for r in got} & {(r["type"], r["canonical"]) for r in got}
 
 
+def test_surrogates_never_run_out(spark):
+    """More entities of a kind than its format has surrogates."""
+    syl = [c + v for c in "bdfgklmnrstz" for v in "aeiou"]
+    names = [(a + b + c).capitalize() for a in syl for b in syl for c in syl[:14]][:50_000]
+    rows = [("name", n, "m", 0) for n in names] + [("name", "Б" + "абвг"[i // 125] + "абвгдежзик"[i // 10 % 10] + "абвгдежзик"[i % 10] + "я" * (i // 250), "f", 0) for i in range(500)]
+    rows += [("email", f"{c}@example.com", "m", 0) for c in "abcdefghijklmnopqrstuvwxyz"] + [("email", "_" * 64 + "@example.com", "m", 0)]
+    rows += [("ip", f"{a}.{b}.{c}.{d}", "m", 0) for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    rows += [("phone", f"1{i:04d}", "m", 1) for i in range(10_000)]
+    given = set(rows)
+    entities = spark.createDataFrame(sorted(given), "type string, canonical string, gender string, keep int")
+    got = pii.surrogates(entities, "k").collect()
+    assert len(set(names)) == 50_000 and len(got) == len(given)
+    assert len({(r["type"], r["surrogate"]) for r in got}) == len(got)
+    assert not {(r["type"], r["surrogate"]) for r in got} & {x[:2] for x in given}
+    for r in got:
+        form = {"name": r"[A-Z][a-z]+(-[A-Z][a-z]+)?|[А-ЯЁ][а-яё]+(-[А-ЯЁ][а-яё]+)?", "email": r"[a-z0-9_]{1,64}@example\.com", "ip": r"(([1-9]\d?|1\d\d|2[0-4]\d|25[0-5])(\.(?!$)|$)){4}", "phone": r"1\d{4,28}"}[r["type"]]
+        assert re.fullmatch(form, r["surrogate"]), r
+        assert r["type"] != "name" or (r["surrogate"] < "a") == (r["canonical"] < "a")
+
+
+def test_grown_number_is_written_whole(spark):
+    df = spark.createDataFrame([("+1 23 45", "phone", "198765"), ("123-45-6789", "ssn", "987654321")], "value string, kind string, surrogate string")
+    assert [r[0] for r in df.select(pii._formatted(F.col("value"), F.col("kind"), F.col("surrogate"))).collect()] == ["+1 98 765", "987-65-4321"]
+
+
 def brute_rule(url):
     host = path = ""
     if url and "://" in url:
