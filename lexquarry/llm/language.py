@@ -3,13 +3,14 @@
 One suffix automaton per language holds every substring of a bounded sample of its labelled text. A document is
 parsed greedily into the longest phrases that a language's sample contains; the language that needs the fewest
 phrases, weighted by the log of the sample's size (the cross-entropy estimate of Ziv and Merhav), wins. All lanes of a
-batch advance one character at a time through dense transition tables, so no Python loop runs per character.
+batch advance one character at a time through sparse transition tables, so no Python loop runs per character. Every
+letter of every sample is a class of its own.
 """
 
 from __future__ import annotations
 
+import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +22,18 @@ from ._base import slices
 
 #: Characters that a lane parses; a longer text takes several lanes, whose phrases add up.
 LANE = 512
-#: Sample of each language: characters in all, and of one document. All tables together stay below MAX_TABLES bytes.
-SAMPLE_CHARS, DOC_CHARS, MAX_TABLES = 30_000, 600, 96 << 20
-#: Character classes: a pad, all that is not a letter, the commonest letters, all other letters.
-PAD, GAP, CLASSES = 0, 1, 64
+#: Sample of each language: characters in all, whatever the number of languages, and of one span.
+SAMPLE_CHARS, DOC_CHARS = 30_000, 600
+#: Character classes: a pad, all that is not a letter, letters that no sample has; the letters of the samples follow.
+PAD, GAP, OTHER = 0, 1, 2
 DEAD = 0xFFFF
+#: Draws of a place for a state before its table is made larger.
+TRIES = 64
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def build_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a sequence of class codes, as a (state, class) table; DEAD where there is none."""
+def _states(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of a sequence of class codes."""
     go: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -69,6 +72,12 @@ def build_automaton(codes: list[int], width: int) -> np.ndarray:
             if split:
                 cur = clone
         last = cur
+    return go
+
+
+def build_automaton(codes: list[int], width: int) -> np.ndarray:
+    """Transitions of the suffix automaton of a sequence of class codes, as a (state, class) table; DEAD where there is none."""
+    go = _states(codes)
     out = np.full((len(go), width), DEAD, dtype=np.uint16)
     for s, d in enumerate(go):
         for c, t in d.items():
@@ -76,39 +85,54 @@ def build_automaton(codes: list[int], width: int) -> np.ndarray:
     return out
 
 
+def build_sparse(codes: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same automaton as a pair (owner, target): a state is the number of a place, the first one 0, and state s goes by class c
+    to target[s + c] if owner[s + c] is s, and nowhere otherwise. Rows of the table overlap, fullest states placed first."""
+    go = _states(codes)
+    draw, room = random.Random(1), 2 * sum(map(len, go)) + 1
+    place, used, taken = [0] * len(go), set(go[0]), {0}
+    for s in sorted(range(1, len(go)), key=lambda s: -len(go[s])):
+        tries = 0
+        while (at := int(draw.random() * room)) in taken or any(at + c in used for c in go[s]):
+            tries += 1
+            if tries % TRIES == 0:
+                room += room // 4 + 1
+        place[s] = at
+        taken.add(at)
+        used.update(at + c for c in go[s])
+    owner = np.full(max(taken) + width, -1, dtype=np.int32)
+    target = np.zeros(len(owner), dtype=np.int32)
+    for s, d in enumerate(go):
+        for c, t in d.items():
+            owner[place[s] + c], target[place[s] + c] = place[s], place[t]
+    return owner, target
+
+
 class Model:
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.langs = sorted(samples)
-        room = min(SAMPLE_CHARS, MAX_TABLES // max(1, len(self.langs)) // (4 * CLASSES))
-        seen = Counter(c for v in samples.values() for t in v for c in t.lower() if c.isalpha())
-        self.letters = {ord(c): i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 3])}
+        self.letters = {ord(c): i + OTHER + 1 for i, c in enumerate(sorted({c for v in samples.values() for t in v for c in t.lower() if c.isalpha()}))}
+        self.width = len(self.letters) + OTHER + 1
         self.tables, self.bits = [], []
         for k in self.langs:
             codes: list[int] = []
             for t in samples[k]:
-                own = self.codes(t).tolist()
-                if len(codes) + len(own) >= room:
+                if len(codes) >= SAMPLE_CHARS:
                     break
-                codes += [*own, PAD]
-            trans = build_automaton(codes, CLASSES)
-            trans[:, PAD] = 0
-            self.tables.append(trans)
+                codes += [*self.codes(t)[: SAMPLE_CHARS - len(codes)].tolist(), PAD]
+            self.tables.append(build_sparse(codes, self.width))
             self.bits.append(float(np.log2(len(codes) + 2)))
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "lookup"}
+
     def codes(self, text: str) -> np.ndarray:
         """Class codes of a text: lower-cased letters, and one gap for every run of other characters."""
         p = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         if not hasattr(self, "lookup"):
-            self.lookup = np.full(0x3000, CLASSES - 1, dtype=np.uint8)
-            for i in range(0x3000):
-                if not chr(i).isalpha():
-                    self.lookup[i] = GAP
-            for c, i in self.letters.items():
-                if c < 0x3000:
-                    self.lookup[c] = i
-        out = self.lookup[np.minimum(p, 0x2FFF)]
-        for i in np.flatnonzero(p >= 0x3000).tolist():
-            out[i] = self.letters.get(int(p[i]), CLASSES - 1 if chr(int(p[i])).isalpha() else GAP)
+            self.lookup = np.array([OTHER if chr(i).isalpha() else GAP for i in range(0x110000)], dtype=np.int32)
+            self.lookup[list(self.letters)] = list(self.letters.values())
+        out = self.lookup[p]
         keep = np.ones(len(out), dtype=bool)
         keep[1:] = (out[1:] != GAP) | (out[:-1] != GAP)
         return out[keep]
@@ -116,30 +140,35 @@ class Model:
     def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
         """Phrases that each document takes in each language (documents x languages)."""
         lanes = np.array([-(-len(d) // LANE) for d in docs], dtype=np.int64)
-        grid = np.zeros((int(lanes.sum()), LANE), dtype=np.uint8)
+        grid = np.zeros((int(lanes.sum()), LANE), dtype=np.int32)
         flat, at = grid.reshape(-1), 0
         for d, n in zip(docs, lanes.tolist(), strict=True):
             flat[at : at + len(d)] = d
             at += n * LANE
-        cols = np.ascontiguousarray(grid.T).astype(np.int32)
-        owner = np.repeat(np.arange(len(docs)), lanes)
+        held = (grid != PAD).sum(axis=1)
+        order = np.argsort(-held, kind="stable")  # longest lanes first, so that those still open are always the first ones
+        cols = np.ascontiguousarray(grid[order].T)
+        still = np.searchsorted(-held[order], -np.arange(LANE), side="left")
+        doc = np.repeat(np.arange(len(docs)), lanes)[order]
         out = np.zeros((len(docs), len(self.langs)))
-        for k, trans in enumerate(self.tables):
-            go = trans.reshape(-1)
-            start = trans[0].copy()
-            alone = start == DEAD  # a character that the sample lacks is a phrase of its own
-            start[alone] = 0
+        for k, (owner, target) in enumerate(self.tables):
+            start = np.where(owner[: self.width] == 0, target[: self.width], 0)
+            alone = owner[: self.width] != 0  # a character that the sample lacks is a phrase of its own
             state = np.zeros(len(grid), dtype=np.int32)
             count = np.ones(len(grid), dtype=np.int64)
-            for c in cols:
-                nxt = go[state * CLASSES + c]
-                bad = np.flatnonzero(nxt == DEAD)
+            for c, n in zip(cols, still.tolist(), strict=True):
+                if n == 0:
+                    break
+                c, now = c[:n], state[:n]
+                place = now + c
+                nxt = target.take(place)
+                bad = np.flatnonzero(owner.take(place) != now)
                 if len(bad):
                     cb = c[bad]
-                    count[bad] += (state[bad] != 0) + alone[cb].astype(np.int64)
+                    count[bad] += (now[bad] != 0) + alone[cb].astype(np.int64)
                     nxt[bad] = start[cb]
-                state = nxt.astype(np.int32)
-            out[:, k] = np.bincount(owner, weights=count, minlength=len(docs)) * self.bits[k]
+                state[:n] = nxt
+            out[:, k] = np.bincount(doc, weights=count, minlength=len(docs)) * self.bits[k]
         return out
 
     def predict(self, batch: list[str | None]) -> tuple[list[str], list[float]]:
@@ -157,17 +186,23 @@ class Model:
 
 def fit(docs: DataFrame, trained: Column, lang_col: str = "lang") -> Model:
     """Fits on a bounded sample of the labelled rows that `trained` holds for: about SAMPLE_CHARS characters a language, from
-    spans of DOC_CHARS characters of rows drawn by a hash of their id."""
+    spans of DOC_CHARS characters at hashed places anywhere in the texts of rows drawn by a hash of their id; a language of
+    few rows gives several spans a row, or whole texts where these are not longer."""
     own = docs.where(trained & F.col(lang_col).isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col(lang_col).cast("string").alias("lang"))
     counts = own.groupBy("lang").count().collect()  # as many rows as languages
     if not counts:
         return Model({})
     want = 3 * SAMPLE_CHARS // DOC_CHARS
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, want / r["count"]))])
+    each = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], -(-want // r["count"]))])
     draw = (F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")) / F.lit(2.0**64) + 0.5) <= share[F.col("lang")]
-    rows = own.where(draw).select("lang", F.xxhash64("doc_id").alias("at"), F.substring("text", 1, DOC_CHARS).alias("text")).collect()
+    at = lambda i: F.xxhash64("doc_id", F.lit("span"), i)
+    spans = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(at(i).alias("at"), F.substring("text", F.pmod(at(i), F.length("text") - (DOC_CHARS - 1)).cast("int") + 1, F.lit(DOC_CHARS)).alias("text")))
+    whole = F.array(F.struct(at(F.lit(1)).alias("at"), F.col("text")))
+    drawn = own.where(draw).withColumn("n", each[F.col("lang")])
+    rows = drawn.select("lang", F.explode(F.when(F.length("text") <= F.col("n") * DOC_CHARS, whole).otherwise(spans)).alias("s")).select("lang", "s.at", "s.text").collect()
     samples: dict[str, list[str]] = {r["lang"]: [] for r in counts}
-    for r in sorted(rows, key=lambda r: r["at"]):
+    for r in sorted(rows, key=lambda r: (r["at"], r["text"])):
         samples[r["lang"]].append(r["text"])
     return Model(samples)
 

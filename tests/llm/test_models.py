@@ -119,6 +119,52 @@ def test_phrases_equal_greedy_parsing():
         assert abs(m.phrases([codes])[0, k] / m.bits[k] - n) <= 1
 
 
+def test_sparse_automaton_equals_dense():
+    r = random.Random(2)
+    codes = [r.choice([language.PAD, *range(1, 9), *range(300, 330)]) for _ in range(3000)]
+    dense, (owner, target) = language.build_automaton(codes, 330), language.build_sparse(codes, 330)
+    pairs, seen = [(0, 0)], {0: 0}
+    while pairs:
+        a, b = pairs.pop()
+        for c in range(1, 330):
+            assert (dense[a, c] != language.DEAD) == (owner[b + c] == b)
+            if owner[b + c] == b:
+                x, y = int(dense[a, c]), int(target[b + c])
+                if x not in seen:
+                    pairs.append((x, y))
+                assert seen.setdefault(x, y) == y
+    assert len(seen) == len(dense) == len(set(seen.values()))
+
+
+def test_language_after_a_shared_header(spark):
+    """Spans come from the whole text, not from what all texts begin with."""
+    head = "this work is free and may be copied by all under the terms below " * 12
+    words = {"aa": ["bokri", "fundal", "tesmo", "grivu", "palen"], "bb": ["zuchet", "wimora", "yeskil", "hodaq", "jurnix"]}
+    r = random.Random(4)
+    body = lambda k: " ".join(r.choice(words[k]) for _ in range(400))
+    docs = spark.createDataFrame([(i, head + body(k), k) for i, k in enumerate(["aa", "bb"] * 40)], "doc_id long, text string, lang string")
+    m = language.fit(docs, F.lit(True))
+    assert m.predict([body(k) for k in ["aa", "bb"] * 20])[0] == ["aa", "bb"] * 20
+
+
+def test_language_of_many_scripts():
+    """No letter is cut, however many scripts the samples have."""
+    r = random.Random(5)
+    text = lambda first, n: " ".join("".join(chr(first + r.randrange(n)) for _ in range(6)) for _ in range(300))
+    scripts = {"latin": (97, 26), "cyrillic": (0x430, 32), "armenian": (0x561, 38), "georgian": (0x10D0, 33), "han": (0x4E00, 500), "han2": (0x6000, 500), "hangul": (0xAC00, 500), "gothic": (0x10330, 20)}
+    m = language.Model({k: [text(*v) for _ in range(20)] for k, v in scripts.items()})
+    assert m.predict([text(*v) for v in scripts.values()])[0] == list(scripts)
+
+
+def test_language_sample_does_not_shrink():
+    r = random.Random(6)
+    long = ["".join(r.choices("abcdefgh ", k=500)) for _ in range(40)]
+    m = language.Model({"aa": long} | {f"l{i}": ["xyz"] for i in range(400)})
+    assert 2 ** m.bits[0] > 17_000
+    one = language.Model({"aa": ["".join(r.choices("abcdefgh ", k=50_000))]})
+    assert 2 ** one.bits[0] > 0.9 * language.SAMPLE_CHARS
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
