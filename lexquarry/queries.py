@@ -77,6 +77,12 @@ def tokenize_terms(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(t).cast("long").alias("n_terms"), F.array_join(F.slice(t, 1, 40), " ").alias("first_terms"))
 
 
+def tokenize_all(spark, d):
+    """All tokens of every text, as a digest of their list; without SQL, as the two other whole tables below."""
+    t = tokens.terms(F.col("text"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(t).cast("long").alias("n_terms"), F.sha2(F.array_join(t, " ").cast("binary"), 256).alias("terms_sha256"))
+
+
 def index_terms(spark, d):
     t = tokens.index_terms(F.col("text"))
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(t).cast("long").alias("n_terms"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
@@ -94,6 +100,10 @@ def doc_terms(spark, d):
     return _documents(spark, d).doc_terms.where(F.col("term").isin(*TERMS, "src3", "doc", "corpus"))
 
 
+def doc_terms_all(spark, d):
+    return _documents(spark, d).doc_terms
+
+
 def term_df(spark, d):
     return _documents(spark, d).term_stats
 
@@ -174,6 +184,11 @@ def highlight(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", h.alias("marked"))
 
 
+def highlight_all(spark, d):
+    h = excerpts.highlight(F.col("text"), F.array(F.lit("tion"), F.lit("the")))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", h.alias("marked"))
+
+
 def excerpt_clusters(spark, d):
     c = _documents(spark, d)
     return c.bodies.select("path", excerpts.excerpt(F.col("path"), F.col("text"), F.array(*[F.lit(t) for t in TERMS])).alias("excerpt"))
@@ -292,6 +307,7 @@ _ALL = [
     bm25_weighted_topk, entries_scan, pages_scan, fs_totals, children_count, children_of, tokenize_terms, index_terms, content_postings, path_postings, doc_terms, term_df, doc_lengths, corpus_stats, idf, doc_norms, bm25_repeat_terms,
     bm25_zero_score_candidates, search_path, search_path_and_content, filter_suffix_type_prefix, substring_fallback, topk_tie_cut, root_prefix, search_many, proximity_boost, line_scores, highlight, excerpt_clusters, py_symbols, py_refs,
     c_symbols, symbol_search_exact, symbol_search_trigram, usages_rank, related_tests, used_by, resolve_ref, file_skeleton, contour, ask_parse, delta_classify, delta_apply, delta_bm25_equals_full, scip_defs, scip_refs, index_stats,
+    tokenize_all, doc_terms_all, highlight_all,
 ]
 
 
