@@ -4,15 +4,18 @@ Documents are dealt to blocks by a hash of their id. Four exchanges between bloc
 
 1. each block sends the anchors of its windows to shards by anchor (an anchor is the least word 5-gram hash of a
    window, so equal windows have equal anchors), one row a block and shard;
-2. shards answer each block with the anchors that another document also has;
+2. shards answer each block with the anchors that another document also has, and which of them are hot: held by
+   more than HOT distinct windows, such as those over a short line that many documents have between other words;
 3. blocks send the passages around those anchors, as words, to the shards that own the anchors; a shard's passages
    are its reference text, equal passages once. The shard builds a suffix automaton of them, in ascending order of their
    first document, and streams every passage through it: the matching statistics give, for every window, the
-   smallest document that holds its words;
+   smallest document that holds its words. Each window over a hot anchor is a passage of its own and goes by the hash of all
+   its words, so such windows spread over all shards and only equal ones meet;
 4. blocks remove the maximal spans of windows that a smaller document holds.
 
 All rows between blocks and shards are compressed arrays. A passage that thousands of documents share arrives once
-from each block, and its copies in a shard are one string, so no task holds all occurrences of anything.
+from each block, and its copies in a shard are one string; passages that differ meet in a shard only below HOT windows
+an anchor. So no task holds all occurrences of anything.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from ._words import SPACED, Words, grams
 ANCHOR = 5
 #: Documents in a block, about; blocks for each shard.
 BLOCK_DOCS, BLOCKS_PER_SHARD = 400, 2
+#: Distinct windows of an anchor beyond which it is hot.
+HOT = 20_000
 #: Id of rows without one: after all others.
 NO_ID = 2**63 - 1
 
@@ -50,7 +55,7 @@ def _unpack(b: bytes) -> list[np.ndarray]:
     b, at, out = zlib.decompress(b[1:]) if b[:1] == b"z" else b[1:], 0, []
     while at < len(b):
         n = int.from_bytes(b[at : at + 4], "little")
-        out.append(np.frombuffer(b, dtype=np.int64, count=n, offset=at + 4))
+        out.append(np.frombuffer(b, dtype=np.int64, count=n, offset=at + 4) if n else np.empty(0, np.int64))
         at += 4 + 8 * n
     return out
 
@@ -98,11 +103,21 @@ class _Block:
         self.start, self.anchor = _windows(self.words, window)
         self.doc = self.key[self.words.doc_of_word()[self.start]] if len(self.start) else np.empty(0, np.int64)
 
-    def passages(self, repeated: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of windows with one repeated anchor: first window (number), windows, anchor, and a hash of the run's words."""
+    def grams(self, window: int) -> np.ndarray:
+        """Hashes of the words of all windows."""
+        return grams(self.words.hash, window)[self.start].view(np.int64)
+
+    def passages(self, repeated: np.ndarray, hot: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows with one repeated anchor: first window (number), windows, anchor, and a hash of the run's words.
+        A window with a hot anchor is a run of its own, and the hash of its words stands for its anchor."""
         ok = np.isin(self.anchor, repeated)
         new = np.ones(len(ok), dtype=bool)
         new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.start[1:] != self.start[:-1] + 1)
+        anchor = self.anchor
+        if len(hot):
+            alone = np.isin(anchor, hot)
+            new |= alone
+            anchor = np.where(alone, self.grams(window), anchor)
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(ok)))
         first, size = first[ok[first]], size[ok[first]]
@@ -112,7 +127,32 @@ class _Block:
         for j in range(int(n.max()) if len(n) else 0):
             at = np.minimum(a + j, len(self.words.hash) - 1)
             key = np.where(j < n, (key ^ self.words.hash[at]) * mult + np.uint64(j), key)
-        return first, size, self.anchor[first], key.view(np.int64)
+        return first, size, anchor[first], key.view(np.int64)
+
+
+def _notes(anchor: np.ndarray, gram: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """For each distinct anchor of a block, ascending: the count of its distinct windows, whether several documents of the
+    block have it, and 16 bits that blocks with equal windows share."""
+    order = np.lexsort((gram, anchor))
+    a, g = anchor[order], gram[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (g[1:] != g[:-1]))
+    a, g = a[new], g[new]
+    first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    n = np.diff(np.append(first, len(a)))
+    return n << 17 | several.astype(np.int64) << 16 | np.add.reduceat(g, first) & 0xFFFF
+
+
+def _judge(anchor: np.ndarray, note: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each anchor that blocks sent is repeated, and whether it is hot; windows of blocks with equal bits count once."""
+    u, inv = np.unique(anchor, return_inverse=True)
+    n, bits = note >> 17, note & 0xFFFF
+    repeated = np.bincount(inv, weights=1 + (note >> 16 & 1), minlength=len(u)) > 1
+    much = np.bincount(inv, weights=n, minlength=len(u)) > hot
+    if much.any():
+        at = np.flatnonzero(much[inv])
+        at = at[np.unique(inv[at] << 16 | bits[at], return_index=True)[1]]
+        much = np.bincount(inv[at], weights=n[at], minlength=len(u)) > hot
+    return repeated[inv], (repeated & much)[inv]
 
 
 class Automaton:
@@ -178,7 +218,7 @@ class Automaton:
         return out
 
 
-def repeats(docs: DataFrame, window: int = 13, blocks: int | None = None) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 13, blocks: int | None = None, hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256, and the removed spans of words (start, end).
 
     A word goes if a window over it also starts in a document with a smaller doc_id, as judged on the whole input. Rows
@@ -198,33 +238,31 @@ def repeats(docs: DataFrame, window: int = 13, blocks: int | None = None) -> Dat
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(a)) - 1
         a, lo, hi = a[first], d[first] if len(a) else d, d[last] if len(a) else d
-        s = _shard(a, shards)
         if not len(a):
             return _message([])
-        # An anchor of several documents of the block is sent twice, and so counts as repeated wherever it arrives.
-        a, s = np.concatenate((a, a[lo != hi])), np.concatenate((s, s[lo != hi]))
+        s, note = _shard(a, shards), _notes(b.anchor, b.grams(window), lo != hi)
         order = np.argsort(s, kind="stable")
         k, at = np.unique(s[order], return_index=True)
-        return _message([(x, key[0].as_py(), 0, _pack(part)) for x, part in zip(k.tolist(), np.split(a[order], at[1:]), strict=True)])
+        return _message([(x, key[0].as_py(), 0, _pack(*part)) for x, *part in zip(k.tolist(), np.split(a[order], at[1:]), np.split(note[order], at[1:]), strict=True)])
 
     def answer(key: tuple, t: pa.Table) -> pa.Table:
         block = t.column("block").to_pylist()
         got = [_unpack(x) for x in t.column("body").to_pylist()]
         a = np.concatenate([g[0] for g in got])
         own = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
-        u, inv, n = np.unique(a, return_inverse=True, return_counts=True)
-        ok = (n > 1)[inv]
-        a, own = a[ok], own[ok]  # in the order of the messages
+        ok, much = _judge(a, np.concatenate([g[1] for g in got]), hot)
+        a, own, much = a[ok], own[ok], much[ok]  # in the order of the messages
         if not len(a):
             return _message([])
         i, at = np.unique(own, return_index=True)
-        return _message([(block[x], key[0].as_py(), 1, _pack(np.unique(part))) for x, part in zip(i.tolist(), np.split(a, at[1:]), strict=True)])
+        return _message([(block[x], key[0].as_py(), 1, _pack(part, part[m])) for x, part, m in zip(i.tolist(), np.split(a, at[1:]), np.split(much, at[1:]), strict=True)])
 
     def send(key: tuple, t: pa.Table, m: pa.Table) -> pa.Table:
         b = _Block(t, window)
         if not m.num_rows:
             return _message([])
-        first, size, anchor, h = b.passages(np.concatenate([_unpack(x)[0] for x in m.column("body").to_pylist()]), window)
+        bodies = [_unpack(x) for x in m.column("body").to_pylist()]
+        first, size, anchor, h = b.passages(np.concatenate([x[0] for x in bodies]), np.concatenate([x[1] for x in bodies]), window)
         doc = b.doc[first]
         order = np.lexsort((doc, h))
         order = order[np.append(True, h[order][1:] != h[order][:-1])] if len(order) else order  # equal passages of the block once, with their first document
@@ -273,9 +311,9 @@ def repeats(docs: DataFrame, window: int = 13, blocks: int | None = None) -> Dat
         gone = np.zeros(len(b.words.hash) + 1, dtype=np.int64)
         kinds = m.column("kind").to_pylist()
         bodies = [_unpack(x) for x in m.column("body").to_pylist()]
-        repeated = [x[0] for k, x in zip(kinds, bodies, strict=True) if k == 1]
+        repeated = [x for k, x in zip(kinds, bodies, strict=True) if k == 1]
         if repeated:
-            first, size, _, h = b.passages(np.concatenate(repeated), window)
+            first, size, _, h = b.passages(np.concatenate([x[0] for x in repeated]), np.concatenate([x[1] for x in repeated]), window)
             replies = [x for k, x in zip(kinds, bodies, strict=True) if k == 3]
             rh = np.concatenate([x[0] for x in replies])
             rn = np.concatenate([x[1] for x in replies])

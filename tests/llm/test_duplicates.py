@@ -131,6 +131,50 @@ def test_removed_spans_are_maximal(docs):
         assert all(e - s >= 13 for s, e in spans) and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def hot_rows(n):
+    """A short line that all documents hold between other words, and the same with more of its surroundings in some."""
+    import random
+
+    r = random.Random(8)
+    line = "this line of nine words is in all documents".split()
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    more = [[word() for _ in range(8)] + line + [word() for _ in range(8)] for _ in range(5)]
+    rows = [(i, " ".join([*(word() for _ in range(15)), *(line if r.random() < 0.7 else r.choice(more)), *(word() for _ in range(15))])) for i in range(n)]
+    return [*rows, rows[3], (None, rows[5][1]), (n, " ".join(["same"] * 40)), (n + 1, " ".join(["same"] * 60))]
+
+
+@pytest.mark.parametrize("hot", [0, 30, 10**9])
+def test_hot_anchors_equal_brute_force(spark, hot):
+    rows = hot_rows(120)
+    got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string"), blocks=5, hot=hot)
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == brute_repeats(rows)
+
+
+def test_hot_anchors_spread_over_shards():
+    """Windows of one anchor between other words meet in no shard, and copies of one document make nothing hot."""
+    import pyarrow as pa
+
+    def sent(rows, hot):
+        """Hot anchors, and the most distinct passages that must meet in one shard."""
+        blocks = [substrings._Block(pa.table({"doc_id": [x[0] for x in part], "text": [x[1] for x in part]}), 13) for part in (rows[i::8] for i in range(8))]
+        u = [np.unique(b.anchor) for b in blocks]
+        notes = [substrings._notes(b.anchor, b.grams(13), np.array([len(set(b.doc[b.anchor == a])) > 1 for a in x])) for b, x in zip(blocks, u, strict=True)]
+        ok, much = substrings._judge(np.concatenate(u), np.concatenate(notes), hot)
+        a = np.concatenate(u)
+        meet = set()
+        for b in blocks:
+            _, _, anchor, h = b.passages(np.unique(a[ok]), np.unique(a[much]), 13)
+            meet |= set(zip(anchor.tolist(), h.tolist(), strict=True))
+        return len(np.unique(a[much])), max(Counter(k for k, _ in meet).values())
+
+    rows = [x for x in hot_rows(800) if x[0] is not None][:800]
+    n, most = sent(rows, 400)
+    assert n > 0 and most <= 400
+    n, most = sent(rows, 10**9)
+    assert n == 0 and most > 400
+    assert sent([(i, rows[0][1]) for i in range(800)], 100)[0] == 0
+
+
 def test_automaton_against_substrings():
     import random
 
