@@ -2,15 +2,15 @@
 
 One suffix automaton per language holds every substring of a bounded sample of its labelled text. A document is
 parsed greedily into the longest phrases that a language's sample contains; the language that needs the fewest
-phrases, weighted by the log of the sample's size (the cross-entropy estimate of Ziv and Merhav), wins. All lanes of a
-batch advance one character at a time through sparse transition tables, so no Python loop runs per character. Every
-letter of every sample is a class of its own.
+phrases wins, each weighted by the log of what it is chosen from (the cross-entropy estimate of Ziv and Merhav): the places of
+the sample and the letters of all samples. So a letter that a sample lacks costs at least the log of the alphabet, and a
+language with little text can't win by its small size. All lanes of a batch advance one character at a time through
+sparse transition tables, so no Python loop runs per character. Every letter of every sample is a class of its own.
 """
 
 from __future__ import annotations
 
 import random
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,6 @@ PAD, GAP, OTHER = 0, 1, 2
 DEAD = 0xFFFF
 #: Draws of a place for a state before its table is made larger.
 TRIES = 64
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _states(codes: list[int]) -> list[dict[int, int]]:
@@ -109,8 +108,10 @@ def build_sparse(codes: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
+    """Tables of the languages that have a letter in their samples; those without one are left out."""
+
     def __init__(self, samples: dict[str, list[str]]) -> None:
-        self.langs = sorted(samples)
+        self.langs = sorted(k for k, v in samples.items() if any(c.isalpha() for t in v for c in t))
         self.letters = {ord(c): i + OTHER + 1 for i, c in enumerate(sorted({c for v in samples.values() for t in v for c in t.lower() if c.isalpha()}))}
         self.width = len(self.letters) + OTHER + 1
         self.tables, self.bits = [], []
@@ -121,7 +122,7 @@ class Model:
                     break
                 codes += [*self.codes(t)[: SAMPLE_CHARS - len(codes)].tolist(), PAD]
             self.tables.append(build_sparse(codes, self.width))
-            self.bits.append(float(np.log2(len(codes) + 2)))
+            self.bits.append(float(np.log2(len(codes) + self.width)))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "lookup"}
@@ -172,10 +173,13 @@ class Model:
         return out
 
     def predict(self, batch: list[str | None]) -> tuple[list[str], list[float]]:
-        has = [i for i, t in enumerate(batch) if t and _LETTER.search(t)] if self.langs else []
         langs, scores = ["und"] * len(batch), [0.0] * len(batch)
+        docs = {i: c for i, t in enumerate(batch) if t and (c := self.codes(t)).max() > GAP} if self.langs else {}
+        has = list(docs)
         if has:
-            bits = self.phrases([self.codes(batch[i]) for i in has])
+            bits = self.phrases(list(docs.values()))
+            other = np.array([np.count_nonzero(c == OTHER) for c in docs.values()])
+            bits += other[:, None] * (max(self.bits) - np.array(self.bits))  # letters that no sample has tell nothing apart
             best = bits.argmin(axis=1)
             share = (bits.min(axis=1)[:, None] / np.maximum(bits, 1e-9)) ** 8
             share = share[np.arange(len(has)), best] / share.sum(axis=1)
@@ -187,7 +191,7 @@ class Model:
 def fit(docs: DataFrame, trained: Column, lang_col: str = "lang") -> Model:
     """Fits on a bounded sample of the labelled rows that `trained` holds for: about SAMPLE_CHARS characters a language, from
     spans of DOC_CHARS characters at hashed places anywhere in the texts of rows drawn by a hash of their id; a language of
-    few rows gives several spans a row, or whole texts where these are not longer."""
+    few rows gives several spans a row, or whole texts where these are not longer. Of rows with one id, the least text counts."""
     own = docs.where(trained & F.col(lang_col).isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col(lang_col).cast("string").alias("lang"))
     counts = own.groupBy("lang").count().collect()  # as many rows as languages
     if not counts:
@@ -199,7 +203,7 @@ def fit(docs: DataFrame, trained: Column, lang_col: str = "lang") -> Model:
     at = lambda i: F.xxhash64("doc_id", F.lit("span"), i)
     spans = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(at(i).alias("at"), F.substring("text", F.pmod(at(i), F.length("text") - (DOC_CHARS - 1)).cast("int") + 1, F.lit(DOC_CHARS)).alias("text")))
     whole = F.array(F.struct(at(F.lit(1)).alias("at"), F.col("text")))
-    drawn = own.where(draw).withColumn("n", each[F.col("lang")])
+    drawn = own.where(draw).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).withColumn("n", each[F.col("lang")])
     rows = drawn.select("lang", F.explode(F.when(F.length("text") <= F.col("n") * DOC_CHARS, whole).otherwise(spans)).alias("s")).select("lang", "s.at", "s.text").collect()
     samples: dict[str, list[str]] = {r["lang"]: [] for r in counts}
     for r in sorted(rows, key=lambda r: (r["at"], r["text"])):
@@ -209,7 +213,7 @@ def fit(docs: DataFrame, trained: Column, lang_col: str = "lang") -> Model:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of docs (doc_id, text). Null texts and texts without a letter get `und` and 0;
-    ties go to the first language by name; an empty model knows no language, so all rows get `und`."""
+    ties go to the first language by name; a model without languages (no labelled text with a letter) gives all rows `und`."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -165,6 +165,30 @@ def test_language_sample_does_not_shrink():
     assert 2 ** one.bits[0] > 0.9 * language.SAMPLE_CHARS
 
 
+@pytest.mark.parametrize("small", ["", " ", "ab", "12 - 3", "a the "])
+def test_language_of_a_tiny_sample_does_not_win(spark, small):
+    """A label with one blank or very short text takes no document of the languages that have text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1, small, "zz")], "doc_id long, text string, lang string")
+    got = language.identify(docs, language.fit(docs.union(more), F.lit(True))).join(docs, "doc_id")
+    assert got.where("lang_pred = 'zz'").count() == 0
+    assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
+
+
+def test_language_of_few_documents():
+    """Two sentences a language suffice to tell scripts and plain cases apart; unknown letters decide nothing."""
+    m = language.Model({"en": ["the quick brown fox jumps over the lazy dog and runs away"], "ru": ["съешь ещё этих мягких французских булок да выпей чаю"], "zh": ["我能吞下玻璃而不伤身体"], "x": ["q"], "none": ["1 2 3"]})
+    assert m.langs == ["en", "ru", "x", "zh"]
+    got = m.predict(["the brown dog jumps over the fox", "выпей мягких булок", "玻璃身体", "² ½ 3", "ქართული ენა", "the ქართული dog"])[0]
+    assert got[:4] == ["en", "ru", "zh", "und"] and got[4] != "und" and got[5] == "en"
+
+
+def test_repeated_rows_of_a_drawn_id_count_once(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog " * 20, "en")] * 200 + [(2, "der Hund und die Katze " * 20, "de")], "doc_id long, text string, lang string")
+    m = language.fit(docs, F.lit(True))
+    assert 2 ** m.bits[1] < 500
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
