@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key is hot from this share of a table's rows on, so that at most as many keys are hot as the share's inverse says.
+HOT_SHARE = 1 / 200
+
 #: Characters of text handled at once by a Python batch; a longer text is a batch of its own.
 SLICE_CHARS = 1 << 21
 
@@ -31,6 +34,48 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f's expression (or a lambda in it) reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array, `combine` over all elements before it, from `zero` on (of the elements' type, and neutral).
+
+    Appending to an array copies it, so a plain pass is quadratic. Here chunks of about the root of the length are passed one
+    by one, then the chunks' totals: n to the power of 1.5 copies of a reference.
+    """
+
+    def scan(a: Column, start: Column) -> Column:
+        empty = F.slice(F.array(zero), F.lit(1), F.lit(0))
+        step = lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(a, F.struct(start.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def chunked(a: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(a))).cast("int")
+        cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / w).cast("int")), lambda i: F.slice(a, i * w + 1, w))
+        return let(let(width, cut), lambda chunks: F.flatten(F.zip_with(chunks, scan(F.transform(chunks, lambda c: F.aggregate(c, zero, lambda x, y: combine(x, y))), zero), lambda c, at: scan(c, at))))
+
+    return let(values, lambda a: F.when(F.size(a) == 0, F.slice(F.array(zero), F.lit(1), F.lit(0))).otherwise(chunked(a)))
+
+
+def hot_keys(big: DataFrame, on: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """(on, salts) of the keys that hold HOT_SHARE of all rows or more: at most 200 rows. `counts` (on, n), if the rows are counted already."""
+    counts = big.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts.select(*on, "n")
+    counts = settle(counts.where("n > 1000"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return counts.where(F.col("n") >= max(1000.0, total * HOT_SHARE)).select(*on, F.ceil(F.col("n") / F.lit(max(500.0, total * HOT_SHARE / 4))).cast("int").alias("salts"))
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """big joined with small, which has one row a key. The rows of a hot key are dealt over several tasks by a hash of `spread`,
+    and the key's row of `small` goes to each of them. Keys are not null. `how` is inner or left."""
+    hot = F.broadcast(hot_keys(big, on, counts))  # HOT_SHARE bounds its rows
+    dealt = big.join(hot, on, "left").withColumn("_salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread, F.lit("salt")), F.col("salts"))).cast("int")).drop("salts")
+    copied = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each has about `chars` bytes of text at most, or one row."""
     for b in batches:
@@ -67,7 +112,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of `edges` (a, b: long); the component is its smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), both as grouped minima and equi-joins, until
-    every edge leads to a smallest node. Edges stay distributed; only their count and a checksum reach the driver.
+    every edge leads to a smallest node. Edges stay distributed; only their count and two digests of 64 bits reach the driver.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = settle(e)
@@ -79,7 +124,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         e = settle(small)
-        now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first()
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break
         seen = tuple(now)

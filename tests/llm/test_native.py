@@ -1,7 +1,11 @@
 """Fingerprints, secrets, surrogates and url filters."""
 
 import hashlib
+import math
+import random
 import re
+import string
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -80,10 +84,89 @@ def test_base_spans_equal_brute_force(spark, rows):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(r["base"].count(k + ":") for k in secrets.KINDS[:3])
 
 
-def test_random_runs_are_told_from_words(spark):
-    import random
-    import string
+def brute_scores(v):
+    """The battery for one run, in plain Python: encoding and combined p-value."""
+    v = v.rstrip("=")
+    n = len(v)
+    enc, k, same = next(
+        (e, k, s)
+        for p, e, k, s in [("[0-9a-f]+|[0-9A-F]+", "hex", 16, 136 / 256), ("[A-Z2-7]+", "base32", 32, 712 / 1024), ("[0-9a-z]+|[0-9A-Z]+", "base36", 36, 776 / 1296), (".*", "base64", 64, 1456 / 4096)]
+        if re.fullmatch(p, v)
+    )
+    squares = sum(c * c for c in Counter(v).values())
+    chi = (k * squares / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    kind = ["0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "+" for c in v]
+    changes = sum(x != y for x, y in zip(kind, kind[1:], strict=False))
+    runs = (changes - (n - 1) * (1 - same)) / math.sqrt((n - 1) * same * (1 - same))
+    codes = list(map(ord, v))
+    mean = sum(codes) / n
+    spread = sum((c - mean) ** 2 for c in codes)
+    serial = (sum((x - mean) * (y - mean) for x, y in zip(codes, codes[1:], strict=False)) / spread if spread else 1.0) * math.sqrt(n)
+    tail = lambda z: 1 / (1 + math.exp(min(700.0, 1.702 * z)))
+    x = -sum(math.log(max(min(t, 1.0), 1e-12)) for t in (tail(chi), 2 * tail(abs(runs)), 2 * tail(abs(serial))))
+    return enc, math.exp(-x) * (1 + x + x * x / 2)
+
+
+def brute_random(texts):
+    """Random runs of all texts: (text number, start, end)."""
+    free = []
+    for i, t in enumerate(texts):
+        base = [tuple(map(int, x.split(":")[1:])) for x in brute_base(t).split(",") if x]
+        free += [(i, m.start(), m.end(), m[0]) for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", t or "") if not any(s < m.end() and m.start() < e for s, e in base)]
+    scored = {v: brute_scores(v) for *_, v in free}
+    size = lambda v: sum(len(v.rstrip("=")) >= x for x in (24, 32, 40, 64, 128))
+    bins = defaultdict(Counter)
+    for v, (enc, p) in scored.items():
+        for c in (size(v), -1):
+            bins[enc, c][min(19, int(p * 20))] += 1
+    limit = {}
+    for key, b in bins.items():
+        chance = 2 * sum(c for x, c in b.items() if x >= 10)
+        ok = [x for x in b if (sum(c for y, c in b.items() if y >= x) - (1 - x / 20) * chance) / sum(c for y, c in b.items() if y >= x) <= secrets.FALSE_SHARE]
+        if chance >= secrets.LEAST_RANDOM and ok:
+            limit[key] = min(ok)
+    least = lambda v: limit.get((scored[v][0], size(v)), limit.get((scored[v][0], -1), 10))
+    return {(i, s, e) for i, s, e, v in free if int(scored[v][1] * 20) >= least(v)}
+
+
+def many_secrets(n):
+    r = random.Random(8)
+    word = lambda: r.choice(["config_Reader_handler_index_value", "the", "token: abc", "password=hunter22", "secret = '" + "".join(r.choices("abcdef", k=9)), "AKIA" + "".join(r.choices("ABCDEFGH", k=18))])
+    key = lambda: "".join(r.choices(r.choice(["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", string.ascii_letters + string.digits + "+/"]), k=r.choice([20, 24, 30, 40, 64, 130]))) + r.choice(["", "=", "=="])
+    return "".join((word() if r.random() < 0.5 else key()) + r.choice([" ", "  ", "\n", "", "é", "=", ":"]) for _ in range(n))
+
+
+def test_battery_equals_brute_force(spark):
+    """Spans by the battery, and masks, of texts with very many matches of all kinds, overlapping ones included."""
+    texts = [many_secrets(n) for n in (0, 1, 2, 3, 5, 40, 200, 1000)] + ["lone " + "".join(random.Random(3).choices(string.ascii_letters + string.digits, k=40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_random(texts)
+    assert len(want) > 200
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(df, "<>").collect()}
+    for r in secrets.find_secrets(df).collect():
+        i, t = r["doc_id"], texts[r["doc_id"]]
+        every = sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x))
+        assert r["base"] == brute_base(t)
+        assert {(i, s, e) for s, e, k in every if k == "random"} == {x for x in want if x[0] == i}
+        out, at = "", 0
+        for s, e, _ in every:
+            if s >= at:
+                out += t[at:s] + "<>"
+            at = max(at, e)
+        assert masked[i] == out + t[at:]
+
+
+def test_secrets_are_linear_in_a_text(spark):
+    """A hundred thousand keys in one text: a quadratic pass would take a quarter of an hour."""
+    t = " ".join("".join(random.Random(i).choices("0123456789abcdef", k=24)) for i in range(100_000))
+    df = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    began = time.time()
+    assert secrets.find_secrets(df).first()["n_hex"] == 100_000
+    assert secrets.redact(df, "*").first()["text"] == " ".join("*" * 100_000)
+    assert time.time() - began < 200
 
+
+def test_random_runs_are_told_from_words(spark):
     r = random.Random(4)
     keys = ["".join(r.choices(string.ascii_letters + string.digits + "+/", k=40)) for _ in range(60)]
     words = ["_".join(r.choices(["alpha", "Reader", "config", "Value", "handler", "Index"], k=7))[:40] for _ in range(200)]
