@@ -68,12 +68,16 @@ def hot_keys(big: DataFrame, on: list[str], counts: DataFrame | None = None) ->
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
-    """big joined with small, which has one row a key. The rows of a hot key are dealt over several tasks by a hash of `spread`,
-    and the key's row of `small` goes to each of them. Keys are not null. `how` is inner or left."""
-    hot = F.broadcast(hot_keys(big, on, counts))  # HOT_SHARE bounds its rows
-    dealt = big.join(hot, on, "left").withColumn("_salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread, F.lit("salt")), F.col("salts"))).cast("int")).drop("salts")
-    copied = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
+    """big joined with small on keys that are not null. The rows of a hot key of `big` are dealt over several tasks by a hash of
+    `spread`, and the key's rows of `small`, of which there are few, go to each of them. `how` is inner or left."""
+    hot = hot_keys(big, on, counts)
+    if not hot.limit(1).count():
+        return big.join(small, on, how)
+    hot = F.broadcast(hot)  # HOT_SHARE bounds its rows
+    cold = big.join(hot.select(*on), on, "left_anti").join(small, on, how)
+    dealt = big.join(hot, on).withColumn("_salt", F.pmod(F.xxhash64(*spread, F.lit("salt")), F.col("salts")).cast("int")).drop("salts")
+    copied = small.join(hot, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return cold.unionByName(dealt.join(copied, [*on, "_salt"], how).select(cold.columns))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:

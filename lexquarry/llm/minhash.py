@@ -6,8 +6,8 @@
 3. A bucket holds the classes with one band in common; buckets with the same members count once. Each bucket gives a
    star: edges from its smallest member to every other, at most one a member. Edges are confirmed on the full sets.
 4. Where the members beside a bucket's centre still belong to several components, their pairs are compared within
-   blocks of bounded size, on full sets, and only links that join two components leave the task. So no link between
-   different texts is lost to the star's shape, and no group yields all its pairs.
+   blocks of bounded size (members and characters), on full sets, and only links that join two components leave the task. So no
+   link between different texts is lost to the star's shape, and no group yields all its pairs.
 5. Components of the links give the groups; all links stay distributed.
 """
 
@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import components, settle, slices, texts
+from ._base import components, salted_join, settle, slices, texts
 from ._words import SPACED, Words, mix, shingle_sets
 
 BINS = 192
-#: Members of a bucket that are compared at once.
-BLOCK = 512
+#: Members of a bucket that are compared at once, and the characters of their texts.
+BLOCK, BLOCK_CHARS = 2048, 1 << 22
 #: Below so many shingles a sketch says too little, and pairs go to the exact test at once.
 SMALL = 400
 
@@ -84,9 +84,10 @@ def _sketch(docs: DataFrame, k: int, rows: int) -> DataFrame:
             bands = _bands(sketches(sets), rows)
             d0 = np.array([int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
             d1 = np.array([int(np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(d0), pa.array(d1), pa.array([x.tolist() if c else [] for x, c in zip(bands, n.tolist(), strict=True)], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "d0", "d1", "bands"])
+            chars = pa.array([len(t or "") for t in b.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), chars, pa.array(d0), pa.array(d1), pa.array([x.tolist() if c else [] for x, c in zip(bands, n.tolist(), strict=True)], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "n_chars", "d0", "d1", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, n_chars long, d0 long, d1 long, bands array<long>")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -98,7 +99,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             left, right = (list(shingle_sets(Words(b.column(i).to_pylist(), SPACED, True), k)) for i in (2, 3))
             yield b.select(["a", "b"]).filter(pa.array([linked(x, y, percent) for x, y in zip(left, right, strict=True)], pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text", "other").mapInArrow(run, "a long, b long")
+    return salted_join(pairs, two, ["b"], ["a"]).join(one, "a").select("a", "b", "text", "other").mapInArrow(run, "a long, b long")
 
 
 def _compare(k: int, percent: int):
@@ -150,27 +151,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = band_rows(percent / 100)
     sk = settle(_sketch(docs, k, rows))
     some = sk.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("d0", "d1").agg(F.min("doc_id").alias("class_id"))
-    reps = some.join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", "d0", "d1"], "left_semi")
-    in_bucket = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))
-    buckets = in_bucket.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("last"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("center < last")
-    buckets = buckets.groupBy("center", "last", "members", "mark").agg(F.min("bucket").alias("bucket"))
-    members = settle(in_bucket.join(buckets.select("bucket", "center", "members"), "bucket").where("rep <> center").distinct())
-    links = settle(_confirm(members.select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct(), docs, k, percent))
+    reps = settle(some.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n"), F.min_by("n_chars", "doc_id").alias("n_chars")))
+    in_bucket = reps.select("rep", "n_chars", F.explode("bands").alias("bucket"))
+    buckets = in_bucket.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("last"), F.count("*").alias("members"), F.sum("n_chars").alias("chars"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("center < last")
+    buckets = settle(buckets.groupBy("center", "last", "members", "chars", "mark").agg(F.min("bucket").alias("bucket")))
+    held = salted_join(in_bucket.drop("n_chars"), buckets.select("bucket", "center", "members", "chars"), ["bucket"], ["rep"], counts=buckets.select("bucket", F.col("members").alias("n")))
+    members = settle(held.where("rep <> center").distinct())
+    links = settle(_confirm(settle(members.select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()), docs, k, percent))
     groups = settle(components(links))
 
-    labelled = members.where("members > 2").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "members", "rep", F.coalesce("component", "rep").alias("label"))
+    labelled = members.where("members > 2").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "members", "chars", "rep", F.coalesce("component", "rep").alias("label"))
     split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.count("*").alias("n")).where("lo < hi")
     split = split.groupBy("lo", "hi", "mark", "n").agg(F.min("bucket").alias("bucket"))  # the same members under another centre
-    rest = labelled.join(split.select("bucket"), "bucket", "left_semi").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
+    rest = labelled.join(split.select("bucket"), "bucket", "left_semi").withColumn("blocks", blocks)
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("bucket", F.least("block", "peer").alias("i"), F.greatest("block", "peer").alias("j"), "block", "rep", "label")
-    more = settle(rest.join(docs.withColumnRenamed("doc_id", "rep"), "rep").groupBy("bucket", "i", "j").applyInArrow(_compare(k, percent), "a long, b long"))
+    rest = settle(rest.select("bucket", F.least("block", "peer").alias("i"), F.greatest("block", "peer").alias("j"), "block", "rep", "label"))
+    with_text = salted_join(rest, docs.select(F.col("doc_id").alias("rep"), "text"), ["rep"], ["bucket", "i", "j"])
+    more = settle(with_text.groupBy("bucket", "i", "j").applyInArrow(_compare(k, percent), "a long, b long"))
     if more.limit(1).count():
         groups = settle(components(links.union(more)))
 
-    out = sk.join(classes.withColumnRenamed("class_id", "c"), ["d0", "d1"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("class_id"))
-    out = out.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id"))
-    return out.select("doc_id", "n_shingles", "class_id", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    classes = reps.select("d0", "d1", "n", F.col("rep").alias("class_id")).join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
+    classes = settle(classes.select("d0", "d1", "n", "class_id", F.coalesce("component", "class_id").alias("component_id")))
+    out = salted_join(some.select("doc_id", "n_shingles", "d0", "d1"), classes.drop("n"), ["d0", "d1"], ["doc_id"], counts=classes.select("d0", "d1", "n")).select("doc_id", "n_shingles", "class_id", "component_id")
+    bare = sk.where("not (n_shingles > 0 and doc_id is not null)")  # without shingles or id: in no join
+    own = F.when(F.col("n_shingles") > 0, F.lit(None).cast("long")).otherwise(F.col("doc_id"))
+    bare = bare.select("doc_id", "n_shingles", own.alias("class_id"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(bare).select("doc_id", "n_shingles", "class_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
