@@ -67,6 +67,38 @@ def test_plan_places_every_document():
             assert all(a[0] + a[1] == b[0] for a, b in zip(v, v[1:], strict=False)) and v[0][0] == 0 and sum(x[1] for x in v) <= 64
 
 
+def best_fit_decreasing(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        i = min((i for i, x in enumerate(rooms) if x >= n), key=lambda i: rooms[i], default=None)
+        if i is None:
+            rooms.append(capacity - n)
+        else:
+            rooms[i] -= n
+    return len(rooms)
+
+
+def test_as_few_sequences_as_best_fit_over_single_documents():
+    r = random.Random(9)
+    for _ in range(60):
+        capacity = r.choice([10, 64, 500])
+        lengths = r.choices(range(1, r.choice([5, capacity]) + 1), k=r.randint(0, 300))
+        assert packing.fills(Counter(lengths), capacity)[1] == best_fit_decreasing(lengths, capacity)
+
+
+def test_sequences_of_the_small_table(spark):
+    """No more sequences than best-fit over single pieces, which here is the least number that can be."""
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("length", "sequence_id").collect()
+    n = len({x["sequence_id"] for x in got})
+    assert n == best_fit_decreasing([x["length"] for x in got], 2048) == -(-sum(x["length"] for x in got) // 2048)
+
+
+def test_repeated_rows_do_not_share_a_place(spark):
+    docs = spark.createDataFrame([(1, "one two three")] * 500 + [(None, None)] * 300, "doc_id long, text string")
+    got = packing.pack(docs, capacity=64).collect()
+    assert len(got) == 800 and len({(x["sequence_id"], x["offset"]) for x in got}) == 800
+
+
 def test_no_documents(none):
     assert packing.pack(none).count() == 0
 
