@@ -1,8 +1,9 @@
 """URL filters: rules by host and path, and for all other urls a path-template tree with smoothed labelled purity.
 
 Rules label the urls they fit. Per host, path segments become the levels of a tree: segments with digits, and segments
-that are rare among very many siblings, become wildcards; sibling branches whose labelled shares don't differ
-significantly from their parent's are merged. A template is rejected when the blocked share of its labelled pages,
+that are rare among very many siblings, become wildcards (`*`); sibling branches whose labelled shares don't differ
+significantly from their parent's are merged (`*+`). The tree goes as deep as a node's pages suffice for either; below, no
+segment can change. A `*` of a url is written `%2A`, so that it is no wildcard. A template is rejected when the blocked share of its labelled pages,
 smoothed by that of the same template over all hosts and by the overall share, reaches a threshold. Only counts by template are gathered.
 """
 
@@ -11,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import settle
+from ._base import salted_join, settle
 
 #: Rules as (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Levels that data may generalise; siblings and share from which a segment is a variable; weight of smoothing; threshold.
-LEVELS, MANY, RARE, WEIGHT, REJECT = 4, 50, 0.02, 5.0, 0.6
+#: Siblings and share from which a segment is a variable; weight of smoothing; threshold.
+MANY, RARE, WEIGHT, REJECT = 50, 0.02, 5.0, 0.6
 #: Standard score under which a branch's blocked share is not told apart from its siblings'.
 SIMILAR = 1.64
 #: Labelled pages that a branch needs before it can be merged; with fewer, likeness would only be lack of evidence.
@@ -47,26 +48,49 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 
 def template(path: Column) -> Column:
     """Segments of a path, those with digits (file endings aside) as wildcards that keep the ending's kind."""
-    one = lambda s: F.when(F.regexp_replace(s, r"\.[A-Za-z]{1,5}$", "").rlike(r"\d"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(s)
+    one = lambda s: F.when(F.regexp_replace(s, r"\.[A-Za-z]{1,5}$", "").rlike(r"\d"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(F.replace(s, F.lit("*"), F.lit("%2A")))
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), one)
 
 
 def _tree(leaves: DataFrame) -> DataFrame:
-    """leaves (host, segments, n, labelled, blocked) with `final`: the segments after generalising and merging, level by level."""
-    t = settle(leaves.withColumn("final", F.array().cast("array<string>")))
-    for level in range(LEVELS):
-        here = F.get("segments", F.lit(level))
-        t = t.withColumn("seg", here)
-        node = t.where("seg is not null").groupBy("host", "final", "seg").agg(F.sum("n").alias("c"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    """leaves (host, segments, n, labelled, blocked) with `final`: the segments after generalising and merging, level by level.
+
+    A leaf is done when its segments end or its node has too few pages to be generalised further down: children are variable
+    only if there are more than MANY, and merged only with EVIDENCE labelled pages.
+    """
+    least = min(MANY + 1, EVIDENCE)
+    todo, done, level = settle(leaves.withColumn("final", F.array().cast("array<string>"))), [], 0
+    while True:
+        here = todo.withColumn("seg", F.get("segments", F.lit(level)))
+        node = here.where("seg is not null").groupBy("host", "final", "seg").agg(F.sum("n").alias("c"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.count("*").alias("leaves"))
+        node = settle(node)
         parent = node.groupBy("host", "final").agg(F.sum("c").alias("pc"), F.count("*").alias("kids"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
-        node = node.join(parent, ["host", "final"])
+        judged = salted_join(node, parent, ["host", "final"], ["seg"], counts=parent.withColumnRenamed("kids", "n"))
         p = F.col("pb") / F.greatest(F.col("pl"), F.lit(1))
         z = F.abs(F.col("b") - F.col("l") * p) / F.sqrt(F.greatest(F.col("l") * p * (1 - p), F.lit(0.25)))
         variable = (F.col("kids") > MANY) & (F.col("c") < RARE * F.col("pc"))
         alike = (F.col("kids") > 1) & (F.col("l") >= EVIDENCE) & (z < SIMILAR) & ~F.col("seg").startswith("*")
-        node = node.select("host", "final", "seg", F.when(variable | alike, F.lit("*")).otherwise(F.col("seg")).alias("as"))
-        t = settle(t.join(node, ["host", "final", "seg"], "left").withColumn("final", F.when(F.col("seg").isNull(), F.col("final")).otherwise(F.concat("final", F.array(F.coalesce("as", "seg"))))).drop("as", "seg"))
-    return t.withColumn("final", F.concat("final", F.slice("segments", LEVELS + 1, F.greatest(F.size("segments"), F.lit(1)))))
+        name = F.when(variable, F.lit("*")).when(alike, F.lit("*+")).otherwise(F.col("seg"))
+        judged = judged.select("host", "final", "seg", name.alias("as"))
+        moved = salted_join(here.where("seg is not null"), judged, ["host", "final", "seg"], ["segments"], counts=node.withColumnRenamed("leaves", "n").drop("c", "l", "b"))
+        moved = moved.withColumn("final", F.concat("final", F.array("as"))).drop("as", "seg")
+        moved = settle(moved)
+        done.append(here.where("seg is null").drop("seg"))
+        level += 1
+        pages = moved.groupBy("host", "final").agg(F.sum("n").alias("pages"), F.count("*").alias("rows"))
+        large = settle(pages.where(F.col("pages") >= least))
+        rest = lambda t: t.withColumn("final", F.concat("final", F.slice("segments", level + 1, F.greatest(F.size("segments"), F.lit(1)))))  # noqa: B023, E731
+        if large.limit(1).count() == 0:
+            done.append(rest(moved))
+            break
+        tagged = salted_join(moved, large.select("host", "final", F.lit(True).alias("on")), ["host", "final"], ["segments"], "left", large.select("host", "final", F.col("rows").alias("n")))
+        tagged = settle(tagged)
+        done.append(rest(tagged.where("on is null").drop("on")))
+        todo = tagged.where("on").drop("on")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return settle(out)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
@@ -81,7 +105,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) ->
     base = pages.select("page_id", host.alias("host"), path.alias("path"))
     base = base.select("*", rule.alias("rule"), verdict.alias("ruled"), template(F.col("path")).alias("segments"))
     labelled, blocked = F.col("ruled").isNotNull().cast("long"), F.coalesce(F.col("ruled") == "block", F.lit(False)).cast("long")
-    leaves = base.groupBy("host", "segments").agg(F.count("*").alias("n"), F.sum(labelled).alias("labelled"), F.sum(blocked).alias("blocked"))
+    leaves = settle(base.groupBy("host", "segments").agg(F.count("*").alias("n"), F.sum(labelled).alias("labelled"), F.sum(blocked).alias("blocked")))
     t = _tree(leaves)
     own = t.groupBy("host", "final").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     shape = own.groupBy("final").agg(F.sum("l").alias("sl"), F.sum("b").alias("sb"))
@@ -91,5 +115,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) ->
     like = (F.col("sb") + WEIGHT * over) / (F.col("sl") + WEIGHT)
     own = own.select("host", "final", ((F.col("b") + WEIGHT * like) / (F.col("l") + WEIGHT)).alias("blocked_share"))
     judged = t.select("host", "segments", "final").join(own, ["host", "final"])
-    out = base.join(judged, ["host", "segments"])
+    out = salted_join(base, judged, ["host", "segments"], ["page_id", "path"], counts=leaves)
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("blocked_share") >= REJECT, "block").otherwise("allow")).alias("verdict"), F.concat(F.lit("/"), F.array_join("final", "/")).alias("template"), "blocked_share")

@@ -290,6 +290,71 @@ def test_many_siblings_become_a_wildcard(spark):
     assert {r["template"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()} == {"/user/*"}
 
 
+def brute_templates(pages, rules):
+    """Templates, shares and verdicts of (id, url), by plain recursion over each host's tree."""
+    base = []
+    for i, u in pages:
+        host = path = ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            host = re.sub("[A-Z]", lambda m: m[0].lower(), re.match(r"[^/?#]*", rest)[0])
+            path = re.match(r"[^/?#]*([^?#]*)", rest, re.S)[1]
+        fits = [(len(h + p), v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        segs = tuple("*" + (re.search(r"(\.[A-Za-z]{1,5})$", s) or [""])[0] if re.search("[0-9]", re.sub(r"\.[A-Za-z]{1,5}$", "", s)) else s.replace("*", "%2A") for s in path.split("/") if s)
+        base.append((i, host, segs, max(fits)[1] if fits else None))
+    final = {}
+
+    def descend(host, rows, at, done):
+        ended = [r for r in rows if len(r[2]) == at]
+        final.update({(host, r[2]): done for r in ended})
+        kids = defaultdict(list)
+        for r in rows:
+            if len(r[2]) > at:
+                kids[r[2][at]].append(r)
+        every = [r for k in kids.values() for r in k]
+        known = lambda rs: [r[3] for r in rs if r[3]]
+        share = known(every).count("block") / max(1, len(known(every)))
+        groups = defaultdict(list)
+        for seg, k in kids.items():
+            l, b = len(known(k)), known(k).count("block")
+            z = abs(b - l * share) / math.sqrt(max(l * share * (1 - share), 0.25))
+            name = "*" if len(kids) > urls.MANY and len(k) < urls.RARE * len(every) else "*+" if len(kids) > 1 and l >= urls.EVIDENCE and z < urls.SIMILAR and seg[0] != "*" else seg
+            groups[name] += k
+        for name, k in groups.items():
+            descend(host, k, at + 1, (*done, name))
+
+    for host in {r[1] for r in base}:
+        descend(host, [r for r in base if r[1] == host], 0, ())
+    own, shape, total = defaultdict(list), defaultdict(list), []
+    for _, host, segs, v in base:
+        for x in (own[host, final[host, segs]], shape[final[host, segs]], total):
+            x += [v == "block"] if v else []
+    out = {}
+    for i, host, segs, v in base:
+        f = final[host, segs]
+        like = (sum(shape[f]) + urls.WEIGHT * sum(total) / max(1, len(total))) / (len(shape[f]) + urls.WEIGHT)
+        share = (sum(own[host, f]) + urls.WEIGHT * like) / (len(own[host, f]) + urls.WEIGHT)
+        out[i] = ("/" + "/".join(f), round(share, 9), v or ("block" if share >= urls.REJECT else "allow"))
+    return out
+
+
+def test_tree_equals_brute_force(spark):
+    r = random.Random(11)
+    segs = ["a", "b", "shop", "*", "x*y", "v1", "p2.html", "index.php", "de", "fr"]
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(120)]
+    pages = []
+    for i in range(6000):
+        deep = "/".join([r.choice(segs[:3]), r.choice(["u", "v"]), r.choice(segs), r.choice(segs), r.choice(segs[:2]), r.choice(names) if r.random() < 0.5 else "q", r.choice(segs), str(i)][: r.randint(0, 8)])
+        pages.append((i, f"http://{r.choice(['h', 'k', 'long'])}.{r.choice(['org', 'net'])}/{deep}"))
+    pages += [(6000 + i, None) for i in range(1500)] + [(8000, "http://deep.net/" + "s/" * 300), (8001, "http://h.org/" + "a/u/" * 40)]
+    rules = [("block", "org", "/a/"), ("allow", "org", "/b/"), ("block", "net", "/shop/u/de"), ("allow", "net", "/shop/v/")]
+    df = spark.createDataFrame([(*x, "r", "h", "t") for x in pages], "page_id long, url string, rule string, host string, segments string").repartition(4)
+    got = {x["page_id"]: (x["template"], round(x["blocked_share"], 9), x["verdict"]) for x in urls.judge(df, rules).collect()}
+    want = brute_templates(pages, rules)
+    assert got == want
+    assert any("*+" in t for t, *_ in got.values()) and any("%2A" in t for t, *_ in got.values()) and any(t.count("/") > 5 and "/*/" in t[8:] for t, *_ in got.values())
+
+
 def test_no_pages(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
