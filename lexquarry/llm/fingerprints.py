@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from ._base import settle, texts
 
-#: Ranges of ids that find each row's successor, at most; they hold ids only, never texts.
-RANGES = 512
+#: Ids of a range within which successors are found; ranges hold ids only, never texts.
+RANGE_IDS = 20_000
 
 #: A leaf: the least run of at most 256 characters that ends a sentence, else 256 characters or what is left.
 _LEAF = r"(?s).{0,254}?[.!?] |.{1,256}"
@@ -75,21 +75,18 @@ def differing_paragraphs(a: Column, b: Column) -> Column:
 def successors(ids: DataFrame) -> DataFrame:
     """(doc_id, half, next_id) for the distinct ids of `ids` (doc_id, half); the last id is followed by the first.
 
-    Ids are ordered within ranges that approximate quantiles bound; the first id of each range follows the range before. So
-    no task orders all ids. `half` is the largest of an id's rows.
+    Ids are ordered within ranges of about RANGE_IDS; the first id of each range follows the range before. So no task orders
+    all ids, only the ranges' first ones. `half` is the largest of an id's rows.
     """
     ids = ids.where("doc_id is not null").groupBy("doc_id").agg(F.max("half").alias("half"))
     n, low = ids.agg(F.count("*"), F.min("doc_id")).first()
     if not n:
         return ids.withColumn("next_id", F.col("doc_id"))
-    parts = max(2, min(RANGES, n // 5000))
-    bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0]))
-    spot = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("doc_id")))
-    ids = settle(ids.withColumn("part", spot))
-    firsts = ids.groupBy("part").agg(F.min("doc_id").alias("first"))  # one row a range, RANGES at most
+    ids = settle(ids.repartitionByRange(max(2, n // RANGE_IDS), "doc_id").withColumn("part", F.spark_partition_id()))
+    firsts = ids.groupBy("part").agg(F.min("doc_id").alias("first"))  # one row a range
     following = firsts.select("part", F.coalesce(F.lead("first").over(Window.orderBy("part")), F.lit(low)).alias("after"))
     led = ids.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
-    return led.join(F.broadcast(following), "part").select("doc_id", "half", F.coalesce("next_id", "after").alias("next_id"))
+    return led.join(following, "part").select("doc_id", "half", F.coalesce("next_id", "after").alias("next_id"))
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
