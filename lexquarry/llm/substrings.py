@@ -1,6 +1,6 @@
 """Removal of passages that a document with a smaller id also holds, by suffix automata of reference shards.
 
-Documents are dealt to blocks by a hash of their id. Four exchanges between blocks and shards find and settle what repeats:
+Documents are dealt to blocks of about BLOCK_CHARS characters by a hash of their id and text. Four exchanges between blocks and shards find and settle what repeats:
 
 1. each block sends the anchors of its windows to shards by anchor (an anchor is the least word 5-gram hash of a
    window, so equal windows have equal anchors), one row a block and shard;
@@ -34,8 +34,8 @@ from ._words import SPACED, Words, grams
 
 #: Words of an anchor. Longer anchors repeat less by chance, shorter ones are fewer.
 ANCHOR = 5
-#: Documents in a block, about; blocks for each shard.
-BLOCK_DOCS, BLOCKS_PER_SHARD = 400, 2
+#: Characters in a block, about; blocks for each shard.
+BLOCK_CHARS, BLOCKS_PER_SHARD = 800_000, 2
 #: Distinct windows of an anchor beyond which it is hot.
 HOT = 20_000
 #: Id of rows without one: after all others.
@@ -225,9 +225,9 @@ def repeats(docs: DataFrame, window: int = 13, blocks: int | None = None, hot: i
     with equal ids don't count as earlier than each other; a null id counts as the largest; a null or empty text has no words.
     """
     docs = texts(docs)
-    blocks = blocks or max(1, docs.count() // BLOCK_DOCS)
+    blocks = blocks or max(1, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)
     shards = max(1, blocks // BLOCKS_PER_SHARD)
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(blocks)))
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
     def offer(key: tuple, t: pa.Table) -> pa.Table:
         b = _Block(t, window)
