@@ -1,9 +1,10 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, found with a block-max inverted index.
 
-The index holds a bounded sample of labelled documents. Its terms are words and word beginnings that labelled
-documents of the positive class hold significantly more often. Postings are kept by term in blocks of examples, with
-the largest weight of every term in every block: a block whose bound stays below the k-th best cosine so far cannot
-hold a neighbour and is never read. Neighbours vote in proportion to their cosine, against the base rate of labels.
+The index holds a bounded sample of labelled documents. Its terms are all words and word beginnings of the sample that its
+positive documents hold significantly more often (LEAST_CHI; 0 keeps every term). Postings are kept by term in blocks of
+examples, with the largest weight of every term in every block: a block whose bound stays below the k-th best cosine so far
+cannot hold a neighbour and is never read. Neighbours vote in proportion to their cosine, against the base rate of labels;
+what share of the examples with such a vote is positive, each judged by the others, gives the score.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from ._words import PLAIN, Words
 
 #: The bounded sample: examples of either label, characters of an example; longer documents are not drawn.
 POSITIVE, NEGATIVE, EXAMPLE_CHARS = 1000, 2000, 20_000
-#: Terms of the index at most, and the least chi-squared of a term.
-TERMS, LEAST_CHI = 2000, 20.0
+#: The least chi-squared of a term of the index.
+LEAST_CHI = 20.0
 #: Examples in a block of postings; neighbours that vote; weight of the base rate beside their cosines.
 BLOCK, NEIGHBOURS, SMOOTHING = 64, 15, 2.0
 PREFIXES = (4, 5)
@@ -42,9 +43,9 @@ def _pairs(w: Words) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Selected terms, their document frequencies and the block-max index of the examples."""
 
-    def __init__(self, ids: list[int], example_texts: list[str], labels: list[int], base_rate: float) -> None:
+    def __init__(self, ids: list[int], example_texts: list[str], labels: list[int], base_rate: float, least_chi: float = LEAST_CHI) -> None:
         self.ids, self.label, self.base_rate = np.array(ids, dtype=np.int64), np.array(labels, dtype=np.float64), base_rate
-        self.texts = example_texts
+        self.texts, self.read = example_texts, 0
         found, held = [], []  # each batch's terms, and how many of its examples of either label hold them
         for lo, w in self._batches():
             d, t = _pairs(w)
@@ -61,8 +62,7 @@ class Model:
         n = p + q
         off = a * (q - c) - (p - a) * c
         chi = np.where(off > n / 2, n * (off - n / 2) ** 2 / np.maximum(p * q * (a + c) * (n - a - c), 1e-9), 0.0)
-        order = np.lexsort((terms, -chi))[:TERMS]
-        self.terms = np.sort(terms[order[chi[order] > LEAST_CHI]])
+        self.terms = terms[chi > least_chi] if least_chi else terms
 
     def _batches(self) -> Iterator[tuple[int, Words]]:
         """The examples' words, a bounded number of characters at once."""
@@ -101,34 +101,67 @@ class Model:
         self.blocks = -(-len(self.ids) // BLOCK)
         order = np.lexsort((d, t))
         self.example, self.weight = d[order], x[order]
-        key = t[order] * self.blocks + self.example // BLOCK
-        self.lead = np.searchsorted(key, np.arange(len(self.terms) * self.blocks + 1))
-        top = np.zeros(len(self.terms) * self.blocks)
-        np.maximum.at(top, key, self.weight)
-        self.top = top.reshape(len(self.terms), self.blocks)
+        key, first = np.unique(t[order] * self.blocks + self.example // BLOCK, return_index=True)  # terms' blocks that hold a posting
+        self.posting = np.append(first, len(order))
+        self.block = key % max(1, self.blocks)
+        self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
+        self.lead = np.searchsorted(key, np.arange(len(self.terms) + 1) * self.blocks)
         del self.texts
+        self._calibrate(d, t, x)
         return self
 
-    def _read(self, t: np.ndarray, x: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact cosines with the examples of the blocks: example numbers, cosines."""
-        key = (t[:, None] * self.blocks + blocks[None, :]).ravel()
-        lo, n = self.lead[key], self.lead[key + 1] - self.lead[key]
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        dot = np.bincount(self.example[at], weights=self.weight[at] * np.repeat(np.repeat(x, len(blocks)), n), minlength=len(self.ids))
-        some = np.flatnonzero(dot)
-        return some, dot[some]
+    def _vote(self, e: np.ndarray, s: np.ndarray) -> float:
+        return (s @ self.label[e] + SMOOTHING * self.base_rate) / (s.sum() + SMOOTHING)
+
+    def _calibrate(self, d: np.ndarray, t: np.ndarray, x: np.ndarray) -> None:
+        """Isotonic regression of the examples' labels on their votes by all other examples; the labels weigh as in the corpus."""
+        votes, own = [], []
+        for lo, hi in zip(*_runs(d), strict=True):
+            e, s = self.nearest(t[lo:hi], x[lo:hi], NEIGHBOURS + 1)
+            other = np.flatnonzero(e != d[lo])[:NEIGHBOURS]
+            votes.append(self._vote(e[other], s[other]))
+            own.append(int(d[lo]))
+        y = self.label[own]
+        share = self.label.mean() if len(self.label) else 0.0
+        weight = np.where(y == 1, self.base_rate / max(share, 1e-9), (1 - self.base_rate) / max(1 - share, 1e-9))
+        pools: list[list[float]] = []  # weight, weighted labels, weighted votes
+        for i in np.argsort(votes, kind="stable").tolist():
+            pools.append([weight[i], weight[i] * y[i], weight[i] * votes[i]])
+            while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+                last = pools.pop()
+                pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+        self.at = [0.0, *(p[2] / p[0] for p in pools if p[0] > 0), 1.0]
+        self.to = [0.0, *((p[1] + self.base_rate) / (p[0] + 1) for p in pools if p[0] > 0), 1.0]
+        self.to = np.maximum.accumulate(self.to)
+        self.read = 0
+
+    def calibrated(self, vote: float) -> float:
+        """The share of positives at a vote; a hundredth of the vote itself keeps the order within a level."""
+        return 0.99 * float(np.interp(vote, self.at, self.to)) + 0.01 * vote
 
     def nearest(self, t: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest positive cosine, ties by example number."""
-        bound = x @ self.top[t]
+        """The k examples with the largest positive cosine, ties by example number. `read` counts the blocks that are read."""
+        n = self.lead[t + 1] - self.lead[t]
+        at = np.repeat(self.lead[t] - np.cumsum(n) + n, n) + np.arange(n.sum())  # the terms' blocks, and the weight of each term
+        x, block = np.repeat(x, n), self.block[at]
+        bound = np.bincount(block, weights=x * self.top[at], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        first, rest = order[:4], order[4:]
-        e, s = self._read(t, x, first)
-        kth = np.partition(s, -k)[-k] if len(s) >= k else 0.0
-        rest = rest[bound[rest] >= max(kth - 1e-12, 1e-12)]  # block-max: all other blocks stay unread
-        if len(rest):
-            e2, s2 = self._read(t, x, rest)
-            e, s = np.concatenate((e, e2)), np.concatenate((s, s2))
+        e, s, lo, step = np.empty(0, np.int64), np.empty(0), 0, 4
+        while lo < len(order):
+            kth = np.partition(s, -k)[-k] if len(s) >= k else 0.0
+            some = order[lo : lo + step]
+            some = some[bound[some] >= max(kth - 1e-12, 1e-12)]  # block-max: all others stay unread
+            if not len(some):
+                break
+            self.read += len(some)
+            own = np.isin(block, some)
+            p = self.posting[at[own]]
+            m = self.posting[at[own] + 1] - p
+            post = np.repeat(p - np.cumsum(m) + m, m) + np.arange(m.sum())
+            dot = np.bincount(self.example[post], weights=self.weight[post] * np.repeat(x[own], m), minlength=len(self.ids))
+            hit = np.flatnonzero(dot)
+            e, s = np.concatenate((e, hit)), np.concatenate((s, dot[hit]))
+            lo, step = lo + step, 2 * step
         best = np.lexsort((e, -np.round(s, 12)))[:k]
         return e[best], s[best]
 
@@ -141,7 +174,7 @@ class Model:
             for lo, hi in zip(*_runs(d), strict=True):
                 e, s = self.nearest(t[lo:hi], x[lo:hi], k)
                 i = int(d[lo])
-                scores[i] = (s @ self.label[e] + SMOOTHING * self.base_rate) / (s.sum() + SMOOTHING)
+                scores[i] = self.calibrated(self._vote(e, s))
                 evidence[i] = [{"doc_id": a, "cosine": b, "toxic": int(c)} for a, b, c in zip(self.ids[e].tolist(), s.tolist(), self.label[e].tolist(), strict=True)]
         return np.clip(scores, 0.0, 1.0), evidence
 
@@ -152,17 +185,17 @@ def _runs(d: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[:-1], edge[1:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, trained: Column) -> Model:
-    """Fits on a bounded sample (POSITIVE and NEGATIVE rows, drawn by a hash of the id) of the labelled rows that `trained`
-    (over doc_id) holds for; document frequencies are counted over all documents."""
+def fit(docs: DataFrame, labels: DataFrame, trained: Column, least_chi: float = LEAST_CHI) -> Model:
+    """Fits on a bounded sample (POSITIVE and NEGATIVE ids, drawn by their hash) of the labelled rows that `trained`
+    (over doc_id) holds for; document frequencies are counted over all documents. Of rows with one id, the least text counts."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & trained).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     size = {r[0]: r[1] for r in own.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, POSITIVE / max(1, size.get(1, 0)))).otherwise(min(1.0, NEGATIVE / max(1, size.get(0, 0))))
     drawn = own.where(F.xxhash64("doc_id", F.lit("toxicity")) / F.lit(2.0**64) + 0.5 <= share)
-    rows = docs.select("doc_id", "text").where(F.length("text") <= EXAMPLE_CHARS).join(F.broadcast(drawn), "doc_id").collect()
+    rows = docs.select("doc_id", "text").where(F.length("text") <= EXAMPLE_CHARS).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (-r["toxic"], r["doc_id"], r["text"]))
     total = size.get(0, 0) + size.get(1, 0)
-    model = Model([r["doc_id"] for r in rows], [r["text"] for r in rows], [r["toxic"] for r in rows], size.get(1, 0) / total if total else 0.0)
+    model = Model([r["doc_id"] for r in rows], [r["text"] for r in rows], [r["toxic"] for r in rows], size.get(1, 0) / total if total else 0.0, least_chi)
     texts, model.texts = model.texts, []
     held = docs.sparkSession.sparkContext.broadcast(model)
     model.texts = texts

@@ -57,20 +57,84 @@ def test_toxicity_held_out_and_exact_neighbours(spark):
     held = [(got[i]["score"], y) for i, _, y in rows if i % 3 == 1]
     assert all((s >= 0.7) == (y == 1) for s, y in held)
     assert got[1000]["score"] == got[1001]["score"] == model.base_rate and got[1000]["evidence"] == []
-    # Neighbours against all cosines.
-    dense = np.zeros((len(model.ids), len(model.terms)))
-    for t in range(len(model.terms)):
-        lo, hi = model.lead[t * model.blocks], model.lead[(t + 1) * model.blocks]
-        dense[model.example[lo:hi], t] = model.weight[lo:hi]
-    w = Words([rows[4][1], rows[7][1], rows[10][1]], PLAIN, True)
-    d, t, x = model.weights(w)
-    for i in range(3):
-        q = np.zeros(len(model.terms))
-        q[t[d == i]] = x[d == i]
-        if q.any():
-            cos = dense @ q
-            e, s = model.nearest(t[d == i], x[d == i], 15)
-            assert np.allclose(np.sort(s)[::-1], np.sort(cos[cos > 0])[::-1][:15])
+    assert all(0 <= got[i]["score"] <= 1 for i in got)
+
+
+def term_counts(text):
+    """A text's terms in plain Python: words, and the first 4 and 5 bytes of longer ones."""
+    words = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+    return Counter([*words, *((k, w[:k]) for w in words for k in (4, 5) if len(w) > k)])
+
+
+@pytest.mark.parametrize(("least_chi", "block"), [(0.0, 64), (0.0, 8), (toxicity.LEAST_CHI, 8)])
+def test_neighbours_equal_all_cosines(monkeypatch, least_chi, block):
+    """The nearest examples by the block-max index, against cosines of all examples over plain dictionaries."""
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    rows = toxic_rows()
+    sample, asked = [x for x in rows if x[0] % 3 != 1], [x for x in rows if x[0] % 3 == 1]
+    m = toxicity.Model([x[0] for x in sample], [x[1] for x in sample], [x[2] for x in sample], 0.3, least_chi)
+    df = np.bincount(m.counts(Words([x[1] for x in rows], PLAIN, True))[1], minlength=len(m.terms))
+    m.index(dict(enumerate(df.tolist())), len(rows))
+    bags = {i: term_counts(t) for i, t, _ in rows}
+    spread = Counter(k for b in bags.values() for k in b)
+    if least_chi:
+        toxic = {i for i, _, y in sample if y}
+        held = Counter(k for i, _, _ in sample for k in bags[i])
+        held_toxic = Counter(k for i in toxic for k in bags[i])
+        n, p = len(sample), len(toxic)
+
+        def keeps(k):
+            a, all_ = held_toxic[k], held[k]
+            off = a * (n - p - all_ + a) - (p - a) * (all_ - a)
+            return off > n / 2 and n * (off - n / 2) ** 2 / max(p * (n - p) * all_ * (n - all_), 1e-9) > least_chi
+
+        bags = {i: Counter({k: c for k, c in b.items() if keeps(k)}) for i, b in bags.items()}
+
+    def unit(bag):
+        v = {k: (1 + math.log(c)) * (math.log((len(rows) + 1) / (spread[k] + 1)) + 1) for k, c in bag.items() if not least_chi or spread[k]}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {k: x / norm for k, x in v.items()}
+
+    vectors = {x[0]: unit({k: c for k, c in bags[x[0]].items()}) for x in sample}
+    known = {k for v in vectors.values() for k in v}
+    asked_some = 0
+    for i, t, _ in asked:
+        d, term, x = m.weights(Words([t], PLAIN, True))
+        q = unit({k: c for k, c in bags[i].items() if k in known})
+        assert len(q) == len(d)
+        if not len(d):
+            continue
+        cos = {j: sum(x * v[k] for k, x in q.items() if k in v) for j, v in vectors.items()}
+        e, s = m.nearest(term, x, 15)
+        want = sorted((c for c in cos.values() if c > 0), reverse=True)[:15]
+        assert np.allclose(s, want) and np.allclose([cos[int(m.ids[j])] for j in e], s)
+        asked_some += 1
+    assert asked_some > 30
+    if least_chi:
+        assert m.read < 0.9 * asked_some * m.blocks  # blocks whose bound is too low stay unread
+
+
+def test_toxicity_scores_are_calibrated():
+    """On held-out labels: few errors, and of the documents with about one score, about that share is labelled."""
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    d = "/root/testdata/sf0.1"
+    text = dict(zip(*pq.read_table(f"{d}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values(), strict=True))
+    labels = pq.read_table(f"{d}/labels.parquet").to_pydict()
+    y = {i: t for i, t in zip(labels["doc_id"], labels["toxic"], strict=True) if t in (0, 1) and i in text}
+    fit = [i for i in y if zlib.crc32(str(i).encode()) % 3 != 1 and len(text[i] or "") <= toxicity.EXAMPLE_CHARS]
+    held = [i for i in y if zlib.crc32(str(i).encode()) % 3 == 1]
+    m = toxicity.Model(fit, [text[i] for i in fit], [y[i] for i in fit], sum(y[i] for i in fit) / len(fit))
+    df = np.bincount(m.counts(Words([text[i] for i in held], PLAIN, True))[1], minlength=len(m.terms))
+    m.index(dict(enumerate(df.tolist())), len(held))
+    got = np.array(m.score([text[i] for i in held], toxicity.NEIGHBOURS)[0])
+    want = np.array([y[i] for i in held])
+    assert ((got - want) ** 2).mean() < 0.04 and (got[want == 0] >= 0.7).mean() < 0.005 and (got[want == 1] >= 0.7).mean() > 0.6
+    for lo in np.arange(0, 1, 0.25):
+        some = (got >= lo) & (got < lo + 0.25001)
+        assert some.sum() < 20 or abs(got[some].mean() - want[some].mean()) < 0.15
 
 
 def test_toxicity_without_labels(spark):
