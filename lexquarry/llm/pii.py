@@ -2,10 +2,12 @@
 
 Detected entities (e-mail addresses, telephone, payment-card, account, network and social-security numbers, and names after a form of
 address) are replaced by keyed ones of the same type and format: each character by one of its class, drawn from a
-keyed digest; cards keep their issuer digit and a valid check digit, addresses stay valid, names keep gender and
-script. Equal entities get equal surrogates everywhere (coreference). A surrogate that two entities share, or that is
-itself an entity of the corpus, is drawn anew for all but the first, until all are distinct. From some attempt on, more
-is drawn than the format holds (WIDE), so that distinct surrogates exist however many entities of a kind there are.
+keyed digest; cards keep their issuer digit and a valid check digit, account numbers their country and valid check digits,
+addresses stay valid, names keep gender and script. Given and family names are entities of their own, so "Mr John Smith" and
+"Mr. Smith" stay one person. Equal entities get equal surrogates everywhere (coreference). A surrogate that two entities
+share, or that is itself an entity of the corpus, is drawn anew for all but the first, until all are distinct; only those that
+collide are drawn again. From some attempt on, more is drawn than the format holds (WIDE), so that distinct surrogates exist
+however many entities of a kind there are. Detection goes by form: a number that fails its check sum is replaced as well.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import settle
+from ._base import let, salted_join, settle
 
 # Forms of address by gender and script, and given and family names for surrogates.
 TITLES = {
@@ -123,8 +125,16 @@ def _check_digit(v: Column) -> Column:
     return F.concat(F.expr("left(drawn, length(drawn) - 1)"), ((10 - total % 10) % 10).cast("string"))
 
 
+def _account(v: Column) -> Column:
+    """v with its third and fourth characters set to satisfy the check sum of account numbers (mod 97)."""
+    rest = F.concat(F.substring(v, F.lit(5), F.length(v)), F.left(v, F.lit(2)), F.lit("00"))
+    step = lambda a, c: F.when(c.rlike("^[0-9]$"), a * 10 + c.try_cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    total = F.aggregate(F.split(rest, ""), F.lit(0), step)
+    return F.concat(F.left(v, F.lit(2)), F.lpad((98 - total).cast("string"), 2, "0"), F.substring(v, F.lit(5), F.length(v)))
+
+
 def _draw(e: DataFrame, key: str) -> DataFrame:
-    """Adds `surrogate` (in canonical form and, for names, without title) for type, canonical and attempt."""
+    """Adds `surrogate` (in canonical form) for type, canonical and attempt; types of names are name (family), given_f and given_m."""
     seed = F.concat_ws("|", F.lit(key), "type", "canonical", F.col("attempt").cast("string"))
     e = e.withColumn("h", F.concat(F.sha2(seed.cast("binary"), 256), F.sha2(F.concat(seed, F.lit("+")).cast("binary"), 256)))
     e = e.withColumn("more", F.concat(F.sha2(F.concat(seed, F.lit("-")).cast("binary"), 256), F.sha2(F.concat(seed, F.lit("=")).cast("binary"), 256)))
@@ -139,50 +149,61 @@ def _draw(e: DataFrame, key: str) -> DataFrame:
     local = F.when(attempt >= WIDE["email"], F.concat(F.substring(_mapped(local, h), F.lit(1), 64 - grown("email")), _tail(more, grown("email"), list("abcdefghijklmnopqrstuvwxyz0123456789")))).otherwise(_mapped(local, h))
     drawn = F.concat(F.substring(v, F.lit(1), F.col("keep")), _mapped(F.substring(v, F.col("keep") + 1, F.length(v)), h))
     drawn = F.when(F.col("type").isin("phone", "ssn") & (attempt >= WIDE["number"]), F.concat(drawn, _tail(more, grown("number"), list("0123456789")))).otherwise(drawn)
-    two = F.size(F.split(v, " ")) > 1
     script = F.when(v.rlike("^[А-ЯЁ]"), "cyrillic").otherwise("latin")
-    full = None
-    for g, names in NAMES.items():
-        s = g.split("_")[1]
-        rest = F.when(attempt >= WIDE["name"], _tail(more, F.least(grown("name") + 1, F.lit(MOST)), SYLLABLES[s])).when(attempt > 2, F.concat(F.lit("-"), _pick(FAMILY[s], h, 9))).otherwise("")
-        family = F.concat(_pick(FAMILY[s], h, 4), rest)
-        value = F.when(two, F.concat_ws(" ", _pick(names, h, 0), family)).otherwise(family)
-        cond = F.concat_ws("_", F.col("gender"), script) == g
-        full = F.when(cond, value) if full is None else full.when(cond, value)
+    full = F.lit(None).cast("string")
+    for kind, pools in (("name", {f"name_{k}": v for k, v in FAMILY.items()}), ("given", {f"given_{k}": v for k, v in NAMES.items()})):
+        for g, names in pools.items():
+            rest = F.when(attempt >= WIDE["name"], _tail(more, F.least(grown("name") + 1, F.lit(MOST)), SYLLABLES[g.split("_")[-1]])).when(attempt > 2, F.concat(F.lit("-"), _pick(names, h, 9))).otherwise("")
+            full = F.when(F.concat_ws("_", "type", script) == g, F.concat(_pick(names, h, 0 if kind == "given" else 4), rest)).otherwise(full)
     e = e.withColumn("drawn", drawn)
     return e.withColumn(
         "surrogate",
         F.when(F.col("type") == "email", F.concat(local, F.lit("@"), host))
         .when(F.col("type") == "ip", address)
         .when(F.col("type") == "card", _check_digit(F.col("drawn")))
-        .when(F.col("type") == "name", F.coalesce(full, F.col("drawn")))
+        .when(F.col("type") == "iban", _account(F.col("drawn")))
+        .when(F.col("type").isin("name", "given_f", "given_m"), F.coalesce(full, F.col("drawn")))
         .otherwise(F.col("drawn")),
     ).drop("h", "more", "drawn")
 
 
 def surrogates(entities: DataFrame, key: str, max_attempts: int = 40) -> DataFrame:
     """(type, canonical, surrogate) for the distinct entities (type, canonical, gender, keep): distinct, and no entity's own value."""
-    e = settle(entities.groupBy("type", "canonical").agg(F.min("gender").alias("gender"), F.min("keep").alias("keep")).withColumn("attempt", F.lit(0)))
+    every = settle(entities.groupBy("type", "canonical").agg(F.min("gender").alias("gender"), F.min("keep").alias("keep")))
+    taken, done = every.select("type", F.col("canonical").alias("surrogate")), None
+    todo = every.withColumn("attempt", F.lit(0))
     for _ in range(max_attempts):
-        drawn = settle(_draw(e, key))
-        taken = drawn.select("type", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
-        ranked = drawn.join(taken, ["type", "surrogate"], "left").withColumn("rank", F.row_number().over(Window.partitionBy("type", "surrogate").orderBy("attempt", "canonical")))
-        e = settle(ranked.withColumn("again", F.coalesce("real", F.lit(False)) | (F.col("rank") > 1)).select("type", "canonical", "gender", "keep", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"), "again", "surrogate"))
-        if not e.where("again").limit(1).count():
-            return e.select("type", "canonical", "surrogate")
-        e = e.drop("again", "surrogate")
+        drawn = settle(_draw(todo, key))
+        first = drawn.groupBy("type", "surrogate").agg(F.min("canonical").alias("canonical"))
+        kept = settle(first.join(taken, ["type", "surrogate"], "left_anti").select("type", "canonical", "surrogate"))
+        done = kept if done is None else done.unionByName(kept)
+        todo = settle(drawn.join(kept, ["type", "canonical"], "left_anti").drop("surrogate").withColumn("attempt", F.col("attempt") + 1))
+        if not todo.limit(1).count():
+            return done
+        taken = taken.unionByName(kept.select("type", "surrogate"))
     raise RuntimeError(f"surrogates collide after {max_attempts} attempts")
 
 
 def _formatted(value: Column, kind: Column, surrogate: Column) -> Column:
-    """The surrogate in the format of this occurrence: its separators, and its title; what a number has grown by follows."""
+    """The surrogate in the format of this occurrence, with its separators; what a number has grown by follows."""
     spread = F.aggregate(
         F.split(value, ""),
         F.struct(F.lit(0).alias("i"), F.lit("").alias("out")),
         lambda a, c: F.when(c.rlike("^[A-Za-z0-9]$"), F.struct((a["i"] + 1).alias("i"), F.concat(a["out"], F.substring(surrogate, a["i"] + 1, F.lit(1))).alias("out"))).otherwise(F.struct(a["i"].alias("i"), F.concat(a["out"], c).alias("out"))),
         lambda a: F.concat(a["out"], F.substring(surrogate, a["i"] + 1, F.length(surrogate))),
     )
-    return F.when(kind == "name", F.concat(F.regexp_extract(value, r"^\S+ ", 0), surrogate)).when(kind.isin("email", "ip"), surrogate).otherwise(spread)
+    return F.when(kind.isin("email", "ip", "name", "given_f", "given_m"), surrogate).otherwise(spread)
+
+
+def _entities(value: Column, kind: Column) -> Column:
+    """What an occurrence consists of: (before, type, canonical, gender, keep), where `before` stays as it is. A name's words are
+    entities, the last one the family's; all else is one entity."""
+    women = "|".join(TITLES["f_latin"] + TITLES["f_cyrillic"])
+    gender = F.when(value.rlike(rf"^(?:{women})\b"), "f").otherwise("m")
+    row = lambda before, type_, canonical, keep: F.struct(before.alias("before"), type_.alias("type"), canonical.alias("canonical"), gender.alias("gender"), keep.alias("keep"))
+    title, words, none = F.regexp_extract(value, r"^\S+ ", 0), F.split(_canonical(value, kind), " "), F.lit(0)
+    named = F.transform(words, lambda w, i: row(F.when(i == 0, title).otherwise(" "), F.when(i == F.size(words) - 1, "name").otherwise(F.concat(F.lit("given_"), gender)), w, none))
+    return F.when(kind == "name", named).otherwise(F.array(row(F.lit(""), kind, _canonical(value, kind), _kept(value, kind))))
 
 
 def pseudonymise(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
@@ -195,13 +216,13 @@ def pseudonymise(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     values = F.when(_may_hold(F.col("text")), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
     found = docs.withColumn("values", F.coalesce(values, F.array().cast("array<string>")))
     plain = found.where(F.size("values") == 0).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
-    held = settle(found.where(F.size("values") > 0).withColumn("row", F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("hash"))))
-    each = held.select("row", F.posexplode("values").alias("at", "value")).distinct().withColumn("type", _type(F.col("value")))
-    women = "|".join(TITLES["f_latin"] + TITLES["f_cyrillic"])
-    each = settle(each.select("row", "at", "value", "type", _canonical(F.col("value"), F.col("type")).alias("canonical"), F.when(F.col("value").rlike(rf"^(?:{women})\b"), "f").otherwise("m").alias("gender"), _kept(F.col("value"), F.col("type")).alias("keep")))
+    held = settle(found.where(F.size("values") > 0).select("*", F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("hash")).alias("row"), F.monotonically_increasing_id().alias("nth")))
+    each = held.select("row", F.posexplode("values").alias("at", "value")).distinct().withColumn("parts", _entities(F.col("value"), _type(F.col("value"))))
+    each = settle(each.select("row", "at", "value", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "p")).select("row", "at", "value", "part", (F.col("part") == F.col("n") - 1).alias("last"), "p.*"))
     new = surrogates(each.select("type", "canonical", "gender", "keep"), key)
-    swapped = each.join(new, ["type", "canonical"]).select("row", F.struct("at", _formatted(F.col("value"), F.col("type"), F.col("surrogate")).alias("new")).alias("s"))
-    lists = swapped.groupBy("row").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["new"]).alias("new"))
-    gaps = F.split("text", ENTITY, -1)
-    rebuilt = F.array_join(F.zip_with(gaps, "new", lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    return plain.unionByName(held.join(lists, "row").select("doc_id", rebuilt.alias("text"), F.size("values").cast("long").alias("n_entities")))
+    swapped = salted_join(each, new, ["type", "canonical"], ["row", "at"])
+    piece = F.struct("at", "part", F.concat("before", _formatted(F.col("value"), F.col("type"), F.col("surrogate"))).alias("new"), "last")
+    lists = settle(swapped.groupBy("row").agg(F.array_sort(F.collect_list(piece)).alias("pieces")))
+    put = lambda gaps: F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform("pieces", lambda p: F.concat(p["new"], F.when(p["last"], F.get(gaps, p["at"] + 1)).otherwise(""))), ""))
+    rebuilt = let(F.split("text", ENTITY, -1), put)
+    return plain.unionByName(salted_join(held, lists, ["row"], ["nth"]).select("doc_id", rebuilt.alias("text"), F.size("values").cast("long").alias("n_entities")))

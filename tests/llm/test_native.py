@@ -9,6 +9,7 @@ import time
 from collections import Counter, defaultdict
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lexquarry.llm import fingerprints, pii, secrets, urls
@@ -244,6 +245,67 @@ def test_surrogates_never_run_out(spark):
         assert r["type"] != "name" or (r["surrogate"] < "a") == (r["canonical"] < "a")
 
 
+def iban_ok(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_replacement_equals_brute_force(spark):
+    """Every entity that the pattern finds goes, nothing else changes, and the mapping is one to one over all documents."""
+    r = random.Random(12)
+    letters = lambda n: "".join(r.choices(string.ascii_lowercase, k=n))
+    given, family = ["Ann", "Bea", "Cid", "Dee"], ["Smith", "Jones", "O'Hara", "Müller", "Karla"]
+    digits = lambda n: "".join(r.choices(string.digits, k=n))
+    make = [
+        lambda: f"{letters(3)}.{letters(2)}@{letters(4)}.com", lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), lambda: f"{r.choice(['Mr', 'Mr.', 'Mrs', 'Frau'])} {r.choice(given)} {r.choice(family)}",
+        lambda: f"{r.choice(['Mr', 'Ms.'])} {r.choice(family)}", lambda: f"Господин {r.choice(['Иванов', 'Петров'])}", lambda: "DE" + digits(2) + "".join(" " + digits(4) for _ in range(4)) + " " + digits(2),
+        lambda: "4" + digits(15), lambda: f"+{digits(2)} ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+    ]
+    texts = ["; ".join(r.choice([lambda: "plain words", lambda: "1.5 times", *make])() for _ in range(r.randint(0, 60))) for _ in range(120)]
+    docs = [(i, t, "c", "v") for i, t in enumerate(texts)] + [(None, "Mr. Smith and Mr Bob Smith", "c", "v"), (None, None, "c", "v"), (1, texts[1], "c", "v")]
+    got = pii.pseudonymise(spark.createDataFrame(docs, "doc_id long, text string, values string, row string").repartition(3))
+    no_python(got)
+    out = defaultdict(set)
+    for x in got.collect():
+        out[x["doc_id"]].add((x["text"], x["n_entities"]))
+    assert got.count() == len(docs) and all(len(v) == 1 for k, v in out.items() if k is not None) and (None, 0) in out[None]
+    entity = regex.compile(pii.ENTITY)
+    mapping = defaultdict(set)
+    for i, t in enumerate(texts):
+        found = [m[0] for m in entity.finditer(t)]
+        new, n = next(iter(out[i]))
+        assert n == len(found)
+        at = 0
+        for j, gap in enumerate(entity.split(t)):
+            assert new.startswith(gap, at), (t, new)
+            at += len(gap)
+            if j == len(found):
+                assert at == len(new)
+                break
+            end = new.index(";", at) if ";" in new[at:] else len(new)
+            value, swap = found[j], new[at:end]
+            at = end
+            kind = next(k for k, p in pii.PATTERNS.items() if regex.fullmatch(p, value))
+            if kind == "name":
+                (title, *old), (title2, *put) = value.split(" "), swap.split(" ")
+                assert title == title2 and len(old) == len(put)
+                mapping["family", old[-1]].add(put[-1])
+                if len(old) > 1:
+                    mapping["given", title.strip(".") in ("Mrs", "Frau"), old[0]].add(put[0])
+            else:
+                plain = lambda v: v.lower() if kind == "email" else v if kind == "ip" else re.sub("[^A-Za-z0-9]", "", v)  # noqa: B023, E731
+                mapping[kind, plain(value)].add(plain(swap))
+                assert re.sub("[A-Za-z0-9]", "", value) == re.sub("[A-Za-z0-9]", "", swap) or kind in ("email", "ip")
+                assert kind != "card" or luhn(swap)
+                assert kind != "iban" or iban_ok(swap) and swap[:2] == value[:2]
+    assert all(len(v) == 1 for v in mapping.values())
+    pairs = [(k[:-1], next(iter(v))) for k, v in mapping.items()]
+    assert len(set(pairs)) == len(pairs) and not set(pairs) & {(k[:-1], k[-1]) for k in mapping}
+    people = next(t for t, _ in out[None] if t)
+    names = re.fullmatch(r"Mr\. (\S+) and Mr (\S+) (\S+)", people)
+    assert names[1] == names[3] and names[1] in mapping["family", "Smith"]  # one person, one name
+
+
 def test_grown_number_is_written_whole(spark):
     df = spark.createDataFrame([("+1 23 45", "phone", "198765"), ("123-45-6789", "ssn", "987654321")], "value string, kind string, surrogate string")
     assert [r[0] for r in df.select(pii._formatted(F.col("value"), F.col("kind"), F.col("surrogate"))).collect()] == ["+1 98 765", "987-65-4321"]
