@@ -26,7 +26,7 @@ from ._words import SPACED, Words, mix, shingle_sets
 
 BINS = 192
 #: Members of a bucket that are compared at once, and the characters of their texts.
-BLOCK, BLOCK_CHARS = 2048, 1 << 22
+BLOCK, BLOCK_CHARS = 1024, 1 << 22
 #: Below so many shingles a sketch says too little, and pairs go to the exact test at once.
 SMALL = 400
 
@@ -151,20 +151,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = band_rows(percent / 100)
     sk = settle(_sketch(docs, k, rows))
     some = sk.where("n_shingles > 0 and doc_id is not null")
-    reps = settle(some.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n"), F.min_by("n_chars", "doc_id").alias("n_chars")))
-    in_bucket = reps.select("rep", "n_chars", F.explode("bands").alias("bucket"))
-    buckets = in_bucket.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("last"), F.count("*").alias("members"), F.sum("n_chars").alias("chars"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("center < last")
-    buckets = settle(buckets.groupBy("center", "last", "members", "chars", "mark").agg(F.min("bucket").alias("bucket")))
-    held = salted_join(in_bucket.drop("n_chars"), buckets.select("bucket", "center", "members", "chars"), ["bucket"], ["rep"], counts=buckets.select("bucket", F.col("members").alias("n")))
+    classes = settle(some.groupBy("d0", "d1").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")))
+    reps = some.join(classes.select("d0", "d1", F.col("class_id").alias("doc_id")), ["doc_id", "d0", "d1"], "left_semi")
+    reps = reps.groupBy("doc_id", "d0", "d1").agg(F.any_value("bands").alias("bands"), F.any_value("n_chars").alias("n_chars"))  # repeated rows once
+    in_bucket = reps.select(F.col("doc_id").alias("rep"), "n_chars", F.explode("bands").alias("bucket"))
+    buckets = in_bucket.groupBy("bucket").agg(F.min("rep").alias("center"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("members > 1")
+    buckets = settle(buckets.groupBy("center", "members", "mark").agg(F.min("bucket").alias("bucket")))
+    held = salted_join(in_bucket, buckets.select("bucket", "center", "members"), ["bucket"], ["rep"], counts=buckets.select("bucket", F.col("members").alias("n")))
     members = settle(held.where("rep <> center").distinct())
     links = settle(_confirm(settle(members.select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()), docs, k, percent))
     groups = settle(components(links))
 
-    labelled = members.where("members > 2").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "members", "chars", "rep", F.coalesce("component", "rep").alias("label"))
-    split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.count("*").alias("n")).where("lo < hi")
-    split = split.groupBy("lo", "hi", "mark", "n").agg(F.min("bucket").alias("bucket"))  # the same members under another centre
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
-    rest = labelled.join(split.select("bucket"), "bucket", "left_semi").withColumn("blocks", blocks)
+    labelled = members.where("members > 2").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "n_chars", "rep", F.coalesce("component", "rep").alias("label"))
+    split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.count("*").alias("n"), F.sum("n_chars").alias("chars")).where("lo < hi")
+    split = split.groupBy("lo", "hi", "mark", "n", "chars").agg(F.min("bucket").alias("bucket"))  # the same members under another centre
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS), F.lit(1)).cast("int")
+    rest = salted_join(labelled.drop("n_chars"), split.select("bucket", blocks.alias("blocks")), ["bucket"], ["rep"])
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = settle(rest.select("bucket", F.least("block", "peer").alias("i"), F.greatest("block", "peer").alias("j"), "block", "rep", "label"))
     with_text = salted_join(rest, docs.select(F.col("doc_id").alias("rep"), "text"), ["rep"], ["bucket", "i", "j"])
@@ -172,7 +174,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if more.limit(1).count():
         groups = settle(components(links.union(more)))
 
-    classes = reps.select("d0", "d1", "n", F.col("rep").alias("class_id")).join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
+    classes = classes.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
     classes = settle(classes.select("d0", "d1", "n", "class_id", F.coalesce("component", "class_id").alias("component_id")))
     out = salted_join(some.select("doc_id", "n_shingles", "d0", "d1"), classes.drop("n"), ["d0", "d1"], ["doc_id"], counts=classes.select("d0", "d1", "n")).select("doc_id", "n_shingles", "class_id", "component_id")
     bare = sk.where("not (n_shingles > 0 and doc_id is not null)")  # without shingles or id: in no join
