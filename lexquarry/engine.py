@@ -31,7 +31,7 @@ class CorpusEngine:
 
     def __init__(self, spark: SparkSession, corpus: tables.Corpus, root: str = ".") -> None:
         self.spark, self.corpus, self.root = spark, corpus, root
-        self.last_built_at = time.time()
+        self.last_built_at, self.cached = time.time(), False
 
     @classmethod
     def from_tree(cls, spark: SparkSession, root: str) -> CorpusEngine:
@@ -41,14 +41,27 @@ class CorpusEngine:
     def from_generation(cls, spark: SparkSession, home: str, root: str = ".") -> CorpusEngine:
         return cls(spark, Generations(spark, home).load(), root)
 
+    def cache(self) -> CorpusEngine:
+        """Holds the index in memory, now and after every rebuild or refresh."""
+        self.cached = True
+        self.corpus.cache()
+        return self
+
     def rebuild(self) -> DataFrame:
-        self.corpus = build(self.spark, self.root)
+        old, self.corpus = self.corpus, build(self.spark, self.root)
+        if self.cached:
+            self.corpus.cache()
+            old.unpersist()
         self.last_built_at = time.time()
         return self.index_stats()
 
     def refresh(self) -> dict[str, int]:
         """Takes over what changed in the tree: counts of added, modified and removed entries."""
-        self.corpus, delta = refreshed(self.corpus, scan(self.spark, self.root, IGNORED_NAMES), self.root)
+        new, delta = refreshed(self.corpus, scan(self.spark, self.root, IGNORED_NAMES), self.root)
+        if new is not self.corpus and self.cached:
+            new.cache()
+            self.corpus.unpersist()
+        self.corpus = new
         self.last_built_at = time.time()
         return {"mode": "incremental", **delta}
 

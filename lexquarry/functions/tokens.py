@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NOT_ALNUM = "[^a-zA-Z0-9]+"
+#: Words without inner boundaries, whose only part is the word itself.
+SIMPLE = "^(?:[A-Za-z][a-z0-9]*|[0-9]+)$"
 CAMEL = "[A-Z][a-z0-9]+|[A-Z]{2,}(?=[A-Z][a-z]|[0-9]|$)|[a-z][a-z0-9]*|[0-9]+"
 
 # Words that the weighted document vectors leave out. Queries and postings keep them.
@@ -33,7 +35,7 @@ def identifier_parts(token: Column) -> Column:
     """The lower-cased token, then its camel-case parts of two or more characters that differ from it."""
     whole = F.lower(token)
     parts = F.transform(F.regexp_extract_all(token, F.lit(CAMEL), F.lit(0)), lambda p: F.lower(p))
-    return F.concat(F.array(whole), F.filter(parts, lambda p: (p != whole) & (F.length(p) >= 2)))
+    return F.when(token.rlike(SIMPLE), F.array(whole)).otherwise(F.concat(F.array(whole), F.filter(parts, lambda p: (p != whole) & (F.length(p) >= 2))))
 
 
 def terms(v: Column) -> Column:
@@ -45,9 +47,14 @@ def token_set(v: Column) -> Column:
     return F.array_distinct(terms(v))
 
 
+def indexed(term: Column) -> Column:
+    """Whether a token counts in the weighted document vectors: two or more characters, and no stop word."""
+    return (F.length(term) >= 2) & ~term.isin(STOP_WORDS)
+
+
 def index_terms(v: Column) -> Column:
     """Tokens of two or more characters that are no stop words."""
-    return F.filter(terms(v), lambda t: (F.length(t) >= 2) & ~t.isin(STOP_WORDS))
+    return F.filter(terms(v), indexed)
 
 
 def query_terms(text: str) -> list[str]:

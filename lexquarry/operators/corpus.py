@@ -1,13 +1,18 @@
-"""The index of a corpus as plain tables: tokens, weighted document terms and collection statistics."""
+"""The index of a corpus as plain tables: tokens, weighted document terms and collection statistics.
+
+Every text is tokenised once, for `postings`: one row a document and token, with the token's weighted frequency and its count in the
+body. The tables of content tokens, document terms, lengths and statistics follow from it.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import index_terms, stem, token_set
+from ..functions.tokens import index_terms, indexed, stem, terms, token_set
 from ..sources.fstree import IGNORED_NAMES, is_text_entry
 
 #: Field weights of a document's terms, and the constants of BM25.
@@ -22,6 +27,14 @@ REFS = "name string, path string, cnt long, ordinal int"
 DEFINING = ("class", "function", "method", "struct", "enum", "union", "macro")
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """The rows as they are now, in the folder that `spark.checkpoint.dir` names (a temporary one only where that is unset)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexquarry-"))
+    return df.checkpoint(eager=True)
+
+
 @dataclass
 class Corpus:
     """entries and texts are given; symbols and refs may be empty. The other tables follow from them, lazily."""
@@ -52,11 +65,16 @@ class Corpus:
         return self.tables[name]
 
     def cache(self) -> Corpus:
-        """Holds the tables that queries read in executor memory and disk."""
+        """Holds all tables that queries read in executor memory and disk. Postings lie in the order of their terms, in ranges that
+        also split frequent terms, so that a query for some terms skips what holds none of them."""
+        self.tables = {}
         for name in ("entries", "symbols", "refs"):
             setattr(self, name, getattr(self, name).cache())
-        for name in ("bodies", "content_tokens", "doc_terms", "term_stats", "doc_stats"):
-            self.tables[name] = getattr(self, name).cache()
+        for name in ("bodies", "path_tokens", "postings", "term_stats", "doc_lengths", "corpus_stats", "doc_stats"):
+            df = getattr(self, name)
+            if name == "postings":
+                df = df.repartitionByRange("term", "path").sortWithinPartitions("term", "path")
+            self.tables[name] = df.cache()
         return self
 
     def unpersist(self) -> None:
@@ -74,16 +92,8 @@ def _path_tokens(c: Corpus) -> DataFrame:
     return c.entries.select("path", F.explode(token_set(F.concat_ws(" ", "name", "path"))).alias("token"))
 
 
-def _content_tokens(c: Corpus) -> DataFrame:
-    return c.bodies.select("path", F.explode(token_set(F.col("text"))).alias("token"))
-
-
-def _weighted(df: DataFrame, tokens: Column, weight: int) -> DataFrame:
-    return df.select("path", F.explode(tokens).alias("term"), F.lit(weight).cast("long").alias("w"))
-
-
 def _fields(c: Corpus) -> list[tuple[DataFrame, Column, int]]:
-    """Rows, their tokens and the weight of each field of a document."""
+    """Rows, their tokens and the weight of each field of a document beside its body."""
     segments = F.split("path", "/")
     above = F.flatten(F.transform(F.slice(segments, F.lit(1), F.greatest(F.size(segments) - 1, F.lit(0))), index_terms))
     return [
@@ -91,20 +101,24 @@ def _fields(c: Corpus) -> list[tuple[DataFrame, Column, int]]:
         (c.entries, above, W_PATH),
         (c.symbols, index_terms(F.col("name")), W_SYMBOL),
         (c.symbols.where("qualname <> '' and qualname <> name"), index_terms(F.col("qualname")), W_QUALNAME),
-        (c.bodies, index_terms(F.col("text")), W_BODY),
     ]
 
 
-def _stacked(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for s in parts[1:]:
-        out = out.unionByName(s)
-    return out
+def _postings(c: Corpus) -> DataFrame:
+    """(path, term, tf, in_body) of all tokens: weighted occurrences in all fields, 0 for tokens that aren't indexed, and occurrences in the body."""
+    rows = c.bodies.select("path", F.explode(terms(F.col("text"))).alias("term"), F.lit(1).alias("body"), F.lit(0).alias("other"))
+    for df, found, weight in _fields(c):
+        rows = rows.unionByName(df.select("path", F.explode(found).alias("term"), F.lit(0).alias("body"), F.lit(weight).alias("other")))
+    counts = rows.groupBy("path", "term").agg(F.sum("body").alias("in_body"), F.sum("other").alias("other"))
+    return counts.select("path", "term", (F.col("other") + F.when(indexed(F.col("term")), F.col("in_body") * W_BODY).otherwise(0)).alias("tf"), "in_body")
+
+
+def _content_tokens(c: Corpus) -> DataFrame:
+    return c.postings.where("in_body > 0").select("path", F.col("term").alias("token"))
 
 
 def _doc_terms(c: Corpus) -> DataFrame:
-    streams = _stacked([_weighted(df, t, w) for df, t, w in _fields(c)])
-    return streams.groupBy("path", "term").agg(F.sum("w").alias("tf"))
+    return c.postings.where("tf > 0").select("path", "term", "tf")
 
 
 def _term_stats(c: Corpus) -> DataFrame:
@@ -112,9 +126,8 @@ def _term_stats(c: Corpus) -> DataFrame:
 
 
 def _doc_lengths(c: Corpus) -> DataFrame:
-    """The weighted token counts of the fields; no token is exploded for them. Documents without tokens have no row."""
-    sizes = _stacked([df.select("path", (F.size(t) * w).cast("long").alias("n")) for df, t, w in _fields(c)])
-    return sizes.groupBy("path").agg(F.sum("n").alias("dl")).where("dl > 0")
+    """The weighted token counts of the fields. Documents without tokens have no row."""
+    return c.doc_terms.groupBy("path").agg(F.sum("tf").alias("dl"))
 
 
 def _corpus_stats(c: Corpus) -> DataFrame:
@@ -140,7 +153,7 @@ def _doc_stats(c: Corpus) -> DataFrame:
 
 
 _TABLES = {
-    "bodies": _bodies, "path_tokens": _path_tokens, "content_tokens": _content_tokens, "doc_terms": _doc_terms, "term_stats": _term_stats,
+    "bodies": _bodies, "path_tokens": _path_tokens, "postings": _postings, "content_tokens": _content_tokens, "doc_terms": _doc_terms, "term_stats": _term_stats,
     "doc_lengths": _doc_lengths, "corpus_stats": _corpus_stats, "doc_stats": _doc_stats,
 }
 

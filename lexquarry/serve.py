@@ -156,7 +156,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--port", type=int, default=8000)
     a = p.parse_args(argv)
     engine = CorpusEngine.from_tree(SparkSession.builder.appName("lexquarry").getOrCreate(), a.root)
-    engine.corpus.cache()
+    engine.cache()
     ThreadingHTTPServer((a.host, a.port), handler(Service(engine))).serve_forever()
 
 

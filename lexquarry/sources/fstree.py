@@ -1,6 +1,6 @@
 """A data source for directory trees: `spark.read.format("fstree").option("path", root)`, and the same as a stream of snapshots.
 
-Each top-level directory is a partition. Symbolic links are not followed, unreadable directories are empty, and entries that
+Partitions are subtrees: directories are opened from the root down until there are PARTS of them. Symbolic links are not followed, unreadable directories are empty, and entries that
 vanish during the scan are left out. Texts are read by read_texts(), apart from the entries, so that listings never open files.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, SimpleDataSourceStreamReader, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition, StringStartsWith
 
 from ..functions.tokens import parent_path, walk_key
 
@@ -24,6 +24,9 @@ TEXT_SUFFIXES = (".c .cfg .conf .cpp .css .csv .go .html .ini .java .js .json .l
 TEXT_MIMES = ("application/json", "application/sql", "application/xml")
 MAX_TEXT_BYTES = 1024 * 1024
 
+#: Subtrees that a listing is split into, about, and levels of directories that are opened for it; bytes of texts read at once.
+PARTS, OPENED, READ_BYTES = 256, 4, 4 << 20
+
 SCHEMA = (
     "path string, name string, entry_type string, size_bytes long, mode long, permissions string, uid long, gid long, inode long, device long, "
     "hard_links long, created_at double, modified_at double, accessed_at double, suffix string, mime_type string, is_symlink boolean, symlink_target string, error string"
@@ -84,9 +87,35 @@ def _root(options: dict) -> tuple[str, frozenset[str]]:
 
 
 class _Part(InputPartition):
-    def __init__(self, rel: str) -> None:
-        super().__init__(rel)
-        self.rel = rel
+    """Entries to list: some one by one, others with all below them."""
+
+    def __init__(self, alone: list[str], whole: list[str]) -> None:
+        super().__init__(None)
+        self.alone, self.whole = alone, whole
+
+
+def _split(root: str, ignored: frozenset[str], prefix: str = "") -> list[_Part]:
+    """The tree as partitions: directories are opened level by level until there are about PARTS subtrees. Only what may lie under `prefix` counts."""
+    meets = lambda x: x.startswith(prefix) or prefix.startswith(x + "/")
+    alone, level = ["."], [x for x in (_names(root, ignored) if os.path.isdir(root) else []) if meets(x)]
+    for _ in range(OPENED):
+        folders = [x for x in level if os.path.isdir(os.path.join(root, x)) and not os.path.islink(os.path.join(root, x))]
+        if not folders or len(level) >= PARTS:
+            break
+        inner = set(folders)
+        alone += folders
+        level = [x for x in level if x not in inner] + [y for f in folders for x in _names(os.path.join(root, f), ignored) if meets(y := f"{f}/{x}")]
+    size = -(-len(level) // PARTS) or 1
+    return [_Part(alone, []), *(_Part([], level[i : i + size]) for i in range(0, len(level), size))]
+
+
+def _read(root: str, ignored: frozenset[str], part: _Part) -> Iterator[tuple]:
+    for rel in part.alone:
+        full = root if rel == "." else os.path.join(root, rel)
+        if row := _row(full, rel, os.path.basename(full) or full):
+            yield row
+    for rel in part.whole:
+        yield from walk(root, rel, ignored)
 
 
 class _Reader(DataSourceReader):
@@ -104,38 +133,38 @@ class _Reader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
-        tops = _names(self.root, self.ignored) if os.path.isdir(self.root) else []
-        first = self.prefix.split("/")[0]
-        return [_Part("."), *(_Part(x) for x in tops if not self.prefix or (x == first if "/" in self.prefix else x.startswith(first)))]
+        return _split(self.root, self.ignored, self.prefix)
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        if partition.rel == ".":
-            row = _row(self.root, ".", os.path.basename(self.root) or self.root)
-            if row:
-                yield row
-        else:
-            yield from walk(self.root, partition.rel, self.ignored)
+        yield from _read(self.root, self.ignored, partition)
 
 
-class _Snapshots(SimpleDataSourceStreamReader):
-    """Every micro-batch holds the whole tree as it then is, numbered by generation."""
+class _Snapshots(DataSourceStreamReader):
+    """Every micro-batch holds the whole tree as it then is, numbered by generation and listed by the tasks."""
 
     def __init__(self, options: dict) -> None:
-        self.options = options
+        self.options, self.generation = options, 0
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"generation": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+    def latestOffset(self) -> dict:  # noqa: N802
+        self.generation += 1
+        return {"generation": self.generation}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.generation = max(self.generation, end["generation"])
         try:
-            root, ignored = _root(self.options)
+            return _split(*_root(self.options))
         except FileNotFoundError:
-            return iter([]), {"generation": start["generation"] + 1}
-        rows = [_row(root, ".", os.path.basename(root) or root), *(r for x in (_names(root, ignored) if os.path.isdir(root) else []) for r in walk(root, x, ignored))]
-        return iter([r for r in rows if r]), {"generation": start["generation"] + 1}
+            return []
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return self.read(start)[0]
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        try:
+            root, ignored = _root(self.options)
+        except FileNotFoundError:
+            return
+        yield from _read(root, ignored, partition)
 
 
 class FsTree(DataSource):
@@ -149,7 +178,7 @@ class FsTree(DataSource):
     def reader(self, schema) -> _Reader:
         return _Reader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> _Snapshots:  # noqa: N802
+    def streamReader(self, schema) -> _Snapshots:  # noqa: N802
         return _Snapshots(dict(self.options))
 
 
@@ -195,12 +224,20 @@ def read_texts(entries: DataFrame, root: str) -> DataFrame:
     base = os.path.realpath(os.path.expanduser(root))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, str]] = []
+        size = 0
         for b in batches:
             for p in b.column(0).to_pylist():
                 try:
                     with open(base if p == "." else os.path.join(base, p), encoding="utf-8") as f:
-                        yield pa.RecordBatch.from_pydict({"path": [p], "text": [f.read()]})
+                        rows.append((p, f.read()))
                 except (OSError, UnicodeDecodeError):
-                    pass
+                    continue
+                size += len(rows[-1][1])
+                if size >= READ_BYTES:
+                    yield pa.RecordBatch.from_pydict({"path": [x for x, _ in rows], "text": [x for _, x in rows]})
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pydict({"path": [x for x, _ in rows], "text": [x for _, x in rows]})
 
     return entries.select("path").mapInArrow(read, "path string, text string")

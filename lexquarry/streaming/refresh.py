@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.corpus import Corpus
+from ..operators.corpus import Corpus, hold
 from ..operators.extract import extract_all
 from ..sources.fstree import IGNORED_NAMES, complete, read_texts, register, scan
 
@@ -36,9 +36,9 @@ def counts(changes: DataFrame) -> dict[str, int]:
 
 
 def build(spark: SparkSession, root: str, ignore: tuple[str, ...] = IGNORED_NAMES) -> Corpus:
-    """All tables of a tree from scratch."""
-    entries = scan(spark, root, ignore)
-    texts = read_texts(entries.where("entry_type = 'file'"), root)
+    """All tables of a tree from scratch, as the tree is now: later changes of its files don't show in them."""
+    entries = hold(scan(spark, root, ignore))
+    texts = hold(read_texts(entries.where("entry_type = 'file'"), root))
     symbols, refs = extract_all(texts)
     return Corpus(entries, texts, symbols, refs)
 
@@ -46,14 +46,15 @@ def build(spark: SparkSession, root: str, ignore: tuple[str, ...] = IGNORED_NAME
 def refreshed(old: Corpus, entries: DataFrame, root: str) -> tuple[Corpus, dict[str, int]]:
     """The corpus of the new entries, of which only changed files are read and parsed again; equal to a build from scratch.
     Without changes it is the old corpus."""
-    changes = classify(old.entries, entries).cache()
+    entries = hold(entries)
+    changes = hold(classify(old.entries, entries))
     n = counts(changes)
     if not any(n.values()):
         return old, n
     touched = changes.where("change <> 'removed'").select("path")
-    texts = read_texts(entries.where("entry_type = 'file'").join(touched, "path", "left_semi"), root)
+    texts = hold(read_texts(entries.where("entry_type = 'file'").join(touched, "path", "left_semi"), root))
     symbols, refs = extract_all(texts)
-    parts = (apply_delta(getattr(old, k), v, changes) for k, v in (("texts", texts), ("symbols", symbols), ("refs", refs)))
+    parts = (hold(apply_delta(getattr(old, k), v, changes)) for k, v in (("texts", texts), ("symbols", symbols), ("refs", refs)))
     return Corpus(entries, *parts), n
 
 

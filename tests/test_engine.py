@@ -152,6 +152,39 @@ def test_python_extraction():
     assert extract.python_symbols("bad.py", "def (") == ([], {})
 
 
+class Node:
+    """A node as the optional parser gives it."""
+
+    def __init__(self, kind, text, line, end=None, children=(), **fields):
+        self._kind, self._text, self._lines, self._children, self._fields = kind, text, (line, end or line), children, fields
+
+    kind = lambda self: self._kind
+    text = lambda self: self._text
+    children = lambda self: list(self._children)
+    field = lambda self, name: self._fields.get(name)
+
+    def range(self):
+        at = lambda n: type("At", (), {"line": n})()
+        return type("Range", (), {"start": at(self._lines[0]), "end": at(self._lines[1])})()
+
+
+def test_grammar_symbols(monkeypatch):
+    import sys
+
+    call = lambda name, line: Node("call_expression", f"{name}()", line, function=Node("identifier", name, line))
+    inner = Node("function_definition", "int in()", 5, 6, [call("deep", 5)], declarator=Node("d", "*in(int a)", 5))
+    outer = Node("function_definition", "int out()", 3, 8, [call("first", 4), inner, call("out", 7), call("first", 7)], declarator=Node("d", "out(int x)", 3))
+    kids = [Node("struct_specifier", "struct P {}", 0, 1, name=Node("n", "P", 0)), outer, Node("preproc_include", '#include "util.h"', 9), Node("preproc_def", "#define LIMIT 3", 10), Node("preproc_def", "#define", 11), Node("enum_specifier", "enum {}", 12)]
+    parser = type("Parser", (), {"SgRoot": lambda text, language: type("R", (), {"root": lambda self: Node("unit", text, 0, 12, kids)})()})
+    monkeypatch.setitem(sys.modules, "ast_grep_py", parser)
+    got, refs = extract.grammar_symbols("tests/a.c", "int (out) X1; x out x_y", "c")
+    assert [(s["name"], s["kind"], s["line"], s["end_line"], s["calls"], s["is_test"]) for s in got] == [
+        ("util.h", "include", 10, 10, [], False), ("LIMIT", "macro", 11, 11, [], False), ("macro", "macro", 12, 12, [], False),
+        ("out", "function", 4, 9, ["first", "deep"], True), ("in", "function", 6, 7, ["deep"], True), ("P", "struct", 1, 2, [], False), ("struct_13", "enum", 13, 13, [], False),
+    ]
+    assert refs == {"int": 1, "out": 2, "x1": 1}
+
+
 def test_c_quirks():
     s, refs = extract.c_symbols("tests/n.c", "class A : public B {\nint one() { return 1; }\nint x;\n};\nvoid two();\nint three()\n{\n}\nint four() { return NULL; }")
     assert [(x["qualname"], x["kind"], x["line"], x["end_line"]) for x in s] == [("A", "class", 1, 1), ("A.one", "method", 2, 3), ("A.two", "method", 5, 5)]
@@ -220,6 +253,25 @@ def test_refresh_equals_rebuild(spark, tmp_path):
     assert g.refresh(str(root))["removed"] > 0 and g.load().entries.count() == 0
 
 
+def test_engine_sees_edits(spark, tmp_path):
+    """Tables show the tree as it was built; a refresh takes over edits, new and removed files, and equals a rebuild."""
+    root = tmp_path / "r"
+    make(root, {k: TREE[k] for k in ("README.md", "pkg/service.py", "main.c", "docs/guide.txt")})
+    e = CorpusEngine.from_tree(spark, str(root)).cache()
+    assert e.refresh() == {"mode": "incremental", "added": 0, "modified": 0, "removed": 0}
+    make(root, {"docs/guide.txt": "walrus and carpenter", "pkg/service.py": "def other(): pass\n"})
+    assert e.search(content_query="walrus").count() == 0 and e.search(content_query="gamma").count() == 1 and e.symbols("helper").count() == 1
+    assert e.refresh() == {"mode": "incremental", "added": 0, "modified": 2, "removed": 0}
+    assert paths(e.search(content_query="walrus")) == ["docs/guide.txt"] and e.search(content_query="gamma").count() == 0
+    assert e.symbols("helper").count() == 0 and e.symbols("other").count() == 1
+    os.remove(root / "README.md")
+    make(root, {"new.txt": "fresh walrus"})
+    delta = e.refresh()
+    assert (delta["added"], delta["removed"]) == (1, 1)
+    assert state(e.corpus) == state(build(spark, str(root)))
+    assert set(paths(e.search(content_query="walrus"))) == {"docs/guide.txt", "new.txt"}
+
+
 def test_classification(spark):
     mk = lambda rows: spark.createDataFrame(rows, "path string, signature long")
     got = {r["path"]: r["change"] for r in classify(mk([("a", 1), ("b", 1), ("c", None), ("d", None)]), mk([("b", 2), ("c", None), ("d", 1), ("e", 1)])).collect()}
