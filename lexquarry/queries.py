@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,9 @@ from .operators import corpus as tables
 from .operators import extract, search, xref
 from .operators.corpus import Corpus
 from .plans import ask
-from .sources import scip
+from .sources import fstree, scip
 from .sources.tables import from_documents, from_pages
-from .streaming.refresh import apply_delta, classify
+from .streaming.refresh import apply_delta, build, classify
 
 QUERY, CONTENT = "src3 doc", "the nation onThe the"
 TERMS = ["the", "tion", "er"]
@@ -73,12 +74,7 @@ def children_of(spark, d):
 
 
 def tokenize_terms(spark, d):
-    t = tokens.terms(F.col("text"))
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(t).cast("long").alias("n_terms"), F.array_join(F.slice(t, 1, 40), " ").alias("first_terms"))
-
-
-def tokenize_all(spark, d):
-    """All tokens of every text, as a digest of their list; without SQL, as the two other whole tables below."""
+    """All tokens of every text, as a digest of their list."""
     t = tokens.terms(F.col("text"))
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(t).cast("long").alias("n_terms"), F.sha2(F.array_join(t, " ").cast("binary"), 256).alias("terms_sha256"))
 
@@ -97,10 +93,6 @@ def path_postings(spark, d):
 
 
 def doc_terms(spark, d):
-    return _documents(spark, d).doc_terms.where(F.col("term").isin(*TERMS, "src3", "doc", "corpus"))
-
-
-def doc_terms_all(spark, d):
     return _documents(spark, d).doc_terms
 
 
@@ -133,6 +125,59 @@ def bm25_weighted_topk(spark, d):
     return _shown(search.search(_documents(spark, d), "", content_query=CONTENT, limit=20))
 
 
+def _with_symbols(spark: SparkSession, d: str) -> Corpus:
+    """The documents, each with a symbol: its first word, qualified by its second one."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    entries, texts = from_documents(docs)
+    word = lambda i: F.coalesce(F.get(tokens.raw_words(F.col("text")), F.lit(i)), F.lit("none"))
+    own = texts.select("path", word(0).alias("name"), F.concat_ws(".", word(1), word(0)).alias("qualname"))
+    kinds = dict(x.strip().split(" ", 1) for x in tables.SYMBOLS.split(", "))
+    rest = {k: F.lit(1).cast(t) if k in ("line", "end_line", "ordinal") else F.lit(None).cast(t) for k, t in kinds.items()}
+    return Corpus(entries, texts, own.select(*[F.col(k) if k in own.columns else rest[k].alias(k) for k in kinds]))
+
+
+def bm25_symbol_weights(spark, d):
+    """Every term's weighted frequency and score where names and qualified names of symbols count beside paths and bodies."""
+    c = _with_symbols(spark, d)
+    hits = search.scores(c, [(0, t, 1) for t in [*TERMS, "none", "src3"]])
+    tf = c.doc_terms.groupBy("path").agg(F.sum("tf").alias("weighted"), F.max("tf").alias("most"))
+    return tf.join(hits, "path", "left").select("path", "weighted", "most", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+
+
+#: A small tree that the tree queries write and list: paths and texts.
+TREE = {"README.md": "memory server\n", "docs/guide.txt": "hello guide\nalpha beta\n", "docs/deep/er/notes.JSON": "{}\n", "pkg/__init__.py": "", "pkg/a.b.py": "X = 1\n", ".hidden": "h", "Makefile": "all:\n", "__pycache__/x.pyc": "no", "node_modules/m/i.js": "no"}
+
+
+def _tree(spark: SparkSession) -> str:
+    """The folder of TREE, on the driver's disk as any tree that the source lists."""
+    root = tempfile.mkdtemp(prefix="lexquarry-tree-")
+    for p, t in TREE.items():
+        os.makedirs(os.path.dirname(os.path.join(root, p)), exist_ok=True)
+        with open(os.path.join(root, p), "w") as f:
+            f.write(t)
+    return root
+
+
+def tree_files(spark, d):
+    """All entries below the root with their type, suffix, MIME type and permissions; ignored names are left out."""
+    e = fstree.scan(spark, _tree(spark), fstree.IGNORED_NAMES).where("path <> '.'")
+    size = F.when(F.col("entry_type") == "file", F.col("size_bytes")).otherwise(0).cast("long")
+    return e.select("path", "name", "entry_type", size.alias("size_bytes"), F.coalesce("suffix", F.lit("-")).alias("suffix"), F.coalesce("mime_type", F.lit("-")).alias("mime_type"), "parent_path", "children_count", F.left("permissions", F.lit(1)).alias("kind"), "is_symlink", fstree.is_text_entry().alias("is_text"))
+
+
+def tree_stats(spark, d):
+    """The index report of a tree that was built from disk."""
+    c = build(spark, _tree(spark))
+    return tables.stats(c, "tree").select("total_entries", "total_files", "total_directories", "total_symlinks", "total_size_bytes", "text_files_indexed", "text_bytes_indexed", "suffix_count", "python_symbol_count", "bm25_documents")
+
+
+def tree_texts(spark, d):
+    """Texts that the index reads, and what a search in them finds."""
+    c = build(spark, _tree(spark))
+    hits = search.search(c, content_query="guide server", limit=5).select("path", F.lit(True).alias("hit"))
+    return c.texts.join(hits, "path", "left").select("path", F.length("text").cast("long").alias("n_chars"), F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
 def bm25_repeat_terms(spark, d):
     return _shown(search.search(_documents(spark, d), "src3", content_query="the the the nation", limit=15))
 
@@ -180,11 +225,6 @@ def line_scores(spark, d):
 
 
 def highlight(spark, d):
-    h = excerpts.highlight(F.left("text", F.lit(200)), F.array(F.lit("tion"), F.lit("the")))
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", h.alias("marked"))
-
-
-def highlight_all(spark, d):
     h = excerpts.highlight(F.col("text"), F.array(F.lit("tion"), F.lit("the")))
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", h.alias("marked"))
 
@@ -281,10 +321,8 @@ _SCIP = {"documents": [{"relative_path": "main.py", "language": "python", "occur
 
 def _occurrences(spark: SparkSession) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = os.path.join(folder.removeprefix("file://"), "scip.json")
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w") as f:
-        json.dump(_SCIP, f)
+    path = f"{folder.rstrip('/')}/scip-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(_SCIP),)], "value string").coalesce(1).write.text(path)
     return scip.occurrences(spark, path)
 
 
@@ -307,7 +345,7 @@ _ALL = [
     bm25_weighted_topk, entries_scan, pages_scan, fs_totals, children_count, children_of, tokenize_terms, index_terms, content_postings, path_postings, doc_terms, term_df, doc_lengths, corpus_stats, idf, doc_norms, bm25_repeat_terms,
     bm25_zero_score_candidates, search_path, search_path_and_content, filter_suffix_type_prefix, substring_fallback, topk_tie_cut, root_prefix, search_many, proximity_boost, line_scores, highlight, excerpt_clusters, py_symbols, py_refs,
     c_symbols, symbol_search_exact, symbol_search_trigram, usages_rank, related_tests, used_by, resolve_ref, file_skeleton, contour, ask_parse, delta_classify, delta_apply, delta_bm25_equals_full, scip_defs, scip_refs, index_stats,
-    tokenize_all, doc_terms_all, highlight_all,
+    bm25_symbol_weights, tree_files, tree_stats, tree_texts,
 ]
 
 
@@ -379,6 +417,23 @@ def _values(names: str, rows: list[tuple]) -> str:
 _LINES = r"""list_transform(string_split_regex(CASE WHEN length(text) > 1 AND ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, '\r\n|\n|\r'), lambda l: lower(l))"""
 
 
+#: Excerpts for TERMS: the best line, the best one more than six lines away, and three lines around either.
+_EXCERPTS = r"""x AS (SELECT path, string_split_regex(CASE WHEN length(text) > 1 AND ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, '\r\n|\n|\r') AS ls FROM bodies),
+l AS (SELECT path, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS raw FROM x),
+s AS (SELECT path, n, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS s, lower(raw) AS l FROM l),
+c AS (SELECT path, n, s, (strlen(l) - strlen(replace(l, 'the', ''))) // 3 + (strlen(l) - strlen(replace(l, 'tion', ''))) // 4 + (strlen(l) - strlen(replace(l, 'er', ''))) // 2 AS sc FROM s),
+one AS (SELECT path, n FROM c WHERE sc > 0 QUALIFY row_number() OVER (PARTITION BY path ORDER BY sc DESC, n) = 1),
+two AS (SELECT c.path, c.n FROM c JOIN one USING (path) WHERE c.sc > 0 AND abs(c.n - one.n) > 6 QUALIFY row_number() OVER (PARTITION BY c.path ORDER BY c.sc DESC, c.n) = 1),
+centers AS (SELECT * FROM one UNION ALL SELECT * FROM two),
+shown AS (SELECT centers.path, centers.n AS center, c.n, CASE WHEN c.n = centers.n THEN '► ' ELSE '  ' END || 'line ' || c.n || ': ' AS head,
+  regexp_replace(regexp_replace(regexp_replace(c.s, '(?i)tion', '[[\0]]', 'g'), '(?i)the', '[[\0]]', 'g'), '(?i)er', '[[\0]]', 'g') AS body FROM centers JOIN c ON c.path = centers.path AND abs(c.n - centers.n) <= 3 WHERE c.s <> ''),
+w AS (SELECT path, center, string_agg(head || CASE WHEN length(body) > 220 THEN left(body, 219) || '…' ELSE body END, chr(10) ORDER BY n) AS w FROM shown GROUP BY path, center),
+e AS (SELECT path, string_agg(w, chr(10) || '--- (next match) ---' || chr(10) ORDER BY center) AS e FROM w GROUP BY path),
+f AS (SELECT path, arg_min(s, n) AS f FROM s WHERE s <> '' GROUP BY path),
+p AS (SELECT path, 'path match: ' || regexp_replace(regexp_replace(regexp_replace(path, '(?i)tion', '[[\0]]', 'g'), '(?i)the', '[[\0]]', 'g'), '(?i)er', '[[\0]]', 'g') AS p FROM bodies WHERE regexp_matches(lower(path), 'tion|the|er'))
+SELECT b.path, coalesce(e.e, p.p, 'line 1: ' || left(f.f, 220)) AS excerpt FROM bodies b LEFT JOIN e USING (path) LEFT JOIN p USING (path) LEFT JOIN f USING (path)"""
+
+
 def _count(term: str) -> str:
     return f"((strlen(l) - strlen(replace(l, '{term}', ''))) // {len(term)})"
 
@@ -398,11 +453,11 @@ SELECT 'file' AS entry_type, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM
         "fs_totals": f"{e} SELECT count(*) AS total_entries, count(*) FILTER (entry_type = 'file') AS total_files, count(*) FILTER (entry_type = 'directory') AS total_directories, CAST(0 AS BIGINT) AS total_symlinks, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes FROM entries",
         "children_count": f"{e} SELECT d.path, count(k.path) AS children_count FROM entries d LEFT JOIN entries k ON k.parent_path = d.path WHERE d.entry_type = 'directory' GROUP BY d.path",
         "children_of": f"{e} SELECT path, entry_type FROM entries WHERE parent_path = 'src3'",
-        "tokenize_terms": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms, array_to_string(t[1:40], ' ') AS first_terms FROM (SELECT doc_id, {_terms('text')} AS t FROM documents)",
+        "tokenize_terms": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms, sha256(array_to_string(t, ' ')) AS terms_sha256 FROM (SELECT doc_id, {_terms('text')} AS t FROM documents)",
         "index_terms": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {_index('text')} AS t FROM documents)",
         "content_postings": f"{p} SELECT token, count(*) AS n_docs, min(path) AS first_path FROM content_tokens GROUP BY token",
         "path_postings": f"{p} SELECT token, count(*) AS n_entries FROM path_tokens GROUP BY token",
-        "doc_terms": f"{t} SELECT path, term, tf FROM dt WHERE term IN ({', '.join(repr(x) for x in [*TERMS, 'src3', 'doc', 'corpus'])})",
+        "doc_terms": f"{t} SELECT path, term, tf FROM dt",
         "term_df": f"{t} SELECT term, df FROM ts",
         "doc_lengths": f"{t} SELECT path, dl FROM dl",
         "corpus_stats": f"{t} SELECT n, round(avgdl, 6) AS avgdl FROM cs",
@@ -420,7 +475,24 @@ SELECT 'file' AS entry_type, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM
         "search_many": many,
         "proximity_boost": f"WITH {_ENTRIES}, h AS (SELECT path, list_sum(list_transform(list_transform({_LINES}, lambda l: {hits}), lambda n: CASE WHEN n >= 3 THEN 3.0 WHEN n >= 2 THEN 0.4 * n ELSE 0.0 END)) AS s FROM bodies) SELECT path, round(CAST(least(s, 5.0) * 0.25 AS DOUBLE), 6) AS boost FROM h",
         "line_scores": f"WITH {_ENTRIES}, s AS (SELECT path, list_transform({_LINES}, lambda l: {total}) AS s FROM bodies) SELECT path, CAST(len(s) AS BIGINT) AS n_lines, CAST(list_max(s) AS BIGINT) AS best, CAST(list_sum(s) AS BIGINT) AS total FROM s",
-        "highlight": r"SELECT doc_id, regexp_replace(regexp_replace(left(text, 200), '(?i)tion', '[[\0]]', 'g'), '(?i)the', '[[\0]]', 'g') AS marked FROM documents",
+        "highlight": r"SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)tion', '[[\0]]', 'g'), '(?i)the', '[[\0]]', 'g') AS marked FROM documents",
+        "excerpt_clusters": f"WITH {_ENTRIES}, {_EXCERPTS}",
+        "bm25_symbol_weights": f"""WITH {_ENTRIES}, w AS (SELECT path, regexp_extract_all(text, '[a-zA-Z0-9]+') AS w FROM docs), s AS (SELECT path, coalesce(w[1], 'none') AS name, coalesce(w[2], 'none') || '.' || coalesce(w[1], 'none') AS qualname FROM w),
+{_DOC_TERMS.replace("),\ndt AS", f"\n  UNION ALL SELECT path, unnest({_index('name')}), 8 FROM s UNION ALL SELECT path, unnest({_index('qualname')}), 4 FROM s),\ndt AS")}, {_qterms([*TERMS, "none", "src3"])}, {_SCORES}
+SELECT dl.path, dl.dl AS weighted, (SELECT max(tf) FROM dt WHERE dt.path = dl.path) AS most, round(CAST(coalesce(score, 0.0) AS DOUBLE), 6) AS score FROM dl LEFT JOIN sc USING (path)""",
+        "tree_files": "SELECT path, name, entry_type, CAST(size_bytes AS BIGINT) AS size_bytes, suffix, mime_type, parent_path, CAST(children_count AS BIGINT) AS children_count, kind, is_symlink, is_text FROM ("
+        + _values(
+            "path, name, entry_type, size_bytes, suffix, mime_type, parent_path, children_count, kind, is_symlink, is_text",
+            [
+                (".hidden", ".hidden", "file", 1, "-", "-", ".", 0, "-", False, False), ("Makefile", "Makefile", "file", 5, "-", "-", ".", 0, "-", False, False), ("README.md", "README.md", "file", 14, ".md", "text/markdown", ".", 0, "-", False, True),
+                ("docs", "docs", "directory", 0, "-", "-", ".", 2, "d", False, False), ("docs/guide.txt", "guide.txt", "file", 23, ".txt", "text/plain", "docs", 0, "-", False, True), ("docs/deep", "deep", "directory", 0, "-", "-", "docs", 1, "d", False, False),
+                ("docs/deep/er", "er", "directory", 0, "-", "-", "docs/deep", 1, "d", False, False), ("docs/deep/er/notes.JSON", "notes.JSON", "file", 3, ".JSON", "application/json", "docs/deep/er", 0, "-", False, True),
+                ("pkg", "pkg", "directory", 0, "-", "-", ".", 2, "d", False, False), ("pkg/__init__.py", "__init__.py", "file", 0, ".py", "text/x-python", "pkg", 0, "-", False, True), ("pkg/a.b.py", "a.b.py", "file", 6, ".py", "text/x-python", "pkg", 0, "-", False, True),
+            ],
+        )
+        + ")",
+        "tree_stats": "SELECT " + ", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in {"total_entries": 12, "total_files": 7, "total_directories": 5, "total_symlinks": 0, "total_size_bytes": 52, "text_files_indexed": 3, "text_bytes_indexed": 43, "suffix_count": 4, "python_symbol_count": 0, "bm25_documents": 11}.items()),
+        "tree_texts": "SELECT path, CAST(n_chars AS BIGINT) AS n_chars, hit FROM (" + _values("path, n_chars, hit", [(".hidden", 1, False), ("Makefile", 5, False), ("README.md", 14, True), ("docs/guide.txt", 23, True), ("docs/deep/er/notes.JSON", 3, False), ("pkg/__init__.py", 0, False), ("pkg/a.b.py", 6, False)]) + ")",
         "delta_classify": f"{snap} SELECT path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'modified' END AS change FROM old o FULL JOIN new n USING (path) WHERE o.size_bytes IS DISTINCT FROM n.size_bytes",
         "delta_apply": f"{snap} SELECT path, size_bytes FROM new",
         "delta_bm25_equals_full": f"{t.replace('FROM documents', 'FROM documents WHERE doc_id % 5 <> 0')} SELECT term, df FROM ts",
@@ -456,6 +528,30 @@ SELECT 'file' AS entry_type, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM
                 ("Repo", "test_add (tests/test_repo.py:L5)"), ("Repo.add", "test_add (tests/test_repo.py:L5)"), ("pkg.repo.Repo", "test_add (tests/test_repo.py:L5)"), ("open_conn", "serve (src/net.c:L10)"),
             ],
         ),
+        "file_skeleton": _values(
+            "path, skeleton",
+            [
+                (
+                    "pkg/base.py",
+                    '# FILE: pkg/base.py\n\nclass Base:\n  """Root of all."""\n\n  # [L4-L5]\n  def save(self, item: str) -> bool:\n    # calls: check (pkg/base.py:L8)\n    # used_by: Repo.add (pkg/repo.py:L5)\n\n# [L8-L9]\ndef check(item):\n  # calls: bool\n  # used_by: Base.save (pkg/base.py:L4), Repo.add (pkg/repo.py:L5)',
+                ),
+                ("pkg/repo.py", "# FILE: pkg/repo.py\n\nclass Repo(Base):  # inherits: Base (pkg/base.py:L1)\n\n  # [L5-L7]\n  def add(self, item):\n    # calls: check (pkg/base.py:L8), self.save (pkg/base.py:L4)\n    # used_by: test_add (tests/test_repo.py:L5)\n"),
+                ("tests/test_repo.py", "# FILE: tests/test_repo.py\n\n# [L5-L8]\ndef test_add():\n  # calls: Repo (pkg/repo.py:L4), repo.add (pkg/repo.py:L5)"),
+                ("src/net.c", "# FILE: src/net.c\n\n#include <stdio.h>\n#define PORT\nstruct Conn:\n# [L8-L8]\ndef open_conn(int port) -> int:\n  # used_by: serve (src/net.c:L10)\n# [L10-L14]\ndef serve(int port) -> int:\n  # calls: open_conn (src/net.c:L8), printf"),
+            ],
+        ),
+        "contour": _values("skeleton", [("# CONTOUR: add\n# FILE: pkg/repo.py\n  # [L5-L7]\n  def add(self, item):\n    # calls: check (pkg/base.py:L8), self.save (pkg/base.py:L4)\n    # used_by: test_add (tests/test_repo.py:L5)\n",)]),
+        "ask_parse": 'SELECT qid, intent, subject, query, content_query, entry_type, suffix, symbol_kind, path_prefix, "limit", wants_location, wants_list FROM ('
+        + _values(
+            'qid, intent, subject, query, content_query, entry_type, suffix, symbol_kind, path_prefix, "limit", wants_location, wants_list',
+            [
+                (0, "search_files", "readme", "readme", "", "file", "-", "-", "-", 5, True, False), (1, "search_files", "-", "", "", "directory", "-", "-", "tests", 10, False, True), (2, "find_usage", "Repo", "repo", "", "-", "-", "-", "-", 5, False, False),
+                (3, "find_tests", "add", "add", "", "-", "-", "-", "-", 5, False, False), (4, "find_symbol", "add", "add", "", "-", "-", "function", "-", 5, True, False), (5, "search_files", "markdown", "", "about nation", "-", ".txt", "-", "-", 5, False, False),
+                (6, "find_symbol", "Repo", "repo", "", "-", "-", "class", "-", 5, True, False), (7, "search_files", "c", "src net c", "", "file", "-", "-", "-", 10, False, True), (8, "search_files", "-", "", "", "directory", "-", "-", "src3", 10, False, True),
+                (9, "search_files", "-", "", "", "-", "-", "-", "-", 5, False, False),
+            ],
+        )
+        + ")",
         "scip_defs": _values("symbol, relative_path, range", [("main", "util.py", "7,0,4"), ("util", "util.py", "0,0,4")]),
         "scip_refs": _values("symbol, relative_path, range", [("util", "main.py", "3,4,8"), ("main", "util.py", "0,0,0,0")]),
     }

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from lexquarry import queries as own
 
 D = "/root/testdata/sf0.001"
-FAST = ["entries_scan", "pages_scan", "fs_totals", "children_count", "tokenize_terms", "path_postings", "corpus_stats", "search_path", "topk_tie_cut", "line_scores", "py_symbols", "py_refs", "c_symbols", "usages_rank", "used_by", "delta_classify", "delta_apply", "scip_defs", "scip_refs"]
+FAST = ["entries_scan", "pages_scan", "fs_totals", "children_count", "tokenize_terms", "highlight", "doc_terms", "excerpt_clusters", "bm25_symbol_weights", "tree_files", "tree_stats", "tree_texts", "file_skeleton", "contour", "ask_parse", "path_postings", "corpus_stats", "search_path", "topk_tie_cut", "line_scores", "py_symbols", "py_refs", "c_symbols", "usages_rank", "used_by", "delta_classify", "delta_apply", "scip_defs", "scip_refs"]
 
 
 def test_names():
@@ -15,6 +15,17 @@ def test_names():
     assert set(own.queries()) <= set(entry.queries())
 
 
+def test_entry_without_the_corpus_operators(monkeypatch):
+    """If they can't be imported, whatever the reason, the other queries stay."""
+    import sys
+
+    for gone in ("lexquarry.llm.queries", "corpus_pipeline"):
+        with monkeypatch.context() as m:
+            m.setitem(sys.modules, gone, None)
+            assert set(own.queries()) <= set(entry.queries())
+            assert "pipeline" not in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
