@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .tokens import lines, rstrip, strip
+from .tokens import let, lines, rstrip, strip
 
 MARK, PLAIN, DIVIDER, ELLIPSIS = "► ", "  ", "\n--- (next match) ---\n", "…"
 
@@ -26,14 +28,15 @@ def truncate(text: Column, n: int) -> Column:
 
 def line_scores(text_lines: Column, terms: Column) -> Column:
     """Occurrences of the terms, repeats counted, in each lower-cased line."""
-    return F.transform(text_lines, lambda x: F.aggregate(terms, F.lit(0), lambda a, t: a + F.regexp_count(F.lower(x), t)))
+    count = lambda low, t: ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("int")
+    return F.transform(text_lines, lambda x: let(F.lower(x), lambda low: F.aggregate(terms, F.lit(0), lambda a, t: a + count(low, t))))
 
 
 def proximity_boost(text_lines: Column, terms: Column) -> Column:
     """A quarter of: 3 a line with all distinct terms, 0.4 a term of a line with two or more; 5 at most. 0 for a single term."""
     distinct = F.array_distinct(terms)
-    hits = lambda x: F.size(F.filter(distinct, lambda t: F.contains(F.lower(x), t)))
-    step = lambda acc, x: acc + F.when(hits(x) >= F.size(distinct), F.lit(3.0)).when(hits(x) >= 2, 0.4 * hits(x)).otherwise(F.lit(0.0))
+    hits = lambda x: let(F.lower(x), lambda low: F.size(F.filter(distinct, lambda t: F.contains(low, t))))
+    step = lambda acc, x: acc + let(hits(x), lambda n: F.when(n >= F.size(distinct), F.lit(3.0)).when(n >= 2, 0.4 * n).otherwise(F.lit(0.0)))
     return F.when((F.size(terms) >= 2) & text_lines.isNotNull(), F.least(F.aggregate(text_lines, F.lit(0.0), step), F.lit(5.0)) * 0.25).otherwise(F.lit(0.0))
 
 
@@ -46,23 +49,24 @@ def cluster_centers(scores: Column, context: int = 3, clusters: int = 2) -> Colu
 
 def excerpt(path: Column, text: Column, terms: Column, max_chars: int = 220, context: int = 3, clusters: int = 2) -> Column:
     """Best windows of a text for the query terms; the first line that isn't blank without terms; null without text or anything to show."""
-    ls = lines(text)
-    shown = F.filter(F.transform(ls, lambda x, i: F.struct((i + 1).alias("n"), strip(x).alias("s"))), lambda x: x["s"] != "")
-    first = F.get(shown, F.lit(0))
+    numbered = lambda ls, lo, hi: F.filter(F.transform(F.sequence(lo, hi), lambda i: F.struct((i + 1).alias("n"), strip(F.get(ls, i)).alias("s"))), lambda x: x["s"] != "")
 
-    def window(center: Column) -> Column:
-        near = F.filter(shown, lambda x: (x["n"] - 1 >= center - context) & (x["n"] - 1 <= center + context))
+    def window(ls: Column, center: Column) -> Column:
+        near = numbered(ls, F.greatest(center - context, F.lit(0)), F.least(center + context, F.size(ls) - 1))
         return F.array_join(F.transform(near, lambda x: F.concat(F.when(x["n"] - 1 == center, MARK).otherwise(PLAIN), F.lit("line "), x["n"].cast("string"), F.lit(": "), truncate(highlight(x["s"], terms), max_chars))), "\n")
 
-    centers = cluster_centers(line_scores(ls, terms), context, clusters)
-    windows = F.filter(F.transform(centers, window), lambda w: w != "")
-    by_path = F.when(F.exists(terms, lambda t: F.contains(F.lower(path), t)), F.concat(F.lit("path match: "), highlight(path, terms)))
-    return (
-        F.when(text.isNull(), None)
-        .when(F.size(terms) == 0, F.concat(F.lit("line "), first["n"].cast("string"), F.lit(": "), F.left(first["s"], F.lit(max_chars))))
-        .when(F.size(windows) > 0, F.array_join(windows, DIVIDER))
-        .otherwise(F.coalesce(by_path, F.concat(F.lit("line 1: "), F.left(first["s"], F.lit(max_chars)))))
-    )
+    def first(ls: Column, shown: Callable[[Column], Column]) -> Column:
+        return let(F.get(numbered(ls, F.lit(0), F.size(ls) - 1), F.lit(0)), lambda x: F.concat(F.lit("line "), shown(x), F.lit(": "), F.left(x["s"], F.lit(max_chars))))
+
+    def found(ls: Column) -> Column:
+        centers = cluster_centers(line_scores(ls, terms), context, clusters)
+        by_path = F.when(F.exists(terms, lambda t: F.contains(F.lower(path), t)), F.concat(F.lit("path match: "), highlight(path, terms)))
+        return let(
+            F.filter(F.transform(centers, lambda c: window(ls, c)), lambda w: w != ""),
+            lambda w: F.when(F.size(w) > 0, F.array_join(w, DIVIDER)).otherwise(F.coalesce(by_path, first(ls, lambda _: F.lit("1")))),
+        )
+
+    return F.when(text.isNull(), None).otherwise(let(lines(text), lambda ls: F.when(F.size(terms) == 0, first(ls, lambda x: x["n"].cast("string"))).otherwise(found(ls))))
 
 
 def symbol_excerpt(text: Column, line: Column, end_line: Column, terms: Column, max_lines: int = 6, max_chars: int = 240) -> Column:
