@@ -43,18 +43,22 @@ def build(spark: SparkSession, root: str, ignore: tuple[str, ...] = IGNORED_NAME
     return Corpus(entries, texts, symbols, refs)
 
 
-def refreshed(old: Corpus, entries: DataFrame, root: str) -> tuple[Corpus, dict[str, int]]:
+def refreshed(old: Corpus, entries: DataFrame, root: str, keep: bool = True) -> tuple[Corpus, dict[str, int]]:
     """The corpus of the new entries, of which only changed files are read and parsed again; equal to a build from scratch.
-    Without changes it is the old corpus."""
-    entries = hold(entries)
-    changes = hold(classify(old.entries, entries))
+    Without changes it is the old corpus, and nothing is written. With `keep` its tables are held; else the caller saves them."""
+    entries = entries.cache()
+    changes = classify(old.entries, entries).cache()
     n = counts(changes)
     if not any(n.values()):
+        changes.unpersist()
+        entries.unpersist()
         return old, n
+    settle = hold if keep else lambda df: df
+    entries = settle(entries)
     touched = changes.where("change <> 'removed'").select("path")
     texts = hold(read_texts(entries.where("entry_type = 'file'").join(touched, "path", "left_semi"), root))
     symbols, refs = extract_all(texts)
-    parts = (hold(apply_delta(getattr(old, k), v, changes)) for k, v in (("texts", texts), ("symbols", symbols), ("refs", refs)))
+    parts = (settle(apply_delta(getattr(old, k), v, changes)) for k, v in (("texts", texts), ("symbols", symbols), ("refs", refs)))
     return Corpus(entries, *parts), n
 
 
@@ -122,7 +126,7 @@ class Generations:
             new = Corpus(old.entries.limit(0), old.texts.limit(0), old.symbols.limit(0), old.refs.limit(0))
         else:
             old = self.load()
-            new, delta = refreshed(old, entries, root)
+            new, delta = refreshed(old, entries, root, keep=False)
             if new is old:
                 return {"mode": mode, **delta}
         if new is not None:
