@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tokens import let
+
 #: A key is hot from this share of a table's rows on, so that at most as many keys are hot as the share's inverse says.
 HOT_SHARE = 1 / 200
 
@@ -34,11 +36,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once, however often f's expression (or a lambda in it) reads it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def running(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
     """For each element of an array, `combine` over all elements before it, from `zero` on (of the elements' type, and neutral).
 
