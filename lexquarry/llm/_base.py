@@ -57,7 +57,8 @@ def running(values: Column, zero: Column, combine: Callable[[Column, Column], Co
 
 
 def hot_keys(big: DataFrame, on: list[str], counts: DataFrame | None = None) -> DataFrame:
-    """(on, salts) of the keys that hold HOT_SHARE of all rows or more: at most 200 rows. `counts` (on, n), if the rows are counted already."""
+    """(on, salts) of the keys with over 1000 rows that hold HOT_SHARE or more of all such keys' rows: at most 200. `counts` (on, n),
+    if the rows are counted already."""
     counts = big.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts.select(*on, "n")
     counts = settle(counts.where("n > 1000"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

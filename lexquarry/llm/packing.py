@@ -27,8 +27,8 @@ from ._base import settle, slices, texts
 #: Token runs kept by a worker; the table is emptied when it is full.
 CACHE = 150_000
 
-#: Pieces that are ranked at once; a power of two, so that slots don't span partitions.
-SLOT_ROWS = 1 << 14
+#: Binary digits of the number of pieces that are ranked at once.
+SLOT_BITS = 14
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.t
     Nulls, empty texts and repeated rows are packed like any other document; an empty table gives an empty result.
     """
     pieces = settle(tokenise(docs, capacity, tokenizer, end_id).withColumn("row", F.monotonically_increasing_id()))
-    pieces = pieces.withColumn("slot", F.floor(F.col("row") / SLOT_ROWS))  # consecutive rows of one partition, repeated ones or not
+    pieces = pieces.withColumn("slot", F.shiftright("row", SLOT_BITS))  # consecutive rows of one partition, repeated ones or not
     per = pieces.groupBy("length", "slot").agg(F.count("*").alias("c"))
     base = per.withColumn("base", F.sum("c").over(Window.partitionBy("length").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))).select("length", "slot", F.coalesce("base", F.lit(0)).alias("base"))
     counts = {r[0]: r[1] for r in per.groupBy("length").agg(F.sum("c")).collect()}  # at most `capacity` rows
