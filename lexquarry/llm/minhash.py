@@ -165,9 +165,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labelled = members.where("members > 2").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "n_chars", "rep", F.coalesce("component", "rep").alias("label"))
     split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.count("*").alias("n"), F.sum("n_chars").alias("chars")).where("lo < hi")
     split = split.groupBy("lo", "hi", "mark", "n", "chars").agg(F.min("bucket").alias("bucket"))  # the same members under another centre
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS), F.lit(1)).cast("int")
-    rest = salted_join(labelled.drop("n_chars"), split.select("bucket", blocks.alias("blocks")), ["bucket"], ["rep"])
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Members of one component needn't be compared: those of a bucket's largest one meet all others, and only the others meet each other.
+    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("n_chars").alias("cs"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label", "cs")).alias("m")).select("bucket", F.col("m.label").alias("main"), F.col("m.c").alias("c"), F.col("m.cs").alias("cs"))
+    many = lambda n, chars: F.greatest(F.ceil(n / BLOCK), F.ceil(chars / BLOCK_CHARS), F.lit(1)).cast("int")
+    split = split.join(main, "bucket").select("bucket", "main", many(F.col("c"), F.col("cs")).alias("h"), many(F.col("n") - F.col("c"), F.col("chars") - F.col("cs")).alias("l"))
+    rest = salted_join(labelled.drop("n_chars"), split, ["bucket"], ["rep"]).withColumn("in_main", F.col("label") == F.col("main"))
+    rest = rest.withColumn("block", F.when(F.col("in_main"), F.pmod(F.xxhash64("rep"), F.col("h"))).otherwise(F.col("h") + F.pmod(F.xxhash64("rep"), F.col("l"))).cast("int"))
+    rest = rest.withColumn("peer", F.explode(F.sequence(F.when(F.col("in_main"), F.col("h")).otherwise(0), F.col("h") + F.col("l") - 1)))
     rest = settle(rest.select("bucket", F.least("block", "peer").alias("i"), F.greatest("block", "peer").alias("j"), "block", "rep", "label"))
     with_text = salted_join(rest, docs.select(F.col("doc_id").alias("rep"), "text"), ["rep"], ["bucket", "i", "j"])
     more = settle(with_text.groupBy("bucket", "i", "j").applyInArrow(_compare(k, percent), "a long, b long"))
