@@ -82,6 +82,21 @@ def test_entry_children_stats(engine):
     assert engine.health()["status"] == "ok"
 
 
+@pytest.mark.parametrize("parts", [1, 3, 8, 1000])
+def test_partitions_cover_the_tree_once(tmp_path, monkeypatch, parts):
+    monkeypatch.setattr(fstree, "PARTS", parts)
+    make(tmp_path, TREE | {f"big/{i % 3}/{i % 5}/{i}.txt": "x" for i in range(40)} | {"big/deep/a/b/c/d/e.txt": "y", "bigger/z.txt": "z"})
+    os.symlink(tmp_path / "docs", tmp_path / "linked")
+    ignored = frozenset(["node_modules"])
+    want = {"."} | {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if "node_modules" not in p.parts}
+    want = {p for p in want if not p.startswith("linked/")}
+    listed = [r[0] for part in fstree._split(str(tmp_path), ignored) for r in fstree._read(str(tmp_path), ignored, part)]
+    assert len(listed) == len(set(listed)) and set(listed) == want
+    some = [r[0] for part in fstree._split(str(tmp_path), ignored, "big/1") for r in fstree._read(str(tmp_path), ignored, part)]
+    assert len(some) == len(set(some)) and {p for p in want if p.startswith("big/1")} <= set(some) and "docs" not in some and "bigger" not in some
+    assert len(fstree._split(str(tmp_path), ignored)) <= parts + 1
+
+
 def test_worked_scores(spark, tmp_path):
     root = tmp_path / "proj"
     make(root, {"README.md": "memory server readme", "server_notes.md": "server"})
