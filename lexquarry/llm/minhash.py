@@ -162,7 +162,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = settle(_confirm(settle(members.select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()), docs, k, percent))
     groups = settle(components(links))
 
-    labelled = members.where("members > 2").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "n_chars", "rep", F.coalesce("component", "rep").alias("label"))
+    # Only buckets with a member that isn't linked to the centre can hold several components.
+    loose = members.where("members > 2").join(links.select(F.col("a").alias("rep"), F.col("b").alias("center")), ["rep", "center"], "left_anti").select("bucket").distinct()
+    labelled = members.join(loose, "bucket", "left_semi").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = settle(labelled.select("bucket", "n_chars", "rep", F.coalesce("component", "rep").alias("label")))
     split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.count("*").alias("n"), F.sum("n_chars").alias("chars")).where("lo < hi")
     split = split.groupBy("lo", "hi", "mark", "n", "chars").agg(F.min("bucket").alias("bucket"))  # the same members under another centre
     # Members of one component needn't be compared: those of a bucket's largest one meet all others, and only the others meet each other.
