@@ -95,7 +95,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", chars: int
             yield b.slice(lo)
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, text_col: str = "text") -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, text_col: str = "text", chars: int = SLICE_CHARS) -> DataFrame:
     """mapInArrow with `f` on slices of bounded text; `f` returns columns by name, as arrays or lists."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -103,7 +103,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, chars):
             out = f(b)
             yield pa.RecordBatch.from_arrays([pa.array(out[x.name], type=x.type) if not isinstance(out[x.name], pa.Array) else out[x.name].cast(x.type) for x in target], schema=target)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, fingerprints, language, minhash, pii, secrets, substrings, toxicity, urls
+from . import contamination, conversations, embeddings, fingerprints, language, minhash, periodic, pii, secrets, substrings, toxicity, urls
 from ._base import table
 from .packing import pack
 
@@ -65,8 +65,20 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversation_tree(table(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=True)
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_minhash_near_dedup, op3_toxicity, op4_substring_dedup, op5_secret_scans, op6_benchmark_decontamination, op7_language_id, op8_pii_surrogates, op9_best_fit_packing, op10_url_filters)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_minhash_near_dedup, op3_toxicity, op4_substring_dedup, op5_secret_scans, op6_benchmark_decontamination, op7_language_id, op8_pii_surrogates, op9_best_fit_packing, op10_url_filters, op11_conversation_prefix_trie, op12_periodic_runs, op13_embedding_near_dedup)}
 
 
 #: Words of the window tables below: lower-cased A-Z, as lists.
@@ -141,5 +153,31 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id,
 """
 
 
+# The CRC-32 of an id's decimal digits, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)), lambda acc, ch: list_reduce(list_prepend(xor(acc, ch), range(8)), lambda s, k: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END)), 4294967295::BIGINT)"
+
+_OP11 = f"""
+WITH t AS (SELECT conv_id AS c, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(g ORDER BY turn NULLS FIRST, g) AS g, list(n ORDER BY turn NULLS FIRST, g) AS n, ({_CRC.format("c::VARCHAR")} % 6)::INT AS h FROM t GROUP BY c),
+seq AS (SELECT o.c, coalesce(b.g, [])[1 : o.h] || o.g[o.h + 1 :] AS g, coalesce(b.n, [])[1 : o.h] || o.n[o.h + 1 :] AS n FROM own o LEFT JOIN own b ON b.c = o.c - o.c % 100),
+pre AS (SELECT c, d, array_to_string(g[1 : d], '') AS p, CASE WHEN d > 0 THEN array_to_string(g[1 : d - 1], '') END AS up, CASE WHEN d > 0 THEN n[d] ELSE 0 END AS chars, d = len(g) AS at_end FROM (SELECT c, g, n, unnest(range(len(g) + 1)) AS d FROM seq)),
+node AS (SELECT d, p, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (at_end), '')) AS ends_sha256 FROM pre GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, up AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2),
+whole AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (d, p)),
+sums AS (SELECT a.d, a.p, sum((b.n_convs - 1) * b.chars) AS saved, count(*) FILTER (b.n_children = 0) AS n_leaves FROM whole a JOIN (SELECT w.*, unnest(range(w.d + 1)) AS over FROM whole w) b ON b.over = a.d AND left(b.p, 32 * a.d) = a.p GROUP BY 1, 2)
+SELECT w.conv_id, w.d::BIGINT AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, w.ends_sha256
+FROM whole w JOIN sums s USING (d, p) LEFT JOIN node u ON u.d = w.d - 1 AND u.p = w.up
+"""
+
+_OP13 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+f AS (SELECT vec_id, x FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_document_fingerprints": _OP1, "op2_minhash_near_dedup": _OP2, "op4_substring_dedup": _OP4, "op6_benchmark_decontamination": _OP6}
+    return {"op1_document_fingerprints": _OP1, "op2_minhash_near_dedup": _OP2, "op4_substring_dedup": _OP4, "op6_benchmark_decontamination": _OP6, "op11_conversation_prefix_trie": _OP11, "op13_embedding_near_dedup": _OP13}
