@@ -27,11 +27,17 @@ REFS = "name string, path string, cnt long, ordinal int"
 DEFINING = ("class", "function", "method", "struct", "enum", "union", "macro")
 
 
-def hold(df: DataFrame) -> DataFrame:
-    """The rows as they are now, in the folder that `spark.checkpoint.dir` names (a temporary one only where that is unset)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names, or the one of the checkpoints; a temporary one only where both are unset."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexquarry-"))
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """The rows as they are now, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

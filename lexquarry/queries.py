@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .functions import excerpts, tokens
 from .operators import corpus as tables
-from .operators import extract, search, xref
-from .operators.corpus import Corpus
+from .operators import extract, grams, search, xref
+from .operators.corpus import Corpus, hold
+from .operators.stored import StoredIndex
 from .plans import ask
 from .sources import fstree, scip
 from .sources.tables import from_documents, from_pages
@@ -334,6 +335,57 @@ def scip_refs(spark, d):
     return scip.references(_occurrences(spark)).select("symbol", "relative_path", F.array_join(F.transform("range", lambda x: x.cast("string")), ",").alias("range"))
 
 
+def _edited(spark, d):
+    """The corpus before and after an update: documents come, go and are edited; and its changes."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    edited = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit(" Nation edited"))).otherwise(F.col("text"))
+    before, after = Corpus(*from_documents(docs.where("doc_id % 7 <> 0"))), Corpus(*from_documents(docs.where("doc_id % 5 <> 0").withColumn("text", edited)))
+    sign = lambda c: c.entries.select("path", F.struct("size_bytes").alias("signature"))
+    return before, after, hold(classify(sign(before), sign(after)))
+
+
+def _updated(spark, d):
+    before, after, changes = _edited(spark, d)
+    return StoredIndex.build(before).updated(before, after, changes)
+
+
+def stored_index_after_update(spark, d):
+    """Every term's documents and weighted frequency from an index on disk of which only changed texts were tokenised."""
+    ix = _updated(spark, d)
+    sums = ix.postings().groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("in_body").alias("in_body"), F.count(F.when(F.col("in_path"), 1)).alias("n_paths"), F.sum("dl").alias("lengths"))
+    return sums.join(ix.terms(), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+
+
+#: Searches (over names and paths, over bodies) of the updated index, and their rows.
+STORED = [("", CONTENT), ("en src7", "and ther"), (QUERY, ""), ("", "edited"), ("", "for"), ("doc 00000022", "nation the the"), ("nothing_at_all", "")]
+
+
+def search_stored_index(spark, d):
+    """Searches that read the postings of their terms from an updated index on disk."""
+    return _updated(spark, d).search_many(STORED, 12).select("qid", "path", F.round("score", 6).alias("score"), "rank")
+
+
+#: 200 queries: sources, languages and syllables.
+MANY = [(f"src{i % 20} {('en', 'fr', 'de', 'es')[i % 4]}" if i % 2 else "", f"{('the', 'tion', 'er', 'and', 'ver')[i % 5]} {('on', 'ing', 'nation', 'que', 'heit', 'ion', 'thand')[i % 7]}") for i in range(200)]
+
+
+def search_early_end_200(spark, d):
+    """The best five of each of 200 searches; parts of the documents that can't hold one of them aren't read."""
+    return StoredIndex.build(_documents(spark, d)).search_many(MANY, 5).select("qid", "path", F.round("score", 6).alias("score"), "rank")
+
+
+#: 200 strings that are looked up inside words and paths: pairs of syllables, single letters and parts of paths.
+PARTS = sorted({a + b for a in ("th", "er", "on", "tion", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "sch") for b in ("th", "er", "on", "tion", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "sch")} | {"e", "th", "src1", "_0000", "/en/doc_", "0.txt", "zzzz", "."})
+
+
+def substring_lookup(spark, d):
+    """For each of some 200 strings the words of the corpus and the paths that hold it: how many, the first and the last."""
+    c = _documents(spark, d)
+    keys = c.content_tokens.select(F.lit("word").alias("kind"), F.col("token").alias("key")).distinct().unionByName(c.entries.select(F.lit("path").alias("kind"), F.lower("path").alias("key")))
+    found = grams.lookup(grams.index(keys), spark.createDataFrame([(x,) for x in PARTS], "pattern string"))
+    return found.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.max("key").alias("last"))
+
+
 def index_stats(spark, d):
     return tables.stats(_documents(spark, d), "corpus").select(
         "total_entries", "total_files", "total_directories", "total_size_bytes", "token_count", "content_token_count", "suffix_count", "mime_count", "text_files_indexed", "text_bytes_indexed", "python_symbol_count", "bm25_documents",
@@ -345,7 +397,7 @@ _ALL = [
     bm25_weighted_topk, entries_scan, pages_scan, fs_totals, children_count, children_of, tokenize_terms, index_terms, content_postings, path_postings, doc_terms, term_df, doc_lengths, corpus_stats, idf, doc_norms, bm25_repeat_terms,
     bm25_zero_score_candidates, search_path, search_path_and_content, filter_suffix_type_prefix, substring_fallback, topk_tie_cut, root_prefix, search_many, proximity_boost, line_scores, highlight, excerpt_clusters, py_symbols, py_refs,
     c_symbols, symbol_search_exact, symbol_search_trigram, usages_rank, related_tests, used_by, resolve_ref, file_skeleton, contour, ask_parse, delta_classify, delta_apply, delta_bm25_equals_full, scip_defs, scip_refs, index_stats,
-    bm25_symbol_weights, tree_files, tree_stats, tree_texts,
+    stored_index_after_update, search_stored_index, search_early_end_200, substring_lookup, bm25_symbol_weights, tree_files, tree_stats, tree_texts,
 ]
 
 
@@ -409,6 +461,23 @@ c AS (SELECT entries.path, coalesce(sc.score, 0.0) AS score FROM entries LEFT JO
 SELECT path, round(CAST(score AS DOUBLE), 6) AS score FROM c ORDER BY score DESC, lower(path) DESC, path DESC LIMIT {limit}"""
 
 
+def _many_sql(queries: list[tuple[str, str]], limit: int) -> str:
+    """The best rows of each query (over names and paths, over bodies)."""
+    rows = []
+    for i, (q, c) in enumerate(queries):
+        a, b = tokens.query_terms(q.lower()), tokens.query_terms(c.lower())
+        rows += [(i, t, (a + b).count(t), t in a, t in b, bool(a), bool(b)) for t in dict.fromkeys(a + b)]
+    values = ", ".join(f"({i}, '{t}', {n}, {x}, {y}, {u}, {v})" for i, t, n, x, y, u, v in rows)
+    return f"""WITH {_ENTRIES}, {_POSTINGS}, {_DOC_TERMS}, q AS (SELECT * FROM (VALUES {values}) AS v(qid, term, qtf, for_path, for_body, want_path, want_body)),
+p AS (SELECT DISTINCT qid, path FROM q JOIN path_tokens ON q.for_path AND token = term), b AS (SELECT DISTINCT qid, path FROM q JOIN content_tokens ON q.for_body AND token = term),
+w AS (SELECT DISTINCT qid, want_path, want_body FROM q),
+c AS (SELECT qid, path FROM w JOIN (SELECT qid, path FROM p UNION SELECT qid, path FROM b) USING (qid) WHERE (NOT want_path OR (qid, path) IN (SELECT qid, path FROM p)) AND (NOT want_body OR (qid, path) IN (SELECT qid, path FROM b))),
+sc AS (SELECT qid, dt.path, sum(q.qtf * ln(1 + (cs.n - ts.df + 0.5) / (ts.df + 0.5)) * dt.tf * 2.5 / (dt.tf + 1.5 * (0.25 + 0.75 * dl.dl / cs.avgdl))) AS score FROM dt JOIN q USING (term) JOIN ts USING (term) JOIN dl USING (path), cs GROUP BY qid, dt.path),
+r AS (SELECT qid, path, coalesce(score, 0.0) AS score FROM c LEFT JOIN sc USING (qid, path)),
+k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, lower(path) DESC, path DESC) <= {limit})
+SELECT qid, path, round(CAST(score AS DOUBLE), 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, lower(path), path) AS INT) AS rank FROM k"""
+
+
 def _values(names: str, rows: list[tuple]) -> str:
     lit = lambda v: str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({names})"
@@ -444,6 +513,7 @@ def oracle_sql() -> dict[str, str]:
     hits = " + ".join(f"CAST(contains(l, '{x}') AS INT)" for x in TERMS)
     snap = f"""{e}, base AS (SELECT path, size_bytes, CAST(substr(path, length(path) - 11, 8) AS BIGINT) AS n FROM entries WHERE entry_type = 'file'),
 old AS (SELECT path, size_bytes FROM base WHERE n % 7 <> 0), new AS (SELECT path, CASE WHEN n % 11 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes FROM base WHERE n % 5 <> 0)"""
+    after = _ENTRIES.replace("FROM documents)", "FROM (SELECT doc_id, source, lang, CASE WHEN doc_id % 11 = 0 THEN text || ' Nation edited' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0))")
     many = "\nUNION ALL\n".join(f"SELECT {i} AS qid, path, score, CAST(row_number() OVER (ORDER BY score DESC, lower(path), path) AS INT) AS rank FROM ({_search_sql(q, limit=5)})" for i, q in enumerate(["src3 en", "doc fr", "corpus src5", "de src11 00000100"]))
     out = {
         "entries_scan": f"{e} SELECT path, name, entry_type, size_bytes, suffix, parent_path FROM entries",
@@ -496,6 +566,14 @@ SELECT dl.path, dl.dl AS weighted, (SELECT max(tf) FROM dt WHERE dt.path = dl.pa
         "delta_classify": f"{snap} SELECT path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'modified' END AS change FROM old o FULL JOIN new n USING (path) WHERE o.size_bytes IS DISTINCT FROM n.size_bytes",
         "delta_apply": f"{snap} SELECT path, size_bytes FROM new",
         "delta_bm25_equals_full": f"{t.replace('FROM documents', 'FROM documents WHERE doc_id % 5 <> 0')} SELECT term, df FROM ts",
+        "stored_index_after_update": f"""WITH {after}, {_POSTINGS}, {_DOC_TERMS}, a AS (SELECT path, term FROM dt UNION SELECT path, token FROM path_tokens UNION SELECT path, token FROM content_tokens),
+bt AS (SELECT path, token, count(*) AS n FROM (SELECT path, unnest({_terms("text")}) AS token FROM bodies) GROUP BY path, token)
+SELECT a.term, CAST(sum(coalesce(dt.tf, 0)) AS BIGINT) AS tf, CAST(sum(coalesce(bt.n, 0)) AS BIGINT) AS in_body, count(pt.path) AS n_paths, CAST(sum(coalesce(dl.dl, 0)) AS BIGINT) AS lengths, count(dt.path) AS df
+FROM a LEFT JOIN dt USING (path, term) LEFT JOIN bt ON bt.path = a.path AND bt.token = a.term LEFT JOIN path_tokens pt ON pt.path = a.path AND pt.token = a.term LEFT JOIN dl ON dl.path = a.path GROUP BY a.term""",
+        "search_stored_index": _many_sql(STORED, 12).replace(_ENTRIES, after),
+        "search_early_end_200": _many_sql(MANY, 5),
+        "substring_lookup": f"""{p}, k AS (SELECT DISTINCT 'word' AS kind, token AS key FROM content_tokens UNION ALL SELECT 'path', lower(path) FROM entries)
+SELECT pattern, kind, count(*) AS n, min(key) AS first, max(key) AS last FROM ({_values("pattern", [(x,) for x in PARTS])}) JOIN k ON contains(key, pattern) GROUP BY pattern, kind""",
         "index_stats": f"""WITH {_ENTRIES}, {_POSTINGS}, {_DOC_TERMS} SELECT count(*) AS total_entries, count(*) FILTER (entry_type = 'file') AS total_files, count(*) FILTER (entry_type = 'directory') AS total_directories, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes,
 (SELECT count(DISTINCT token) FROM path_tokens) AS token_count, (SELECT count(DISTINCT token) FROM content_tokens) AS content_token_count, CAST(1 AS BIGINT) AS suffix_count, CAST(1 AS BIGINT) AS mime_count, (SELECT count(*) FROM bodies) AS text_files_indexed,
 (SELECT CAST(sum(size_bytes) AS BIGINT) FROM bodies) AS text_bytes_indexed, CAST(0 AS BIGINT) AS python_symbol_count, (SELECT n FROM cs) AS bm25_documents, (SELECT round(avgdl, 6) FROM cs) AS bm25_avg_document_length FROM entries""",
