@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ._base import components, salted_join, settle
 
-#: Vectors of a block, and of a tile of products.
-BLOCK, TILE = 8192, 1024
+#: Vectors of a block at most, blocks that a table of some size has at least, and vectors of a tile of products.
+BLOCK, BLOCKS, TILE = 8192, 8, 1024
 #: Pivots at most. They are vectors of the table, least by a hash of their values; any choice gives right results.
 PIVOTS = 64
 #: Pairs computed in double precision at once.
@@ -153,6 +153,7 @@ def class_links(vectors: DataFrame, threshold: float, block: int = BLOCK, pivots
     if not sizes:
         return vectors.sparkSession.createDataFrame([], "d0 long, d1 long, rep long, n_links long, other long, recomputed long")
     width, n = sizes[0]
+    block = min(block, max(TILE, -(-n // BLOCKS)))
     sample = vectors.where(F.size("vec") == width).orderBy("d0", "d1").limit(max(1, min(pivots, n // block))).select("vec").collect()
     coded = settle(_codes(vectors.select("d0", "d1", "rep", "copies", "vec"), quantised(np.array([r[0] for r in sample], np.float64))[0]))
     n = len(sample)
