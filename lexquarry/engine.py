@@ -57,7 +57,7 @@ class CorpusEngine:
 
     def refresh(self) -> dict[str, int]:
         """Takes over what changed in the tree: counts of added, modified and removed entries."""
-        new, delta = refreshed(self.corpus, scan(self.spark, self.root, IGNORED_NAMES), self.root)
+        new, delta, _, _ = refreshed(self.corpus, scan(self.spark, self.root, IGNORED_NAMES), self.root)
         if new is not self.corpus and self.cached:
             new.cache()
             self.corpus.unpersist()

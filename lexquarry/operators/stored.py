@@ -29,6 +29,10 @@ from .search import K1, prefix_filter, query_terms, suffix_filter
 
 #: Bytes of texts to a folder of postings, the folders' least and greatest number, and the files of one.
 BUCKET_BYTES, BUCKETS, SHARDS = 32 << 20, (4, 4096), 4
+_SCHEMAS = {
+    "postings": "term string, path string, tf long, in_body long, in_path boolean, dl long, part int, sign int, bucket int",
+    "terms": "term string, df long", "totals": "n long, total long", "blocks": "term string, part int, most long, shortest long",
+}
 #: Documents of a term from which its blocks are stored, and about so many documents to a part.
 FREQUENT, PART = 1000, 128
 #: Parts that a search reads first.
@@ -120,13 +124,13 @@ class StoredIndex:
         rows = signed.withColumn("bucket", self.bucket(F.col("term")))
         rows = rows.repartition(self.buckets * SHARDS, F.col("bucket"), F.pmod(F.xxhash64("path", F.lit("shard")), F.lit(SHARDS)))
         rows.sortWithinPartitions("bucket", "term", "part", "path").write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(f"{at}/postings")
-        own = self.spark.read.parquet(f"{at}/postings")
+        own = self._read("postings", [at])
         df = own.where("tf > 0").groupBy("term").agg(F.sum("sign").cast("long").alias("df")).where("df <> 0")
         df.sortWithinPartitions("term").write.parquet(f"{at}/terms")
         lengths = own.where("tf > 0").select("path", "dl", "sign").distinct()  # a document has one length
         lengths.agg(F.coalesce(F.sum("sign"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum(F.col("dl") * F.col("sign")), F.lit(0)).cast("long").alias("total")).write.parquet(f"{at}/totals")
         if not self.segments:
-            often = self.spark.read.parquet(f"{at}/terms").where(F.col("df") >= FREQUENT).select("term")
+            often = self._read("terms", [at]).where(F.col("df") >= FREQUENT).select("term")
             blocks = own.where("tf > 0").join(often, "term", "left_semi").groupBy("term", "part").agg(F.max("tf").alias("most"), F.min("dl").alias("shortest"))
             blocks.repartitionByRange("term", "part").sortWithinPartitions("term", "part").write.parquet(f"{at}/blocks")
         return replace(self, segments=[*self.segments, at])
@@ -136,7 +140,7 @@ class StoredIndex:
     def _read(self, table: str, segments: list[str]) -> DataFrame:
         out = None
         for s in segments:
-            df = self.spark.read.parquet(f"{s}/{table}")
+            df = self.spark.read.schema(_SCHEMAS[table]).parquet(f"{s}/{table}")
             out = df if out is None else out.unionByName(df)
         return out
 
