@@ -40,11 +40,16 @@ def proximity_boost(text_lines: Column, terms: Column) -> Column:
     return F.when((F.size(terms) >= 2) & text_lines.isNotNull(), F.least(F.aggregate(text_lines, F.lit(0.0), step), F.lit(5.0)) * 0.25).otherwise(F.lit(0.0))
 
 
+def greedy_centers(hits: Column, context: int = 3, clusters: int = 2) -> Column:
+    """Of lines (neg: the score times -1, idx: from 0) the best ones that are over two contexts apart, in document order."""
+    pick = lambda acc, h: F.when((F.size(acc) < clusters) & ~F.exists(acc, lambda c: F.abs(c - h["idx"]) <= 2 * context), F.concat(acc, F.array(h["idx"]))).otherwise(acc)
+    return F.array_sort(F.aggregate(F.array_sort(hits), F.array().cast("array<int>"), pick))
+
+
 def cluster_centers(scores: Column, context: int = 3, clusters: int = 2) -> Column:
     """Lines (from 0) with the best scores that are over two contexts apart, in document order."""
     hits = F.filter(F.transform(scores, lambda s, i: F.struct((-s).alias("neg"), i.alias("idx"))), lambda h: h["neg"] < 0)
-    pick = lambda acc, h: F.when((F.size(acc) < clusters) & ~F.exists(acc, lambda c: F.abs(c - h["idx"]) <= 2 * context), F.concat(acc, F.array(h["idx"]))).otherwise(acc)
-    return F.array_sort(F.aggregate(F.array_sort(hits), F.array().cast("array<int>"), pick))
+    return greedy_centers(hits, context, clusters)
 
 
 def excerpt(path: Column, text: Column, terms: Column, max_chars: int = 220, context: int = 3, clusters: int = 2) -> Column:

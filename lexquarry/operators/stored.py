@@ -6,6 +6,7 @@ the texts that changed are tokenised. What a reader sees is the sum over the seg
 
 * `postings` (term, path, tf, in_body, in_path, dl, part, sign): dealt into folders by a hash of the term, within them by one of the path, in
   the order of their terms. A search lists the folders of its terms only, and reads the row groups that hold them.
+* `lines` (word, path, lines, sign) and `words` (key, gram): on which lines a word stands, and the grams that find the words.
 * `terms` (term, df) and `totals` (documents, their lengths), signed as well.
 * `blocks` (term, part, most, shortest): for each frequent term and part of the documents the greatest frequency and the least length, which
   bound what any document of the part can score. Parts hold documents of about one length.
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import identifier_parts, index_terms, indexed, raw_words, stem, token_set
 from .corpus import W_BODY, W_NAME, W_PATH, W_QUALNAME, W_SYMBOL, Corpus, beside, idf, norm, shared_folder
+from .positions import line_hits, line_postings, proximity, word_grams
 from .search import K1, prefix_filter, query_terms, suffix_filter
 
 #: Bytes of texts to a folder of postings, the folders' least and greatest number, and the files of one.
 BUCKET_BYTES, BUCKETS, SHARDS = 32 << 20, (4, 4096), 4
 _SCHEMAS = {
     "postings": "term string, path string, tf long, in_body long, in_path boolean, dl long, part int, sign int, bucket int",
+    "lines": "word string, path string, lines array<struct<line: int, n: int>>, sign int, bucket int", "words": "key string, gram string",
     "terms": "term string, df long", "totals": "n long, total long", "blocks": "term string, part int, most long, shortest long",
 }
 #: Documents of a term from which its blocks are stored, and about so many documents to a part.
@@ -89,17 +92,18 @@ class StoredIndex:
         """The index of a corpus, as one segment below `home`."""
         n, size = c.entries.agg(F.count("*"), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
         ix = cls(c.spark, [], int(min(max(BUCKETS[0], size // BUCKET_BYTES), BUCKETS[1])), max(1, n // (40 * PART)), n)
-        return ix._written(ix._placed(weighted_postings(c), F.lit(1)), home)
+        return ix._written(ix._placed(weighted_postings(c), F.lit(1)), line_postings(c.bodies).withColumn("sign", F.lit(1)), home)
 
     def updated(self, old: Corpus, new: Corpus, changes: DataFrame, home: str | None = None) -> StoredIndex:
         """The index after `changes` (path, change) between two corpora, of which only the changed rows are read: one more segment, or a single one if many have come together."""
         touched = lambda c, which: Corpus(*(t.join(changes.where(which).select("path"), "path", "left_semi") for t in (c.entries, c.texts, c.symbols, c.refs)))
         gone, come = touched(old, "change <> 'added'"), touched(new, "change <> 'removed'")
         signed = self._placed(weighted_postings(gone), F.lit(-1)).unionByName(self._placed(weighted_postings(come), F.lit(1)))
+        lines = line_postings(gone.bodies).withColumn("sign", F.lit(-1)).unionByName(line_postings(come.bodies).withColumn("sign", F.lit(1)))
         n = changes.agg(F.coalesce(F.sum(F.when(F.col("change") == "modified", 2).otherwise(1)), F.lit(0))).first()[0]
         if not n:
             return self
-        out = replace(self._written(signed, home), changed=self.changed + n)
+        out = replace(self._written(signed, lines, home), changed=self.changed + n)
         if len(out.segments) > MOST_SEGMENTS or out.changed > MOST_CHANGED * max(1, out.documents):
             return out.compacted(home)
         return out
@@ -109,7 +113,7 @@ class StoredIndex:
         whole = self.postings().withColumn("sign", F.lit(1))
         n = int(self.totals().first()["n"])
         ix = replace(self, segments=[], documents=n, changed=0, parts=max(1, n // (40 * PART)))
-        return ix._written(ix._placed(whole.drop("part", "sign"), F.lit(1)), home)
+        return ix._written(ix._placed(whole.drop("part", "sign"), F.lit(1)), self.lines().withColumn("sign", F.lit(1)), home)
 
     def _placed(self, postings: DataFrame, sign: Column) -> DataFrame:
         """With the part of the document, which follows from its length and path, and the sign."""
@@ -119,11 +123,17 @@ class StoredIndex:
     def bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
-    def _written(self, signed: DataFrame, home: str | None) -> StoredIndex:
-        at = f"{(home or shared_folder(self.spark)).rstrip('/')}/segment-{uuid.uuid4().hex}"
-        rows = signed.withColumn("bucket", self.bucket(F.col("term")))
+    def _dealt(self, rows: DataFrame, term: str, order: list[str], at: str) -> None:
+        """Writes rows into folders by a hash of the term, sorted, a term's rows over several files."""
+        rows = rows.withColumn("bucket", self.bucket(F.col(term)))
         rows = rows.repartition(self.buckets * SHARDS, F.col("bucket"), F.pmod(F.xxhash64("path", F.lit("shard")), F.lit(SHARDS)))
-        rows.sortWithinPartitions("bucket", "term", "part", "path").write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(f"{at}/postings")
+        rows.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(at)
+
+    def _written(self, signed: DataFrame, lines: DataFrame, home: str | None) -> StoredIndex:
+        at = f"{(home or shared_folder(self.spark)).rstrip('/')}/segment-{uuid.uuid4().hex}"
+        self._dealt(signed, "term", ["term", "part", "path"], f"{at}/postings")
+        self._dealt(lines, "word", ["word", "path"], f"{at}/lines")
+        word_grams(self._read("lines", [at])).repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.parquet(f"{at}/words")
         own = self._read("postings", [at])
         df = own.where("tf > 0").groupBy("term").agg(F.sum("sign").cast("long").alias("df")).where("df <> 0")
         df.sortWithinPartitions("term").write.parquet(f"{at}/terms")
@@ -159,6 +169,22 @@ class StoredIndex:
         sums = rows.groupBy("term", "path", "tf", "in_body", "in_path", "dl", "part").agg(F.sum("sign").alias("sign"))
         return sums.where("sign > 0").drop("sign")
 
+    def lines(self) -> DataFrame:
+        """(word, path, lines: array of (line, n)) as they are now."""
+        rows = self._read("lines", self.segments).drop("bucket")
+        if len(self.segments) == 1:
+            return rows.drop("sign")
+        return rows.groupBy("word", "path", "lines").agg(F.sum("sign").alias("sign")).where("sign > 0").drop("sign")
+
+    def words(self) -> DataFrame:
+        """(key, gram) of all words; some may be of former documents only."""
+        rows = self._read("words", self.segments)
+        return rows if len(self.segments) == 1 else rows.distinct()
+
+    def line_hits(self, queries: DataFrame) -> DataFrame:
+        """positions.line_hits of queries (qid, term)."""
+        return line_hits(self.lines(), self.words(), queries)
+
     def terms(self) -> DataFrame:
         """(term, df) of all terms that some document has."""
         df = self._read("terms", self.segments)
@@ -223,10 +249,11 @@ class StoredIndex:
         least = known.groupBy("qid").agg(F.when(F.count("*") == limit, F.min("score")).alias("least"))
         return bounds.join(least, "qid", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") * (1 - 1e-9))).drop("least")
 
-    def search_many(self, queries: list[tuple[str, str]], limit: int = 5, entries: DataFrame | None = None, entry_type: str | None = None, suffix: str | None = None, path_prefix: str | None = None) -> DataFrame:
+    def search_many(self, queries: list[tuple[str, str]], limit: int = 5, entries: DataFrame | None = None, entry_type: str | None = None, suffix: str | None = None, path_prefix: str | None = None, proximity_boost: bool = False) -> DataFrame:
         """(qid, path, score, rank) for many queries (over names and paths, over bodies) in one plan, ranked as operators.search.search ranks each.
 
-        Filters need `entries`. A query without any token gives no rows: what it lists follows from the entries alone.
+        Filters need `entries`. A query without any token gives no rows: what it lists follows from the entries alone. `proximity_boost` adds
+        what lines with several terms give, from their positions; it may lift any document, so all of a query's parts are read then.
         """
         asked, names = self._asked(queries)
         allowed = None
@@ -234,7 +261,11 @@ class StoredIndex:
         for condition in conditions:
             if condition is not None:
                 allowed = (entries if allowed is None else allowed).where(condition)
-        scored = self._scores(asked, names, self._selected(asked, names, limit, allowed).select("qid", "part"), allowed)
+        parts = self.bounds(asked, names) if proximity_boost else self._selected(asked, names, limit, allowed)
+        scored = self._scores(asked, names, parts.select("qid", "part"), allowed)
+        if proximity_boost:
+            terms = asked.select("qid", F.explode(F.array_repeat("term", F.col("qtf"))).alias("term"))
+            scored = scored.join(proximity(self.line_hits(terms), terms), ["qid", "path"], "left").select("qid", "path", (F.col("score") + F.coalesce("boost", F.lit(0.0))).alias("score"))
         cut = Window.partitionBy("qid").orderBy(F.desc("score"), F.lower("path").desc(), F.col("path").desc())
         shown = Window.partitionBy("qid").orderBy(F.desc("score"), F.lower("path"), "path")
         kept = scored.withColumn("cut", F.row_number().over(cut)).where(F.col("cut") <= limit)

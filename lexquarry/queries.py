@@ -19,6 +19,7 @@ from .functions import excerpts, tokens
 from .operators import corpus as tables
 from .operators import extract, grams, search, xref
 from .operators.corpus import Corpus, hold
+from .operators.positions import best_lines, line_hits, line_postings, proximity, word_grams
 from .operators.stored import StoredIndex
 from .plans import ask
 from .sources import fstree, scip
@@ -365,6 +366,24 @@ def search_stored_index(spark, d):
     return _updated(spark, d).search_many(STORED, 12).select("qid", "path", F.round("score", 6).alias("score"), "rank")
 
 
+def proximity_by_lines(spark, d):
+    """The boost of every text from line positions of an updated index: no text is read."""
+    ix = _updated(spark, d)
+    terms = spark.createDataFrame([(0, t) for t in TERMS], "qid int, term string")
+    boosts = proximity(ix.line_hits(terms), terms)
+    return ix.postings().where("in_body > 0").select("path").distinct().join(boosts, "path", "left").select("path", F.round(F.coalesce("boost", F.lit(0.0)), 6).alias("boost"))
+
+
+def line_scores_by_positions(spark, d):
+    """Occurrences of the terms in the lines of every text that has some, and the lines an excerpt shows, from positions of words."""
+    bodies = _documents(spark, d).bodies
+    postings = hold(line_postings(bodies))
+    terms = spark.createDataFrame([(0, t) for t in TERMS], "qid int, term string")
+    hits = line_hits(postings, word_grams(postings), terms)
+    sums = hits.groupBy("qid", "path").agg(F.max("n").alias("best"), F.sum("n").alias("total"), F.count("*").alias("n_lines"))
+    return sums.join(best_lines(hits), ["qid", "path"]).select("path", "best", "total", "n_lines", F.array_join(F.transform("centers", lambda x: (x + 1).cast("string")), ",").alias("centers"))
+
+
 #: 200 queries: sources, languages and syllables.
 MANY = [(f"src{i % 20} {('en', 'fr', 'de', 'es')[i % 4]}" if i % 2 else "", f"{('the', 'tion', 'er', 'and', 'ver')[i % 5]} {('on', 'ing', 'nation', 'que', 'heit', 'ion', 'thand')[i % 7]}") for i in range(200)]
 
@@ -381,7 +400,9 @@ PARTS = sorted({a + b for a in ("th", "er", "on", "tion", "an", "re", "he", "in"
 def substring_lookup(spark, d):
     """For each of some 200 strings the words of the corpus and the paths that hold it: how many, the first and the last."""
     c = _documents(spark, d)
-    keys = c.content_tokens.select(F.lit("word").alias("kind"), F.col("token").alias("key")).distinct().unionByName(c.entries.select(F.lit("path").alias("kind"), F.lower("path").alias("key")))
+    raw = c.bodies.select(F.explode(F.array_distinct(tokens.raw_words(F.col("text")))).alias("raw")).distinct()
+    words = raw.select(F.lit("word").alias("kind"), F.explode(tokens.identifier_parts(F.col("raw"))).alias("key")).distinct()
+    keys = words.unionByName(c.entries.select(F.lit("path").alias("kind"), F.lower("path").alias("key")))
     found = grams.lookup(grams.index(keys), spark.createDataFrame([(x,) for x in PARTS], "pattern string"))
     return found.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.max("key").alias("last"))
 
@@ -397,7 +418,7 @@ _ALL = [
     bm25_weighted_topk, entries_scan, pages_scan, fs_totals, children_count, children_of, tokenize_terms, index_terms, content_postings, path_postings, doc_terms, term_df, doc_lengths, corpus_stats, idf, doc_norms, bm25_repeat_terms,
     bm25_zero_score_candidates, search_path, search_path_and_content, filter_suffix_type_prefix, substring_fallback, topk_tie_cut, root_prefix, search_many, proximity_boost, line_scores, highlight, excerpt_clusters, py_symbols, py_refs,
     c_symbols, symbol_search_exact, symbol_search_trigram, usages_rank, related_tests, used_by, resolve_ref, file_skeleton, contour, ask_parse, delta_classify, delta_apply, delta_bm25_equals_full, scip_defs, scip_refs, index_stats,
-    stored_index_after_update, search_stored_index, search_early_end_200, substring_lookup, bm25_symbol_weights, tree_files, tree_stats, tree_texts,
+    proximity_by_lines, line_scores_by_positions, stored_index_after_update, search_stored_index, search_early_end_200, substring_lookup, bm25_symbol_weights, tree_files, tree_stats, tree_texts,
 ]
 
 
@@ -570,6 +591,9 @@ SELECT dl.path, dl.dl AS weighted, (SELECT max(tf) FROM dt WHERE dt.path = dl.pa
 bt AS (SELECT path, token, count(*) AS n FROM (SELECT path, unnest({_terms("text")}) AS token FROM bodies) GROUP BY path, token)
 SELECT a.term, CAST(sum(coalesce(dt.tf, 0)) AS BIGINT) AS tf, CAST(sum(coalesce(bt.n, 0)) AS BIGINT) AS in_body, count(pt.path) AS n_paths, CAST(sum(coalesce(dl.dl, 0)) AS BIGINT) AS lengths, count(dt.path) AS df
 FROM a LEFT JOIN dt USING (path, term) LEFT JOIN bt ON bt.path = a.path AND bt.token = a.term LEFT JOIN path_tokens pt ON pt.path = a.path AND pt.token = a.term LEFT JOIN dl ON dl.path = a.path GROUP BY a.term""",
+        "proximity_by_lines": f"WITH {after}, h AS (SELECT path, list_sum(list_transform(list_transform({_LINES}, lambda l: {hits}), lambda n: CASE WHEN n >= 3 THEN 3.0 WHEN n >= 2 THEN 0.4 * n ELSE 0.0 END)) AS s FROM bodies) SELECT path, round(CAST(least(s, 5.0) * 0.25 AS DOUBLE), 6) AS boost FROM h",
+        "line_scores_by_positions": f"""WITH {_ENTRIES}, {_EXCERPTS.split("shown AS")[0].rstrip().rstrip(",")}, lists AS (SELECT path, string_agg(n, ',' ORDER BY n) AS centers FROM centers GROUP BY path)
+SELECT c.path, CAST(max(sc) AS BIGINT) AS best, CAST(sum(sc) AS BIGINT) AS total, count(*) AS n_lines, any_value(centers) AS centers FROM c JOIN lists USING (path) WHERE sc > 0 GROUP BY c.path""",
         "search_stored_index": _many_sql(STORED, 12).replace(_ENTRIES, after),
         "search_early_end_200": _many_sql(MANY, 5),
         "substring_lookup": f"""{p}, k AS (SELECT DISTINCT 'word' AS kind, token AS key FROM content_tokens UNION ALL SELECT 'path', lower(path) FROM entries)
