@@ -22,6 +22,8 @@ STOP_WORDS = (
     "super throws null nil undefined this that"
 ).split()
 
+_STOP_SET = frozenset(STOP_WORDS)
+
 #: Line ends that Python's text model knows, as one separator.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _SPACE = r"[\s\x1c-\x1f]"
@@ -58,6 +60,11 @@ def indexed(term: Column) -> Column:
     return (F.length(term) >= 2) & ~term.isin(STOP_WORDS)
 
 
+def is_indexed(term: str) -> bool:
+    """indexed() for one token."""
+    return len(term) >= 2 and term not in _STOP_SET
+
+
 def index_terms(v: Column) -> Column:
     """Tokens of two or more characters that are no stop words."""
     return F.filter(terms(v), indexed)

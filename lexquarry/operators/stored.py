@@ -19,15 +19,17 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import identifier_parts, index_terms, indexed, raw_words, stem, token_set
+from ..functions.tokens import index_terms, is_indexed, query_terms, stem, token_set
 from .corpus import W_BODY, W_NAME, W_PATH, W_QUALNAME, W_SYMBOL, Corpus, beside, idf, norm, shared_folder
 from .positions import line_hits, line_postings, proximity, word_grams
-from .search import K1, prefix_filter, query_terms, suffix_filter
+from .search import K1, prefix_filter, suffix_filter
 
 #: Bytes of texts to a folder of postings, the folders' least and greatest number, and the files of one.
 BUCKET_BYTES, BUCKETS, SHARDS = 32 << 20, (4, 4096), 4
@@ -44,33 +46,72 @@ FIRST = 16
 MOST_SEGMENTS, MOST_CHANGED = 8, 0.25
 
 
+_POSTINGS = "term string, path string, tf long, in_body long, in_path boolean, dl long"
+#: ASCII letters and digits as they are, all other bytes as spaces.
+_ALNUM = bytes(c if chr(c).isascii() and chr(c).isalnum() else 32 for c in range(256))
+#: Bytes of texts counted at once, and words whose tokens a task remembers.
+_BATCH_BYTES, _REMEMBERED = 4 << 20, 1 << 20
+
+
+def _document(named: list[tuple[int, str]], text: str, parts: dict[bytes, list[str]]) -> tuple[dict[str, list], int]:
+    """(tf, in_body, in_path) of each token of a document, and the sum of tf; named are (weight, token) of its other fields, of weight 0 those of name and path."""
+    found: dict[str, list] = {}
+    for weight, token in named:
+        e = found.setdefault(token, [0, 0, False])
+        e[0] += weight
+        e[2] |= not weight
+    for word, n in Counter(text.encode("utf-8", "surrogatepass").translate(_ALNUM).split()).items():
+        tokens = parts.get(word)
+        if tokens is None:
+            tokens = parts[word] = query_terms(word.decode())
+        for token in tokens:
+            e = found.get(token)
+            if e is None:
+                found[token] = [n * W_BODY if is_indexed(token) else 0, n, False]
+            else:
+                e[0] += n * W_BODY if is_indexed(token) else 0
+                e[1] += n
+    return found, sum(e[0] for e in found.values())
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts: dict[bytes, list[str]] = {}
+    names = [x.split(" ")[0] for x in _POSTINGS.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+    out: list[list] = [[] for _ in names]
+    size = 0
+    for b in batches:
+        for i in range(b.num_rows):
+            path, tagged, text = (b.column(k)[i].as_py() for k in range(3))
+            found, dl = _document([(int(x[: x.index("/")]), x[x.index("/") + 1 :]) for x in tagged], text or "", parts)
+            for values, own in zip(out, (found, [path] * len(found), (e[0] for e in found.values()), (e[1] for e in found.values()), (e[2] for e in found.values()), [dl] * len(found)), strict=True):
+                values.extend(own)
+            size += len(text or "")
+            if size > _BATCH_BYTES or len(out[0]) > 1 << 18:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
+                out, size = [[] for _ in names], 0
+                if len(parts) > _REMEMBERED:
+                    parts.clear()
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
+
+
 def weighted_postings(c: Corpus) -> DataFrame:
     """(term, path, tf, in_body, in_path, dl) of all documents and tokens: weighted frequency (0 for tokens that aren't indexed), occurrences in the
     body, whether name or path hold it, and the document's weighted length.
 
-    All fields of a document are gathered in its row, so what follows stays where its path is: words are counted first and
-    split into tokens once for each document and word.
+    All fields of a document are gathered in its row, which is counted as a whole: nothing is grouped or moved after the join by
+    path. Counting is done on Arrow batches, as splitting and grouping the words by expressions takes several times the processor time.
     """
-    tag = lambda mark, found: F.transform(found, lambda t: F.concat(F.lit(f"{mark}/"), t))
+    tag = lambda weight, found: F.transform(found, lambda t: F.concat(F.lit(f"{weight}/"), t))
     segments = F.split("path", "/")
     above = F.flatten(F.transform(F.slice(segments, F.lit(1), F.greatest(F.size(segments) - 1, F.lit(0))), index_terms))
-    qualified = F.when((F.col("qualname") != "") & (F.col("qualname") != F.col("name")), index_terms(F.col("qualname"))).otherwise(F.array().cast("array<string>"))
-    symbols = c.symbols.groupBy("path").agg(F.flatten(F.collect_list(F.concat(tag(W_SYMBOL, index_terms(F.col("name"))), tag(f"{W_QUALNAME}q", qualified)))).alias("named"))
-    fields = c.entries.select("path", F.concat(tag(W_NAME, index_terms(stem(F.col("name")))), tag(f"{W_PATH}p", above), tag(0, token_set(F.concat_ws(" ", "name", "path")))).alias("fields"))
     none = F.array().cast("array<string>")
+    qualified = F.when((F.col("qualname") != "") & (F.col("qualname") != F.col("name")), index_terms(F.col("qualname"))).otherwise(none)
+    symbols = c.symbols.groupBy("path").agg(F.flatten(F.collect_list(F.concat(tag(W_SYMBOL, index_terms(F.col("name"))), tag(W_QUALNAME, qualified)))).alias("named"))
+    fields = c.entries.select("path", F.concat(tag(W_NAME, index_terms(stem(F.col("name")))), tag(W_PATH, above), tag(0, token_set(F.concat_ws(" ", "name", "path")))).alias("fields"))
     rows = fields.join(symbols, "path", "left").join(c.bodies.select("path", "text"), "path", "left")
-    words = rows.select("path", F.explode(F.concat("fields", F.coalesce("named", none), F.coalesce(raw_words(F.col("text")), none))).alias("word"))
-    counted = words.groupBy("path", "word").agg(F.count("*").alias("n"))
-    mark = F.instr("word", "/")
-    weight = F.regexp_extract("word", "^([0-9]+)", 1).cast("int")
-    is_field = mark > 0
-    tokens = counted.select("path", "n", is_field.alias("is_field"), F.when(is_field, weight).alias("weight"), F.explode(F.when(is_field, F.array(F.substr("word", mark + 1))).otherwise(identifier_parts(F.col("word")))).alias("term"))
-    body = F.when(~F.col("is_field"), F.col("n")).otherwise(0)
-    sums = tokens.groupBy("path", "term").agg(
-        F.sum(body).alias("in_body"), F.sum(F.when(F.col("is_field"), F.col("n") * F.col("weight")).otherwise(0)).alias("other"), F.max(F.col("is_field") & (F.col("weight") == 0)).alias("in_path")
-    )
-    tf = F.col("other") + F.when(indexed(F.col("term")), F.col("in_body") * W_BODY).otherwise(0)
-    return sums.select("term", "path", tf.alias("tf"), "in_body", "in_path").withColumn("dl", F.sum("tf").over(Window.partitionBy("path")))
+    return rows.select("path", F.concat("fields", F.coalesce("named", none)).alias("tagged"), "text").mapInArrow(_count, _POSTINGS)
 
 
 @dataclass
@@ -84,22 +125,24 @@ class StoredIndex:
     #: Documents that the first segment holds, and signed rows of documents in the later ones.
     documents: int = 0
     changed: int = 0
+    #: Whether segments hold lines.
+    positions: bool = False
 
     # ---- writing ----
 
     @classmethod
-    def build(cls, c: Corpus, home: str | None = None) -> StoredIndex:
-        """The index of a corpus, as one segment below `home`."""
+    def build(cls, c: Corpus, home: str | None = None, positions: bool = False) -> StoredIndex:
+        """The index of a corpus, as one segment below `home`; with `positions` also the lines of its words."""
         n, size = c.entries.agg(F.count("*"), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
-        ix = cls(c.spark, [], int(min(max(BUCKETS[0], size // BUCKET_BYTES), BUCKETS[1])), max(1, n // (40 * PART)), n)
-        return ix._written(ix._placed(weighted_postings(c), F.lit(1)), line_postings(c.bodies).withColumn("sign", F.lit(1)), home)
+        ix = cls(c.spark, [], int(min(max(BUCKETS[0], size // BUCKET_BYTES), BUCKETS[1])), max(1, n // (40 * PART)), n, positions=positions)
+        return ix._written(ix._placed(weighted_postings(c), F.lit(1)), line_postings(c.bodies).withColumn("sign", F.lit(1)) if positions else None, home)
 
     def updated(self, old: Corpus, new: Corpus, changes: DataFrame, home: str | None = None) -> StoredIndex:
         """The index after `changes` (path, change) between two corpora, of which only the changed rows are read: one more segment, or a single one if many have come together."""
         touched = lambda c, which: Corpus(*(t.join(changes.where(which).select("path"), "path", "left_semi") for t in (c.entries, c.texts, c.symbols, c.refs)))
         gone, come = touched(old, "change <> 'added'"), touched(new, "change <> 'removed'")
         signed = self._placed(weighted_postings(gone), F.lit(-1)).unionByName(self._placed(weighted_postings(come), F.lit(1)))
-        lines = line_postings(gone.bodies).withColumn("sign", F.lit(-1)).unionByName(line_postings(come.bodies).withColumn("sign", F.lit(1)))
+        lines = line_postings(gone.bodies).withColumn("sign", F.lit(-1)).unionByName(line_postings(come.bodies).withColumn("sign", F.lit(1))) if self.positions else None
         n = changes.agg(F.coalesce(F.sum(F.when(F.col("change") == "modified", 2).otherwise(1)), F.lit(0))).first()[0]
         if not n:
             return self
@@ -113,7 +156,7 @@ class StoredIndex:
         whole = self.postings().withColumn("sign", F.lit(1))
         n = int(self.totals().first()["n"])
         ix = replace(self, segments=[], documents=n, changed=0, parts=max(1, n // (40 * PART)))
-        return ix._written(ix._placed(whole.drop("part", "sign"), F.lit(1)), self.lines().withColumn("sign", F.lit(1)), home)
+        return ix._written(ix._placed(whole.drop("part", "sign"), F.lit(1)), self.lines().withColumn("sign", F.lit(1)) if self.positions else None, home)
 
     def _placed(self, postings: DataFrame, sign: Column) -> DataFrame:
         """With the part of the document, which follows from its length and path, and the sign."""
@@ -129,11 +172,12 @@ class StoredIndex:
         rows = rows.repartition(self.buckets * SHARDS, F.col("bucket"), F.pmod(F.xxhash64("path", F.lit("shard")), F.lit(SHARDS)))
         rows.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(at)
 
-    def _written(self, signed: DataFrame, lines: DataFrame, home: str | None) -> StoredIndex:
+    def _written(self, signed: DataFrame, lines: DataFrame | None, home: str | None) -> StoredIndex:
         at = f"{(home or shared_folder(self.spark)).rstrip('/')}/segment-{uuid.uuid4().hex}"
         self._dealt(signed, "term", ["term", "part", "path"], f"{at}/postings")
-        self._dealt(lines, "word", ["word", "path"], f"{at}/lines")
-        word_grams(self._read("lines", [at])).repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.parquet(f"{at}/words")
+        if lines is not None:
+            self._dealt(lines, "word", ["word", "path"], f"{at}/lines")
+            word_grams(self._read("lines", [at])).repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.parquet(f"{at}/words")
         own = self._read("postings", [at])
         df = own.where("tf > 0").groupBy("term").agg(F.sum("sign").cast("long").alias("df")).where("df <> 0")
         df.sortWithinPartitions("term").write.parquet(f"{at}/terms")

@@ -345,9 +345,9 @@ def _edited(spark, d):
     return before, after, hold(classify(sign(before), sign(after)))
 
 
-def _updated(spark, d):
+def _updated(spark, d, positions=False):
     before, after, changes = _edited(spark, d)
-    return StoredIndex.build(before).updated(before, after, changes)
+    return StoredIndex.build(before, positions=positions).updated(before, after, changes)
 
 
 def stored_index_after_update(spark, d):
@@ -368,7 +368,7 @@ def search_stored_index(spark, d):
 
 def proximity_by_lines(spark, d):
     """The boost of every text from line positions of an updated index: no text is read."""
-    ix = _updated(spark, d)
+    ix = _updated(spark, d, positions=True)
     terms = spark.createDataFrame([(0, t) for t in TERMS], "qid int, term string")
     boosts = proximity(ix.line_hits(terms), terms)
     return ix.postings().where("in_body > 0").select("path").distinct().join(boosts, "path", "left").select("path", F.round(F.coalesce("boost", F.lit(0.0)), 6).alias("boost"))

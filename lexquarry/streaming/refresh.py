@@ -111,8 +111,8 @@ class Generations:
         at = f"{self.home}/tables/{n}"
         for k in TABLES:
             getattr(c, k).write.mode("overwrite").parquet(f"{at}/{k}")
-        index = index or StoredIndex.build(self._read(n), f"{self.home}/index")
-        manifest = {"generation": n, "index": {"segments": [s.rsplit("/", 1)[1] for s in index.segments], "buckets": index.buckets, "parts": index.parts, "documents": index.documents, "changed": index.changed}}
+        index = index or StoredIndex.build(self._read(n), f"{self.home}/index", positions=True)
+        manifest = {"generation": n, "index": {"segments": [s.rsplit("/", 1)[1] for s in index.segments], "buckets": index.buckets, "parts": index.parts, "documents": index.documents, "changed": index.changed, "positions": index.positions}}
         while True:
             last, now = self._last()
             if now["generation"] >= n:
@@ -154,7 +154,7 @@ class Generations:
     def index(self, n: int | None = None) -> StoredIndex:
         """The stored index of a generation, the current one if none is named."""
         m = self._manifest(n)["index"]
-        return StoredIndex(self.spark, [f"{self.home}/index/{s}" for s in m["segments"]], m["buckets"], m["parts"], m["documents"], m["changed"])
+        return StoredIndex(self.spark, [f"{self.home}/index/{s}" for s in m["segments"]], m["buckets"], m["parts"], m["documents"], m["changed"], m["positions"])
 
     def load(self, n: int | None = None) -> Corpus:
         """A saved corpus. Its postings and statistics are those of its index: no text is tokenised again."""
