@@ -19,15 +19,15 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import index_terms, is_indexed, query_terms, stem, token_set
-from .corpus import W_BODY, W_NAME, W_PATH, W_QUALNAME, W_SYMBOL, Corpus, beside, idf, norm, shared_folder
+from ..functions.tokens import index_terms, is_indexed, query_terms, stem, terms, token_set
+from .corpus import W_BODY, W_NAME, W_PATH, W_QUALNAME, W_SYMBOL, Corpus, beside, hold, idf, norm, shared_folder
 from .positions import line_hits, line_postings, proximity, word_grams
 from .search import K1, prefix_filter, suffix_filter
 
@@ -248,16 +248,20 @@ class StoredIndex:
             rows += [(i, t, n, t in a, t in b, bool(q.strip()), bool(cq.strip())) for t, n in Counter(a + b).items()]
         asked = self.spark.createDataFrame(rows, "qid int, term string, qtf int, for_path boolean, for_body boolean, want_path boolean, want_body boolean")
         names = sorted({r[1] for r in rows})
-        df = self.terms().where(F.col("term").isin(names)) if len(names) <= 500 else self.terms()
-        return asked.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))), names
+        return self._with_df(asked, names), names
+
+    def _with_df(self, asked: DataFrame, names: list[str] | None) -> DataFrame:
+        df = self.terms().where(F.col("term").isin(names)) if self._few(names) else self.terms()
+        return asked.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
 
     def _gain(self, tf: Column, dl: Column) -> Column:
         return F.when(tf > 0, F.col("qtf") * idf(F.col("n"), F.col("df")) * tf * (K1 + 1) / (tf + norm(dl, F.col("avgdl")))).otherwise(0.0)
 
-    def _few(self, names: list[str]) -> list[str] | None:
-        return names if len(names) <= 500 else None
+    def _few(self, names: list[str] | None) -> list[str] | None:
+        """The terms, if they are known and few enough to be literals of a plan."""
+        return names if names is not None and len(names) <= 500 else None
 
-    def bounds(self, asked: DataFrame, names: list[str]) -> DataFrame:
+    def bounds(self, asked: DataFrame, names: list[str] | None) -> DataFrame:
         """(qid, part, bound, blocks): what no document of the part scores above. Frequent terms' bounds come from stored blocks, others' from their postings."""
         first, later = self.segments[:1], self.segments[1:]
         stored = self._read("blocks", first)
@@ -273,7 +277,7 @@ class StoredIndex:
         blocks = rows.groupBy("qid", "term", "qtf", "df", "part").agg(F.max("most").alias("most"), F.min("shortest").alias("shortest"))
         return beside(blocks, self.totals()).groupBy("qid", "part").agg(F.sum(self._gain(F.col("most"), F.col("shortest"))).alias("bound"), F.count("*").alias("blocks"))
 
-    def _scores(self, asked: DataFrame, names: list[str], parts: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    def _scores(self, asked: DataFrame, names: list[str] | None, parts: DataFrame, allowed: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
         """(qid, path, score) of the documents in `parts` (qid, part) that hold what their query asks for."""
         found = self.postings(self._few(names), None if self._few(names) else asked)
         hits = beside(found.join(asked, "term").join(parts, ["qid", "part"], "left_semi"), self.totals())
@@ -281,9 +285,9 @@ class StoredIndex:
             F.sum(self._gain(F.col("tf"), F.col("dl"))).alias("score"), F.max(F.col("for_path") & F.col("in_path")).alias("in_path"), F.max(F.col("for_body") & (F.col("in_body") > 0)).alias("in_body"), F.max("want_path").alias("want_path"), F.max("want_body").alias("want_body")
         )
         docs = docs.where("(in_path or not want_path) and (in_body or not want_body)").select("qid", "path", "score")
-        return docs if allowed is None else docs.join(allowed.select("path"), "path", "left_semi")
+        return docs if allowed is None else allowed(docs)
 
-    def _selected(self, asked: DataFrame, names: list[str], limit: int, allowed: DataFrame | None) -> DataFrame:
+    def _selected(self, asked: DataFrame, names: list[str] | None, limit: int, allowed: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
         """(qid, part, bound, blocks) of the parts that have to be read: the first ones, and all whose bound reaches the score found there."""
         bounds = self.bounds(asked, names)
         order = Window.partitionBy("qid").orderBy(F.desc("bound"), "part")
@@ -300,11 +304,12 @@ class StoredIndex:
         what lines with several terms give, from their positions; it may lift any document, so all of a query's parts are read then.
         """
         asked, names = self._asked(queries)
-        allowed = None
+        own = None
         conditions = [F.col("entry_type") == entry_type if entry_type else None, suffix_filter(suffix) if suffix else None, prefix_filter(path_prefix) if path_prefix else None]
         for condition in conditions:
             if condition is not None:
-                allowed = (entries if allowed is None else allowed).where(condition)
+                own = (entries if own is None else own).where(condition)
+        allowed = None if own is None else lambda docs: docs.join(own.select("path"), "path", "left_semi")
         parts = self.bounds(asked, names) if proximity_boost else self._selected(asked, names, limit, allowed)
         scored = self._scores(asked, names, parts.select("qid", "part"), allowed)
         if proximity_boost:
@@ -315,6 +320,16 @@ class StoredIndex:
         kept = scored.withColumn("cut", F.row_number().over(cut)).where(F.col("cut") <= limit)
         return kept.withColumn("rank", F.row_number().over(shown)).drop("cut")
 
+    def search_each(self, queries: DataFrame, limit: int, allowed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """(qid, path, score) of the best documents of each of the queries (qid, query, content_query), lower-cased first: at least those of the `limit` best scores that
+        `allowed` keeps of (qid, path, score)."""
+        of = lambda col, for_path: F.transform(terms(F.lower(F.trim(F.coalesce(col, F.lit(""))))), lambda t: F.struct(t.alias("term"), F.lit(for_path).alias("for_path")))
+        each = queries.select("qid", F.explode(F.concat(of("query", True), of("content_query", False))).alias("t"))
+        wanted = queries.select("qid", *[(F.trim(F.coalesce(c, F.lit(""))) != "").alias(w) for c, w in (("query", "want_path"), ("content_query", "want_body"))])
+        asked = each.groupBy("qid", F.col("t.term").alias("term")).agg(F.count("*").cast("int").alias("qtf"), F.max("t.for_path").alias("for_path"), F.max(~F.col("t.for_path")).alias("for_body")).join(wanted, "qid")
+        asked = hold(self._with_df(asked, None))
+        return self._scores(asked, None, self._selected(asked, None, limit, allowed).select("qid", "part"), allowed)
+
     def blocks_read(self, queries: list[tuple[str, str]], limit: int = 5) -> DataFrame:
         """(qid, blocks, read): blocks of a query's terms, and those in the parts that the search reads."""
         asked, names = self._asked(queries)

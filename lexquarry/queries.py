@@ -19,9 +19,11 @@ from .functions import excerpts, tokens
 from .operators import corpus as tables
 from .operators import extract, grams, search, xref
 from .operators.corpus import Corpus, hold
+from .operators.intervals import intervals
 from .operators.positions import best_lines, line_hits, line_postings, proximity, word_grams
 from .operators.stored import StoredIndex
 from .plans import ask
+from .plans.many import ask_many
 from .sources import fstree, scip
 from .sources.tables import from_documents, from_pages
 from .streaming.refresh import apply_delta, build, classify
@@ -393,6 +395,26 @@ def search_early_end_200(spark, d):
     return StoredIndex.build(_documents(spark, d)).search_many(MANY, 5).select("qid", "path", F.round("score", 6).alias("score"), "rank")
 
 
+#: 1000 questions, and what each asks of names and paths, and of bodies.
+_SYLLABLES = ("the", "tion", "er", "and", "ver", "on", "ing", "ion", "que", "heit")
+_ABOUT = [(_SYLLABLES[i % 10], f"nation {_SYLLABLES[i // 10 % 10]}{_SYLLABLES[i // 100]}") for i in range(1000)]
+ASKED = [
+    (f"where is the doc file {('fr', 'de', 'es')[i % 3]} src{i % 20}", f"doc {('fr', 'de', 'es')[i % 3]} src{i % 20}", "") if i % 2 else (f"find text about {a} {b}", "", f"about {b}" if a == "the" else f"about {a} {b}") for i, (a, b) in enumerate(_ABOUT)
+]
+
+
+def ask_many_1000(spark, d):
+    """The matches of 1000 questions, parsed and answered in one plan over a stored index."""
+    c = _documents(spark, d)
+    found = ask_many(StoredIndex.build(c), c, spark.createDataFrame([(i, q) for i, (q, _, _) in enumerate(ASKED)], "qid int, question string"))
+    return found.select("qid", "intent", "path", F.round("score", 6).alias("score"), "rank")
+
+
+def subtree_totals(spark, d):
+    """Entries, files and bytes at any depth below every directory, from numbers in depth-first order."""
+    return intervals(_documents(spark, d).entries).where("entry_type = 'directory'").select("path", "first", "last", "entries_below", "files_below", "bytes_below")
+
+
 #: 200 strings that are looked up inside words and paths: pairs of syllables, single letters and parts of paths.
 PARTS = sorted({a + b for a in ("th", "er", "on", "tion", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "sch") for b in ("th", "er", "on", "tion", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "sch")} | {"e", "th", "src1", "_0000", "/en/doc_", "0.txt", "zzzz", "."})
 
@@ -418,7 +440,7 @@ _ALL = [
     bm25_weighted_topk, entries_scan, pages_scan, fs_totals, children_count, children_of, tokenize_terms, index_terms, content_postings, path_postings, doc_terms, term_df, doc_lengths, corpus_stats, idf, doc_norms, bm25_repeat_terms,
     bm25_zero_score_candidates, search_path, search_path_and_content, filter_suffix_type_prefix, substring_fallback, topk_tie_cut, root_prefix, search_many, proximity_boost, line_scores, highlight, excerpt_clusters, py_symbols, py_refs,
     c_symbols, symbol_search_exact, symbol_search_trigram, usages_rank, related_tests, used_by, resolve_ref, file_skeleton, contour, ask_parse, delta_classify, delta_apply, delta_bm25_equals_full, scip_defs, scip_refs, index_stats,
-    proximity_by_lines, line_scores_by_positions, stored_index_after_update, search_stored_index, search_early_end_200, substring_lookup, bm25_symbol_weights, tree_files, tree_stats, tree_texts,
+    ask_many_1000, subtree_totals, proximity_by_lines, line_scores_by_positions, stored_index_after_update, search_stored_index, search_early_end_200, substring_lookup, bm25_symbol_weights, tree_files, tree_stats, tree_texts,
 ]
 
 
@@ -591,6 +613,10 @@ SELECT dl.path, dl.dl AS weighted, (SELECT max(tf) FROM dt WHERE dt.path = dl.pa
 bt AS (SELECT path, token, count(*) AS n FROM (SELECT path, unnest({_terms("text")}) AS token FROM bodies) GROUP BY path, token)
 SELECT a.term, CAST(sum(coalesce(dt.tf, 0)) AS BIGINT) AS tf, CAST(sum(coalesce(bt.n, 0)) AS BIGINT) AS in_body, count(pt.path) AS n_paths, CAST(sum(coalesce(dl.dl, 0)) AS BIGINT) AS lengths, count(dt.path) AS df
 FROM a LEFT JOIN dt USING (path, term) LEFT JOIN bt ON bt.path = a.path AND bt.token = a.term LEFT JOIN path_tokens pt ON pt.path = a.path AND pt.token = a.term LEFT JOIN dl ON dl.path = a.path GROUP BY a.term""",
+        "ask_many_1000": _many_sql([(a, b) for _, a, b in ASKED], 5).replace("WHERE (NOT want_path", "WHERE path IN (SELECT path FROM entries WHERE entry_type = 'file') AND (NOT want_path").replace("SELECT qid, path, round", "SELECT qid, 'search_files' AS intent, path, round"),
+        "subtree_totals": f"""{e}, k AS (SELECT path, entry_type, size_bytes, CASE WHEN path = '.' THEN [] ELSE string_split(path, '/') END AS s FROM entries), o AS (SELECT *, row_number() OVER (ORDER BY s) AS first FROM k)
+SELECT d.path, d.first, max(x.first) AS last, count(*) - 1 AS entries_below, count(*) FILTER (x.entry_type = 'file') AS files_below, CAST(sum(CASE WHEN x.entry_type = 'file' THEN x.size_bytes ELSE 0 END) AS BIGINT) AS bytes_below
+FROM o d JOIN o x ON x.s[1 : len(d.s)] = d.s WHERE d.entry_type = 'directory' GROUP BY d.path, d.first""",
         "proximity_by_lines": f"WITH {after}, h AS (SELECT path, list_sum(list_transform(list_transform({_LINES}, lambda l: {hits}), lambda n: CASE WHEN n >= 3 THEN 3.0 WHEN n >= 2 THEN 0.4 * n ELSE 0.0 END)) AS s FROM bodies) SELECT path, round(CAST(least(s, 5.0) * 0.25 AS DOUBLE), 6) AS boost FROM h",
         "line_scores_by_positions": f"""WITH {_ENTRIES}, {_EXCERPTS.split("shown AS")[0].rstrip().rstrip(",")}, lists AS (SELECT path, string_agg(n, ',' ORDER BY n) AS centers FROM centers GROUP BY path)
 SELECT c.path, CAST(max(sc) AS BIGINT) AS best, CAST(sum(sc) AS BIGINT) AS total, count(*) AS n_lines, any_value(centers) AS centers FROM c JOIN lists USING (path) WHERE sc > 0 GROUP BY c.path""",
