@@ -18,6 +18,7 @@ document, and only those are read. Results are exact.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -46,7 +47,8 @@ FIRST = 16
 MOST_SEGMENTS, MOST_CHANGED = 8, 0.25
 
 
-_POSTINGS = "term string, path string, tf long, in_body long, in_path boolean, dl long"
+#: The postings of a document that go to one folder, as one row.
+_GROUPED = "bucket int, path string, dl long, terms array<string>, tfs array<int>, bodies array<int>, paths array<boolean>"
 #: ASCII letters and digits as they are, all other bytes as spaces.
 _ALNUM = bytes(c if chr(c).isascii() and chr(c).isalnum() else 32 for c in range(256))
 #: Bytes of texts counted at once, and words whose tokens a task remembers.
@@ -74,31 +76,45 @@ def _document(named: list[tuple[int, str]], text: str, parts: dict[bytes, list[s
     return found, sum(e[0] for e in found.values())
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts: dict[bytes, list[str]] = {}
-    names = [x.split(" ")[0] for x in _POSTINGS.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
-    out: list[list] = [[] for _ in names]
-    size = 0
-    for b in batches:
-        for i in range(b.num_rows):
-            path, tagged, text = (b.column(k)[i].as_py() for k in range(3))
-            found, dl = _document([(int(x[: x.index("/")]), x[x.index("/") + 1 :]) for x in tagged], text or "", parts)
-            for values, own in zip(out, (found, [path] * len(found), (e[0] for e in found.values()), (e[1] for e in found.values()), (e[2] for e in found.values()), [dl] * len(found)), strict=True):
-                values.extend(own)
-            size += len(text or "")
-            if size > _BATCH_BYTES or len(out[0]) > 1 << 18:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
-                out, size = [[] for _ in names], 0
-                if len(parts) > _REMEMBERED:
-                    parts.clear()
-    if out[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
-
-
-def weighted_postings(c: Corpus) -> DataFrame:
-    """(term, path, tf, in_body, in_path, dl) of all documents and tokens: weighted frequency (0 for tokens that aren't indexed), occurrences in the
-    body, whether name or path hold it, and the document's weighted length.
+def _count(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = [x.split(" ")[0] for x in _GROUPED.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.bool_()]
+
+    def batch(heads: list[tuple], offsets: list[int], flat: list[list]) -> pa.RecordBatch:
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v, t)) for v, t in zip(flat, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*heads, strict=True), (pa.int32(), pa.string(), pa.int64()), strict=True)] + lists, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[bytes, list[str]] = {}
+        heads, offsets, flat, size = [], [0], [[] for _ in kinds], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                path, tagged, text = (b.column(k)[i].as_py() for k in range(3))
+                found, dl = _document([(int(x[: x.index("/")]), x[x.index("/") + 1 :]) for x in tagged], text or "", parts)
+                dealt: dict[int, list] = {}
+                for term, e in found.items():
+                    dealt.setdefault(zlib.crc32(term.encode()) % buckets, []).append((term, *e))
+                for bucket, own in dealt.items():
+                    heads.append((bucket, path, dl))
+                    for values, column in zip(flat, zip(*own, strict=True), strict=True):
+                        values.extend(column)
+                    offsets.append(len(flat[0]))
+                size += len(text or "")
+                if size > _BATCH_BYTES or len(flat[0]) > 1 << 18:
+                    if heads:
+                        yield batch(heads, offsets, flat)
+                    heads, offsets, flat, size = [], [0], [[] for _ in kinds], 0
+                    if len(parts) > _REMEMBERED:
+                        parts.clear()
+        if heads:
+            yield batch(heads, offsets, flat)
+
+    return run
+
+
+def weighted_postings(c: Corpus, buckets: int) -> DataFrame:
+    """(bucket, path, dl, terms, tfs, bodies, paths) of each document and folder of terms: the tokens, their weighted frequencies (0 for tokens that
+    aren't indexed), occurrences in the body, and whether name or path hold them; dl is the document's weighted length.
 
     All fields of a document are gathered in its row, which is counted as a whole: nothing is grouped or moved after the join by
     path. Counting is done on Arrow batches, as splitting and grouping the words by expressions takes several times the processor time.
@@ -111,7 +127,7 @@ def weighted_postings(c: Corpus) -> DataFrame:
     symbols = c.symbols.groupBy("path").agg(F.flatten(F.collect_list(F.concat(tag(W_SYMBOL, index_terms(F.col("name"))), tag(W_QUALNAME, qualified)))).alias("named"))
     fields = c.entries.select("path", F.concat(tag(W_NAME, index_terms(stem(F.col("name")))), tag(W_PATH, above), tag(0, token_set(F.concat_ws(" ", "name", "path")))).alias("fields"))
     rows = fields.join(symbols, "path", "left").join(c.bodies.select("path", "text"), "path", "left")
-    return rows.select("path", F.concat("fields", F.coalesce("named", none)).alias("tagged"), "text").mapInArrow(_count, _POSTINGS)
+    return rows.select("path", F.concat("fields", F.coalesce("named", none)).alias("tagged"), "text").mapInArrow(_count(buckets), _GROUPED)
 
 
 @dataclass
@@ -135,13 +151,13 @@ class StoredIndex:
         """The index of a corpus, as one segment below `home`; with `positions` also the lines of its words."""
         n, size = c.entries.agg(F.count("*"), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
         ix = cls(c.spark, [], int(min(max(BUCKETS[0], size // BUCKET_BYTES), BUCKETS[1])), max(1, n // (40 * PART)), n, positions=positions)
-        return ix._written(ix._placed(weighted_postings(c), F.lit(1)), line_postings(c.bodies).withColumn("sign", F.lit(1)) if positions else None, home)
+        return ix._written(weighted_postings(c, ix.buckets).withColumn("sign", F.lit(1)), line_postings(c.bodies).withColumn("sign", F.lit(1)) if positions else None, home)
 
     def updated(self, old: Corpus, new: Corpus, changes: DataFrame, home: str | None = None) -> StoredIndex:
         """The index after `changes` (path, change) between two corpora, of which only the changed rows are read: one more segment, or a single one if many have come together."""
         touched = lambda c, which: Corpus(*(t.join(changes.where(which).select("path"), "path", "left_semi") for t in (c.entries, c.texts, c.symbols, c.refs)))
         gone, come = touched(old, "change <> 'added'"), touched(new, "change <> 'removed'")
-        signed = self._placed(weighted_postings(gone), F.lit(-1)).unionByName(self._placed(weighted_postings(come), F.lit(1)))
+        signed = weighted_postings(gone, self.buckets).withColumn("sign", F.lit(-1)).unionByName(weighted_postings(come, self.buckets).withColumn("sign", F.lit(1)))
         lines = line_postings(gone.bodies).withColumn("sign", F.lit(-1)).unionByName(line_postings(come.bodies).withColumn("sign", F.lit(1))) if self.positions else None
         n = changes.agg(F.coalesce(F.sum(F.when(F.col("change") == "modified", 2).otherwise(1)), F.lit(0))).first()[0]
         if not n:
@@ -153,30 +169,31 @@ class StoredIndex:
 
     def compacted(self, home: str | None = None) -> StoredIndex:
         """The same index as one segment."""
-        whole = self.postings().withColumn("sign", F.lit(1))
+        one = lambda c, kind: F.array(F.col(c).cast(kind))
+        whole = self.postings().select(self.bucket(F.col("term")).alias("bucket"), "path", "dl", one("term", "string").alias("terms"), one("tf", "int").alias("tfs"), one("in_body", "int").alias("bodies"), one("in_path", "boolean").alias("paths"), F.lit(1).alias("sign"))
         n = int(self.totals().first()["n"])
         ix = replace(self, segments=[], documents=n, changed=0, parts=max(1, n // (40 * PART)))
-        return ix._written(ix._placed(whole.drop("part", "sign"), F.lit(1)), self.lines().withColumn("sign", F.lit(1)) if self.positions else None, home)
-
-    def _placed(self, postings: DataFrame, sign: Column) -> DataFrame:
-        """With the part of the document, which follows from its length and path, and the sign."""
-        part = F.floor(4 * F.log2(F.col("dl") + 1.0)).cast("int") * self.parts + F.pmod(F.xxhash64("path"), F.lit(self.parts)).cast("int")
-        return postings.select("term", "path", "tf", "in_body", "in_path", "dl", part.alias("part"), sign.cast("int").alias("sign"))
+        return ix._written(whole, self.lines().withColumn("sign", F.lit(1)) if self.positions else None, home)
 
     def bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+        return (F.crc32(term.cast("binary")) % self.buckets).cast("int")
 
-    def _dealt(self, rows: DataFrame, term: str, order: list[str], at: str) -> None:
-        """Writes rows into folders by a hash of the term, sorted, a term's rows over several files."""
-        rows = rows.withColumn("bucket", self.bucket(F.col(term)))
-        rows = rows.repartition(self.buckets * SHARDS, F.col("bucket"), F.pmod(F.xxhash64("path", F.lit("shard")), F.lit(SHARDS)))
+    def _moved(self, rows: DataFrame) -> DataFrame:
+        """Dealt by folder, a folder's rows over several files by their paths."""
+        return rows.repartition(self.buckets * SHARDS, F.col("bucket"), F.pmod(F.xxhash64("path", F.lit("shard")), F.lit(SHARDS)))
+
+    def _saved(self, rows: DataFrame, order: list[str], at: str) -> None:
         rows.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(at)
 
     def _written(self, signed: DataFrame, lines: DataFrame | None, home: str | None) -> StoredIndex:
         at = f"{(home or shared_folder(self.spark)).rstrip('/')}/segment-{uuid.uuid4().hex}"
-        self._dealt(signed, "term", ["term", "part", "path"], f"{at}/postings")
+        # The part of a document follows from its length and path.
+        part = F.floor(4 * F.log2(F.col("dl") + 1.0)).cast("int") * self.parts + F.pmod(F.xxhash64("path"), F.lit(self.parts)).cast("int")
+        flat = self._moved(signed).select("bucket", "path", "dl", "sign", F.explode(F.arrays_zip("terms", "tfs", "bodies", "paths")).alias("t"))
+        flat = flat.select(F.col("t.terms").alias("term"), "path", F.col("t.tfs").cast("long").alias("tf"), F.col("t.bodies").cast("long").alias("in_body"), F.col("t.paths").alias("in_path"), "dl", part.alias("part"), "sign", "bucket")
+        self._saved(flat, ["term", "part", "path"], f"{at}/postings")
         if lines is not None:
-            self._dealt(lines, "word", ["word", "path"], f"{at}/lines")
+            self._saved(self._moved(lines.withColumn("bucket", self.bucket(F.col("word")))), ["word", "path"], f"{at}/lines")
             word_grams(self._read("lines", [at])).repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.parquet(f"{at}/words")
         own = self._read("postings", [at])
         df = own.where("tf > 0").groupBy("term").agg(F.sum("sign").cast("long").alias("df")).where("df <> 0")
@@ -280,7 +297,8 @@ class StoredIndex:
     def _scores(self, asked: DataFrame, names: list[str] | None, parts: DataFrame, allowed: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
         """(qid, path, score) of the documents in `parts` (qid, part) that hold what their query asks for."""
         found = self.postings(self._few(names), None if self._few(names) else asked)
-        hits = beside(found.join(asked, "term").join(parts, ["qid", "part"], "left_semi"), self.totals())
+        # Terms and parts of the queries first: postings meet them on both at once, and no hit of another part moves.
+        hits = beside(found.join(asked.join(parts.select("qid", "part"), "qid"), ["term", "part"]), self.totals())
         docs = hits.groupBy("qid", "path").agg(
             F.sum(self._gain(F.col("tf"), F.col("dl"))).alias("score"), F.max(F.col("for_path") & F.col("in_path")).alias("in_path"), F.max(F.col("for_body") & (F.col("in_body") > 0)).alias("in_body"), F.max("want_path").alias("want_path"), F.max("want_body").alias("want_body")
         )
