@@ -1,10 +1,10 @@
 """Surrogates for personal data, in native expressions only.
 
-Detected entities (e-mail addresses, telephone, payment-card, account, network and social-security numbers, and names after a form of
-address) are replaced by keyed ones of the same type and format: each character by one of its class, drawn from a
+Detected entities (e-mail addresses, telephone, payment-card, account, network and social-security numbers, names after a form of
+address, and further mentions of their words in the same document) are replaced by keyed ones of the same type and format: each character by one of its class, drawn from a
 keyed digest; cards keep their issuer digit and a valid check digit, account numbers their country and valid check digits,
 addresses stay valid, names keep gender and script. Given and family names are entities of their own, so "Mr John Smith" and
-"Mr. Smith" stay one person. Equal entities get equal surrogates everywhere (coreference). A surrogate that two entities
+"Mr. Smith" stay one person. A given name after a title of no gender ("Dr") has the gender that the document's other titles give it. Equal entities get equal surrogates everywhere (coreference). A surrogate that two entities
 share, or that is itself an entity of the corpus, is drawn anew for all but the first, until all are distinct; only those that
 collide are drawn again. From some attempt on, more is drawn than the format holds (WIDE), so that distinct surrogates exist
 however many entities of a kind there are. Detection goes by form: a number that fails its check sum is replaced as well.
@@ -19,45 +19,74 @@ from ._base import let, salted_join, settle
 
 # Forms of address by gender and script, and given and family names for surrogates.
 TITLES = {
-    "f_latin": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora"],
-    "m_latin": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor"],
+    "f_latin": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "Lady", "Dame"],
+    "m_latin": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Sir"],
+    "n_latin": ["Dr", "Doctor", "Prof", "Professor", "Rev", "Mx"],
     "f_cyrillic": ["Госпожа", "госпожа"],
     "m_cyrillic": ["Господин", "господин"],
+    "n_cyrillic": ["Доктор", "доктор", "Профессор", "профессор"],
+    "f_greek": ["Κυρία", "κυρία"],
+    "m_greek": ["Κύριος", "κύριος", "Κύριε", "κύριε"],
+    "n_greek": ["Καθηγητής", "καθηγητής"],
 }
 NAMES = {
     "f_latin": ["Anna", "Clara", "Diana", "Elena", "Flora", "Greta", "Helena", "Irene", "Julia", "Karla", "Laura", "Maria", "Nora", "Olivia", "Paula", "Rosa", "Sara", "Teresa", "Vera", "Yvonne"],
     "m_latin": ["Adam", "Bruno", "Carl", "Daniel", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Noel", "Oscar", "Paul", "Robert", "Simon", "Thomas", "Victor"],
+    "n_latin": ["Alexis", "Andrea", "Camille", "Dana", "Jamie", "Kim", "Luca", "Morgan", "Nikola", "Robin", "Sascha", "Toni"],
     "f_cyrillic": ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Софья", "Юлия"],
     "m_cyrillic": ["Антон", "Борис", "Виктор", "Егор", "Иван", "Кирилл", "Максим", "Олег", "Павел", "Юрий"],
+    "n_cyrillic": ["Валя", "Женя", "Саша", "Слава"],
+    "f_greek": ["Άννα", "Ελένη", "Ειρήνη", "Μαρία", "Σοφία"],
+    "m_greek": ["Γιώργος", "Νίκος", "Πέτρος", "Σπύρος", "Κώστας"],
+    "n_greek": ["Σταύρη", "Χρύση"],
 }
 FAMILY = {
     "latin": ["Alder", "Birch", "Cedar", "Dorn", "Elm", "Fisk", "Garten", "Holm", "Iversen", "Jansen", "Keller", "Linden", "Moller", "Norden", "Olsen", "Perrin", "Quist", "Roth", "Sander", "Thorn"],
     "cyrillic": ["Белый", "Волк", "Гром", "Дуб", "Камень", "Лес", "Мороз", "Орёл", "Рудь", "Шум"],
+    "greek": ["Βράχου", "Δάσου", "Κήπου", "Λίμνου", "Πεύκου"],
 }
 #: Syllables that family names get from attempt WIDE["name"] on.
-SYLLABLES = {"latin": [c + v for c in "bcdfghjklmnpqrstvwxz" for v in "aeiou"], "cyrillic": [c + v for c in "бвгджзклмнпрстфхцчшщ" for v in "аеиоу"]}
+SYLLABLES = {"latin": [c + v for c in "bcdfghjklmnpqrstvwxz" for v in "aeiou"], "cyrillic": [c + v for c in "бвгджзклмнпрстфхцчшщ" for v in "аеиоу"], "greek": [c + v for c in "βγδκλμνπρστφ" for v in "αειου"]}
 #: Attempts from which surrogates grow: names by syllables, e-mail addresses by characters, numbers by digits, each one more
 #: an attempt; network addresses take octets of any length, and at last the IPv6 form under its prefix for documentation.
 WIDE = {"name": 5, "email": 5, "ip": 5, "ipv6": 20, "number": 12}
 #: Pieces that a surrogate grows by at most.
 MOST = 16
 
-_WORD = r"[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'-]+"
-_CYR = r"[А-ЯЁ][а-яё-]+"
+# Words of names: apostrophes and hyphens inside only, and no possessive 's.
+_WORD = r"[A-ZÀ-ÖØ-Þ](?:[A-Za-zÀ-ÖØ-öø-ÿ]|['-](?!s(?!\p{L}))(?=[A-Za-zÀ-ÖØ-öø-ÿ]))+"
+_CYR = r"[А-ЯЁ](?:[а-яё]|-(?=[А-ЯЁа-яё])[А-ЯЁ]?)+"
+_GREEK = r"[Α-ΩΆΈ-Ώ](?:[α-ωάέ-ώϊϋΐΰ]|-(?=[Α-Ωα-ω])[Α-Ω]?)+"
+
+
+def _titles(*kinds: str) -> str:
+    return "|".join(t for k in kinds for t in TITLES[k])
+
+
+#: Titles before a name, one or more.
+_LEAD = rf"(?:(?:{_titles(*TITLES)})\.? )+"
+
+
+def _named(script: str, word: str) -> str:
+    return rf"(?:(?:{_titles(f'f_{script}', f'm_{script}', f'n_{script}')})\.? )+{word}(?: {word})?"
+
+
 #: Types, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.-])(?:[2-6]\d{3}(?:\d{12}|(?: \d{4}){3}|(?:-\d{4}){3})|3[47]\d{13})(?![\d]|[.-]\d)",
-    "phone": r"(?<![\d.-])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\d])|(?<![\d.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\d])|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d]|[.-]\d)",
+    "phone": r"(?<![\d.-])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\d])|(?<![\d.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\d])|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d]|[.-]\d)|(?<![\d.,-])0\d{1,4}[ -]\d{3,4}[ -]\d{3,4}(?![\d]|[ .-]\d)|(?<![\d.,-]|\d )\d{3}-\d{4}(?![\d]|[.-]\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES['f_latin'] + TITLES['m_latin'])})\.? {_WORD}(?: {_WORD})?|(?:{'|'.join(TITLES['f_cyrillic'] + TITLES['m_cyrillic'])}) {_CYR}(?: {_CYR})?)",
+    "name": rf"(?<!\p{{L}})(?:{_named('latin', _WORD)}|{_named('cyrillic', _CYR)}|{_named('greek', _GREEK)})",
 }
 #: All types, sorted by what they can start with, so that a place in prose is given up after one character.
 ENTITY = "|".join(
-    [PATTERNS["email"], *(f"(?={start})(?:{'|'.join(f'(?:{PATTERNS[k]})' for k in kinds)})" for start, kinds in ((r"[\d+(]", ["ip", "card", "phone", "ssn"]), (r"[\p{Lu}г]", ["iban", "name"])))]
+    [PATTERNS["email"], *(f"(?={start})(?:{'|'.join(f'(?:{PATTERNS[k]})' for k in kinds)})" for start, kinds in ((r"[\d+(]", ["ip", "card", "phone", "ssn"]), (r"[\p{Lu}гдпκ]", ["iban", "name"])))]
 )
+#: Types of the words of names.
+_NAMED = ["name", "given_f", "given_m", "given_n"]
 #: No entity is in a text without one of these characters or words.
 _HINT_WORDS = sorted({w for v in TITLES.values() for w in v if not any(x != w and x in w for y in TITLES.values() for x in y)})
 
@@ -74,12 +103,12 @@ def _type(v: Column) -> Column:
     out = None
     for k, p in PATTERNS.items():
         out = F.when(v.rlike(f"^(?:{p})$"), k) if out is None else out.when(v.rlike(f"^(?:{p})$"), k)
-    return out.otherwise("other")
+    return out.otherwise("mention")
 
 
 def _canonical(v: Column, kind: Column) -> Column:
     """What an entity is known by: letter case of addresses, and separators and titles don't tell entities apart."""
-    return F.when(kind == "email", F.lower(v)).when(kind == "name", F.regexp_replace(v, r"^\S+ ", "")).when(kind == "ip", v).otherwise(F.regexp_replace(v, r"[^A-Za-z0-9]", ""))
+    return F.when(kind == "email", F.lower(v)).when(kind == "name", F.regexp_replace(v, f"^{_LEAD}", "")).when(kind.isin("ip", "mention"), v).otherwise(F.regexp_replace(v, r"[^A-Za-z0-9]", ""))
 
 
 def _kept(v: Column, kind: Column) -> Column:
@@ -134,7 +163,7 @@ def _account(v: Column) -> Column:
 
 
 def _draw(e: DataFrame, key: str) -> DataFrame:
-    """Adds `surrogate` (in canonical form) for type, canonical and attempt; types of names are name (family), given_f and given_m."""
+    """Adds `surrogate` (in canonical form) for type, canonical and attempt; types of names are name (family), given_f, given_m and given_n."""
     seed = F.concat_ws("|", F.lit(key), "type", "canonical", F.col("attempt").cast("string"))
     e = e.withColumn("h", F.concat(F.sha2(seed.cast("binary"), 256), F.sha2(F.concat(seed, F.lit("+")).cast("binary"), 256)))
     e = e.withColumn("more", F.concat(F.sha2(F.concat(seed, F.lit("-")).cast("binary"), 256), F.sha2(F.concat(seed, F.lit("=")).cast("binary"), 256)))
@@ -149,7 +178,7 @@ def _draw(e: DataFrame, key: str) -> DataFrame:
     local = F.when(attempt >= WIDE["email"], F.concat(F.substring(_mapped(local, h), F.lit(1), 64 - grown("email")), _tail(more, grown("email"), list("abcdefghijklmnopqrstuvwxyz0123456789")))).otherwise(_mapped(local, h))
     drawn = F.concat(F.substring(v, F.lit(1), F.col("keep")), _mapped(F.substring(v, F.col("keep") + 1, F.length(v)), h))
     drawn = F.when(F.col("type").isin("phone", "ssn") & (attempt >= WIDE["number"]), F.concat(drawn, _tail(more, grown("number"), list("0123456789")))).otherwise(drawn)
-    script = F.when(v.rlike("^[А-ЯЁ]"), "cyrillic").otherwise("latin")
+    script = F.when(v.rlike("^[А-ЯЁ]"), "cyrillic").when(v.rlike("^[Α-ΩΆΈ-Ώ]"), "greek").otherwise("latin")
     full = F.lit(None).cast("string")
     for kind, pools in (("name", {f"name_{k}": v for k, v in FAMILY.items()}), ("given", {f"given_{k}": v for k, v in NAMES.items()})):
         for g, names in pools.items():
@@ -162,7 +191,7 @@ def _draw(e: DataFrame, key: str) -> DataFrame:
         .when(F.col("type") == "ip", address)
         .when(F.col("type") == "card", _check_digit(F.col("drawn")))
         .when(F.col("type") == "iban", _account(F.col("drawn")))
-        .when(F.col("type").isin("name", "given_f", "given_m"), F.coalesce(full, F.col("drawn")))
+        .when(F.col("type").isin(*_NAMED), F.coalesce(full, F.col("drawn")))
         .otherwise(F.col("drawn")),
     ).drop("h", "more", "drawn")
 
@@ -192,37 +221,61 @@ def _formatted(value: Column, kind: Column, surrogate: Column) -> Column:
         lambda a, c: F.when(c.rlike("^[A-Za-z0-9]$"), F.struct((a["i"] + 1).alias("i"), F.concat(a["out"], F.substring(surrogate, a["i"] + 1, F.lit(1))).alias("out"))).otherwise(F.struct(a["i"].alias("i"), F.concat(a["out"], c).alias("out"))),
         lambda a: F.concat(a["out"], F.substring(surrogate, a["i"] + 1, F.length(surrogate))),
     )
-    return F.when(kind.isin("email", "ip", "name", "given_f", "given_m"), surrogate).otherwise(spread)
+    return F.when(kind.isin("email", "ip", *_NAMED), surrogate).otherwise(spread)
 
 
 def _entities(value: Column, kind: Column) -> Column:
     """What an occurrence consists of: (before, type, canonical, gender, keep), where `before` stays as it is. A name's words are
     entities, the last one the family's; all else is one entity."""
-    women = "|".join(TITLES["f_latin"] + TITLES["f_cyrillic"])
-    gender = F.when(value.rlike(rf"^(?:{women})\b"), "f").otherwise("m")
+    title, words, none = F.regexp_extract(value, f"^{_LEAD}", 0), F.split(_canonical(value, kind), " "), F.lit(0)
+    has = lambda g: title.rlike(rf"(?<!\p{{L}})(?:{_titles(*(k for k in TITLES if k[0] == g))})(?!\p{{L}})")
+    gender = F.when(has("f"), "f").when(has("m"), "m").otherwise("n")
     row = lambda before, type_, canonical, keep: F.struct(before.alias("before"), type_.alias("type"), canonical.alias("canonical"), gender.alias("gender"), keep.alias("keep"))
-    title, words, none = F.regexp_extract(value, r"^\S+ ", 0), F.split(_canonical(value, kind), " "), F.lit(0)
     named = F.transform(words, lambda w, i: row(F.when(i == 0, title).otherwise(" "), F.when(i == F.size(words) - 1, "name").otherwise(F.concat(F.lit("given_"), gender)), w, none))
     return F.when(kind == "name", named).otherwise(F.array(row(F.lit(""), kind, _canonical(value, kind), _kept(value, kind))))
 
 
+def _with_mentions(values: Column) -> Column:
+    """The entity pattern of a document with `values`, and the words of its names wherever they stand alone, the longer first."""
+    named = F.filter(values, lambda v: v.rlike(f"^(?:{PATTERNS['name']})$"))
+    words = F.array_distinct(F.flatten(F.transform(named, lambda v: F.split(F.regexp_replace(v, f"^{_LEAD}", ""), " "))))
+    return let(F.sort_array(words, asc=False), lambda w: F.when(F.size(w) > 0, F.concat(F.lit(rf"{ENTITY}|(?<!\p{{L}})(?=\p{{Lu}})(?:"), F.array_join(w, "|"), F.lit(r")(?!\p{L})"))).otherwise(ENTITY))
+
+
+def _people(each: DataFrame) -> DataFrame:
+    """The parts of names with the type that their document gives them: a mention is the family's name if any title says so, else a
+    given one; a given name of no known gender takes one that another title in the document tells."""
+    named = each.where(F.col("type").isin(*_NAMED)).groupBy("row", "canonical")
+    known = named.agg(F.max(F.col("type") == "name").alias("family"), F.min(F.when(F.col("type").isin("given_f", "given_m"), F.col("type"))).alias("told"), F.min(F.when(F.col("type") == "given_n", F.col("type"))).alias("untold"))
+    given = F.coalesce("told", "untold")
+    kind = F.when(F.col("type") == "given_n", given).when(F.col("type") == "mention", F.when(F.col("family"), F.lit("name")).otherwise(given)).otherwise(F.col("type"))
+    asked = each.where(F.col("type").isin("mention", "given_n"))
+    told = salted_join(asked, known, ["row", "canonical"], ["at", "part"]).withColumn("type", kind)
+    return each.where(~F.col("type").isin("mention", "given_n")).unionByName(told.select(*each.columns))
+
+
 def pseudonymise(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     """(doc_id, text, n_entities) for every row of docs, with surrogates in place of entities.
 
     A null text stays null, an empty one empty; texts without entities are untouched; repeated rows give equal rows. Equal
-    entities have equal surrogates in the whole corpus, whatever their separators or letter case.
+    entities have equal surrogates in the whole corpus, whatever their separators or letter case. A word of a titled name is replaced
+    wherever else it stands as a word of the same document, in the same letters.
     """
     docs = docs.select("doc_id", "text")
     values = F.when(_may_hold(F.col("text")), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
     found = docs.withColumn("values", F.coalesce(values, F.array().cast("array<string>")))
     plain = found.where(F.size("values") == 0).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
-    held = settle(found.where(F.size("values") > 0).select("*", F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("hash")).alias("row"), F.monotonically_increasing_id().alias("nth")))
+    held = found.where(F.size("values") > 0).withColumn("pattern", _with_mentions(F.col("values")))
+    held = held.withColumn("values", F.when(F.col("pattern") == ENTITY, F.col("values")).otherwise(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))))
+    held = settle(held.select("*", F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("hash")).alias("row"), F.monotonically_increasing_id().alias("nth")))
     each = held.select("row", F.posexplode("values").alias("at", "value")).distinct().withColumn("parts", _entities(F.col("value"), _type(F.col("value"))))
     each = settle(each.select("row", "at", "value", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "p")).select("row", "at", "value", "part", (F.col("part") == F.col("n") - 1).alias("last"), "p.*"))
+    each = settle(_people(each))
     new = surrogates(each.select("type", "canonical", "gender", "keep"), key)
     swapped = salted_join(each, new, ["type", "canonical"], ["row", "at"])
     piece = F.struct("at", "part", F.concat("before", _formatted(F.col("value"), F.col("type"), F.col("surrogate"))).alias("new"), "last")
     lists = settle(swapped.groupBy("row").agg(F.array_sort(F.collect_list(piece)).alias("pieces")))
     put = lambda gaps: F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform("pieces", lambda p: F.concat(p["new"], F.when(p["last"], F.get(gaps, p["at"] + 1)).otherwise(""))), ""))
-    rebuilt = let(F.split("text", ENTITY, -1), put)
+    gaps = F.when(F.col("pattern") == ENTITY, F.split("text", ENTITY, -1)).otherwise(F.split("text", F.col("pattern"), F.lit(-1)))
+    rebuilt = let(gaps, put)
     return plain.unionByName(salted_join(held, lists, ["row"], ["nth"]).select("doc_id", rebuilt.alias("text"), F.size("values").cast("long").alias("n_entities")))

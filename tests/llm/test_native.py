@@ -306,6 +306,31 @@ def test_replacement_equals_brute_force(spark):
     assert names[1] == names[3] and names[1] in mapping["family", "Smith"]  # one person, one name
 
 
+def test_one_person_is_replaced_whole(spark):
+    """Mentions without a title, other titles, possessives, given names alone and names in other scripts."""
+    texts = [
+        "Mr John Smith and Mr. Smith, Dr. Smith, Smith said; John's car, Smith's car, Smithson, smith, BlackSmith",
+        "Prof. Dr. Anna Lee met Mrs Anna Lee. Anna left.", "Dr. Kay Lund wrote. Kay and Lund", "Smith said nothing", "Κύριος Νικολάου και Νικολάου; доктор Чехов, Чехов",
+        "call 555-0100 or 020 7946 0958 at 100-2000, 1,555-0100, 12 020-1234", "Mr Smith Smith-Jones and Mrs Smith-Jones", "Sir, Dr. No and Prof. 5",
+    ]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    text = lambda i: got[i]["text"]
+    a = re.fullmatch(r"Mr (\w+) (\w+) and Mr\. (\w+), Dr\. (\w+), (\w+) said; (\w+)'s car, (\w+)'s car, Smithson, smith, BlackSmith", text(0))
+    assert len({a[2], a[3], a[4], a[5], a[7]}) == 1 and a[1] == a[6] in pii.NAMES["m_latin"] and not {"Smith", "John"} & set(a.groups()) and got[0]["n_entities"] == 6
+    b = re.fullmatch(r"Prof\. Dr\. (\w+) (\w+) met Mrs (\w+) (\w+)\. (\w+) left\.", text(1))
+    assert b[1] == b[3] == b[5] in pii.NAMES["f_latin"] and b[2] == b[4] != "Lee"
+    c = re.fullmatch(r"Dr\. (\w+) (\w+) wrote\. (\w+) and (\w+)", text(2))
+    assert c[1] == c[3] in pii.NAMES["n_latin"] and c[2] == c[4] != "Lund"
+    assert text(3) == texts[3]  # no title in this document
+    d = re.fullmatch(r"Κύριος ([Α-Ωα-ωά-ώ]+) και ([Α-Ωα-ωά-ώ]+); доктор (\S+), (\S+)", text(4))
+    assert d[1] == d[2] != "Νικολάου" and d[3] == d[4] != "Чехов" and re.fullmatch("[А-ЯЁ][а-яё-]+", d[3])
+    e = re.fullmatch(r"call (\d{3}-\d{4}) or (0?\d{2,3} \d{4} \d{4}) at (\d{3}-\d{4}), 1,555-0100, 12 020-1234", text(5))
+    assert e[1] != "555-0100" and e[2] != "020 7946 0958"
+    f = re.fullmatch(r"Mr (\S+) (\S+) and Mrs (\S+)", text(6))
+    assert f[2] == f[3] and "Smith" not in text(6)
+    assert got[7]["n_entities"] == 1 and text(7).startswith("Sir, Dr. ") and text(7).endswith(" and Prof. 5")
+
+
 def test_grown_number_is_written_whole(spark):
     df = spark.createDataFrame([("+1 23 45", "phone", "198765"), ("123-45-6789", "ssn", "987654321")], "value string, kind string, surrogate string")
     assert [r[0] for r in df.select(pii._formatted(F.col("value"), F.col("kind"), F.col("surrogate"))).collect()] == ["+1 98 765", "987-65-4321"]
@@ -400,7 +425,10 @@ def brute_templates(pages, rules):
     return out
 
 
-def test_tree_equals_brute_force(spark):
+@pytest.mark.parametrize("chars", [urls.TASK_CHARS, 40_000])
+def test_tree_equals_brute_force(spark, monkeypatch, chars):
+    """With few characters a task, large nodes go branching by branching."""
+    monkeypatch.setattr(urls, "TASK_CHARS", chars)
     r = random.Random(11)
     segs = ["a", "b", "shop", "*", "x*y", "v1", "p2.html", "index.php", "de", "fr"]
     names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(120)]
@@ -417,6 +445,20 @@ def test_tree_equals_brute_force(spark):
     assert any("*+" in t for t, *_ in got.values()) and any("%2A" in t for t, *_ in got.values()) and any(t.count("/") > 5 and "/*/" in t[8:] for t, *_ in got.values())
 
 
+def test_jobs_do_not_grow_with_depth(spark):
+    """Paths of 2, 12 and 120 segments that branch at every level."""
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for depth in (2, 12, 120):
+        r = random.Random(depth)
+        pages = [(i, "http://h.org/" + "/".join(r.choice("ab") for _ in range(depth))) for i in range(400)]
+        spark.sparkContext.setJobGroup(f"deep{depth}", "")
+        got = {x["page_id"]: (x["template"], round(x["blocked_share"], 9), x["verdict"]) for x in urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+        jobs.append(len(tracker.getJobIdsForGroup(f"deep{depth}")))
+        assert got == brute_templates(pages, urls.RULES)
+    spark.sparkContext.setJobGroup("tests", "")
+    assert 0 < min(jobs) and max(jobs) <= min(jobs) + 6
+
+
 def test_no_pages(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
