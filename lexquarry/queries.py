@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions import excerpts, tokens
 from .operators import corpus as tables
-from .operators import extract, grams, search, xref
+from .operators import extract, grams, report, search, xref
 from .operators.corpus import Corpus, hold
 from .operators.intervals import intervals
 from .operators.positions import best_lines, line_hits, line_postings, proximity, word_grams
@@ -347,6 +347,26 @@ def _edited(spark, d):
     return before, after, hold(classify(sign(before), sign(after)))
 
 
+def _with_words(c: Corpus) -> Corpus:
+    """Each document with a symbol, its first word qualified by its second one (a test, where it starts with t), and a reference to its third."""
+    word = lambda i: F.coalesce(F.get(tokens.raw_words(F.col("text")), F.lit(i)), F.lit("none"))
+    symbols = c.texts.select("path", word(0).alias("name"), F.concat_ws(".", word(1), word(0)).alias("qualname"), F.lower(word(0)).startswith("t").alias("is_test"))
+    return Corpus(c.entries, c.texts, symbols, c.texts.select("path", word(2).alias("name")))
+
+
+def _edited_with_words(spark, d):
+    before, after, changes = _edited(spark, d)
+    return _with_words(before), _with_words(after), changes
+
+
+def report_after_delta(spark, d):
+    """The whole report of an index after an update, from stored facts and those of changed documents alone."""
+    before, after, changes = _edited_with_words(spark, d)
+    facts = report.updated(hold(report.facts(before)), before, after, changes)
+    out = report.report(facts, "corpus")
+    return out.withColumn("bm25_avg_document_length", F.round("bm25_avg_document_length", 6)).withColumn("ignored_names", F.array_join("ignored_names", ","))
+
+
 def _updated(spark, d, positions=False):
     before, after, changes = _edited(spark, d)
     return StoredIndex.build(before, positions=positions).updated(before, after, changes)
@@ -440,7 +460,7 @@ _ALL = [
     bm25_weighted_topk, entries_scan, pages_scan, fs_totals, children_count, children_of, tokenize_terms, index_terms, content_postings, path_postings, doc_terms, term_df, doc_lengths, corpus_stats, idf, doc_norms, bm25_repeat_terms,
     bm25_zero_score_candidates, search_path, search_path_and_content, filter_suffix_type_prefix, substring_fallback, topk_tie_cut, root_prefix, search_many, proximity_boost, line_scores, highlight, excerpt_clusters, py_symbols, py_refs,
     c_symbols, symbol_search_exact, symbol_search_trigram, usages_rank, related_tests, used_by, resolve_ref, file_skeleton, contour, ask_parse, delta_classify, delta_apply, delta_bm25_equals_full, scip_defs, scip_refs, index_stats,
-    ask_many_1000, subtree_totals, proximity_by_lines, line_scores_by_positions, stored_index_after_update, search_stored_index, search_early_end_200, substring_lookup, bm25_symbol_weights, tree_files, tree_stats, tree_texts,
+    ask_many_1000, subtree_totals, report_after_delta, proximity_by_lines, line_scores_by_positions, stored_index_after_update, search_stored_index, search_early_end_200, substring_lookup, bm25_symbol_weights, tree_files, tree_stats, tree_texts,
 ]
 
 
@@ -482,6 +502,7 @@ dt AS (SELECT path, term, CAST(sum(w) AS BIGINT) AS tf FROM streams GROUP BY pat
 ts AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
 dl AS (SELECT path, CAST(sum(tf) AS BIGINT) AS dl FROM dt GROUP BY path),
 cs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)"""
+_WITH_SYMBOLS = _DOC_TERMS.replace("),\ndt AS", f"\n  UNION ALL SELECT path, unnest({_index('name')}), 8 FROM s UNION ALL SELECT path, unnest({_index('qualname')}), 4 FROM s),\ndt AS")
 _SCORES = "sc AS (SELECT dt.path, sum(q.qtf * ln(1 + (cs.n - ts.df + 0.5) / (ts.df + 0.5)) * dt.tf * 2.5 / (dt.tf + 1.5 * (0.25 + 0.75 * dl.dl / cs.avgdl))) AS score FROM dt JOIN q USING (term) JOIN ts USING (term) JOIN dl USING (path), cs GROUP BY dt.path)"
 
 
@@ -591,7 +612,7 @@ SELECT 'file' AS entry_type, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM
         "highlight": r"SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)tion', '[[\0]]', 'g'), '(?i)the', '[[\0]]', 'g') AS marked FROM documents",
         "excerpt_clusters": f"WITH {_ENTRIES}, {_EXCERPTS}",
         "bm25_symbol_weights": f"""WITH {_ENTRIES}, w AS (SELECT path, regexp_extract_all(text, '[a-zA-Z0-9]+') AS w FROM docs), s AS (SELECT path, coalesce(w[1], 'none') AS name, coalesce(w[2], 'none') || '.' || coalesce(w[1], 'none') AS qualname FROM w),
-{_DOC_TERMS.replace("),\ndt AS", f"\n  UNION ALL SELECT path, unnest({_index('name')}), 8 FROM s UNION ALL SELECT path, unnest({_index('qualname')}), 4 FROM s),\ndt AS")}, {_qterms([*TERMS, "none", "src3"])}, {_SCORES}
+{_WITH_SYMBOLS}, {_qterms([*TERMS, "none", "src3"])}, {_SCORES}
 SELECT dl.path, dl.dl AS weighted, (SELECT max(tf) FROM dt WHERE dt.path = dl.path) AS most, round(CAST(coalesce(score, 0.0) AS DOUBLE), 6) AS score FROM dl LEFT JOIN sc USING (path)""",
         "tree_files": "SELECT path, name, entry_type, CAST(size_bytes AS BIGINT) AS size_bytes, suffix, mime_type, parent_path, CAST(children_count AS BIGINT) AS children_count, kind, is_symlink, is_text FROM ("
         + _values(
@@ -617,6 +638,15 @@ FROM a LEFT JOIN dt USING (path, term) LEFT JOIN bt ON bt.path = a.path AND bt.t
         "subtree_totals": f"""{e}, k AS (SELECT path, entry_type, size_bytes, CASE WHEN path = '.' THEN [] ELSE string_split(path, '/') END AS s FROM entries), o AS (SELECT *, row_number() OVER (ORDER BY s) AS first FROM k)
 SELECT d.path, d.first, max(x.first) AS last, count(*) - 1 AS entries_below, count(*) FILTER (x.entry_type = 'file') AS files_below, CAST(sum(CASE WHEN x.entry_type = 'file' THEN x.size_bytes ELSE 0 END) AS BIGINT) AS bytes_below
 FROM o d JOIN o x ON x.s[1 : len(d.s)] = d.s WHERE d.entry_type = 'directory' GROUP BY d.path, d.first""",
+        "report_after_delta": f"""WITH {after}, w AS (SELECT path, regexp_extract_all(text, '[a-zA-Z0-9]+') AS w FROM docs),
+s AS (SELECT path, coalesce(w[1], 'none') AS name, coalesce(w[2], 'none') || '.' || coalesce(w[1], 'none') AS qualname, coalesce(w[3], 'none') AS third FROM w),
+{_POSTINGS}, {_WITH_SYMBOLS}
+SELECT true AS indexed, 'corpus' AS root, CAST(NULL AS DOUBLE) AS last_built_at, count(*) AS total_entries, count(*) FILTER (entry_type = 'file') AS total_files, count(*) FILTER (entry_type = 'directory') AS total_directories,
+CAST(0 AS BIGINT) AS total_symlinks, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes, (SELECT count(DISTINCT token) FROM path_tokens) AS token_count, (SELECT count(DISTINCT token) FROM content_tokens) AS content_token_count,
+count(DISTINCT suffix) AS suffix_count, CAST(1 AS BIGINT) AS mime_count, (SELECT count(*) FROM bodies) AS text_files_indexed, (SELECT CAST(sum(size_bytes) AS BIGINT) FROM bodies) AS text_bytes_indexed,
+(SELECT count(*) FROM s) AS python_symbol_count, (SELECT count(*) FROM s WHERE starts_with(lower(name), 't')) AS python_test_symbol_count, (SELECT count(DISTINCT path) FROM s) AS python_file_count,
+(SELECT count(DISTINCT third) FROM s) AS python_reference_name_count, true AS bm25_ready, 'cpu' AS bm25_backend, true AS bm25_loaded_in_memory, false AS bm25_loaded_in_gpu, (SELECT n FROM cs) AS bm25_documents,
+(SELECT round(avgdl, 6) FROM cs) AS bm25_avg_document_length, false AS scip_available, false AS scip_loaded, '{",".join(sorted(fstree.IGNORED_NAMES))}' AS ignored_names FROM entries""",
         "proximity_by_lines": f"WITH {after}, h AS (SELECT path, list_sum(list_transform(list_transform({_LINES}, lambda l: {hits}), lambda n: CASE WHEN n >= 3 THEN 3.0 WHEN n >= 2 THEN 0.4 * n ELSE 0.0 END)) AS s FROM bodies) SELECT path, round(CAST(least(s, 5.0) * 0.25 AS DOUBLE), 6) AS boost FROM h",
         "line_scores_by_positions": f"""WITH {_ENTRIES}, {_EXCERPTS.split("shown AS")[0].rstrip().rstrip(",")}, lists AS (SELECT path, string_agg(n, ',' ORDER BY n) AS centers FROM centers GROUP BY path)
 SELECT c.path, CAST(max(sc) AS BIGINT) AS best, CAST(sum(sc) AS BIGINT) AS total, count(*) AS n_lines, any_value(centers) AS centers FROM c JOIN lists USING (path) WHERE sc > 0 GROUP BY c.path""",
