@@ -1,15 +1,13 @@
 """Named queries over the driver's tables, one for each operator, and the same in SQL.
 
-`documents` is the corpus: source/lang/doc_<id>.txt below a root named `corpus`. Symbol operators read a small set of source
-files that both sides hold as literals, since the tables have no code.
+`documents` is the corpus: source/lang/doc_<id>.txt below a root named `corpus`. Symbol operators read source files that
+sources.code writes from the whole texts of `documents`, since the tables have no code.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,13 +23,14 @@ from .operators.stored import StoredIndex
 from .plans import ask
 from .plans.many import ask_many
 from .sources import fstree, scip
-from .sources.tables import from_documents, from_pages
+from .sources.code import GROUP, code_of, graphs_of
+from .sources.tables import _entries, from_documents, from_pages
 from .streaming.refresh import apply_delta, build, classify
 
 QUERY, CONTENT = "src3 doc", "the nation onThe the"
 TERMS = ["the", "tion", "er"]
 
-#: The source files of the symbol queries.
+#: Files that the questions of ask_parse name.
 FILES = {
     "pkg/base.py": 'class Base:\n    """Root of all."""\n\n    def save(self, item: str) -> bool:\n        return check(item)\n\n\ndef check(item):\n    return bool(item)\n',
     "pkg/repo.py": "from pkg.base import Base, check\n\n\nclass Repo(Base):\n    def add(self, item):\n        check(item)\n        return self.save(item)\n",
@@ -49,10 +48,14 @@ def _documents(spark: SparkSession, d: str) -> Corpus:
     return Corpus(*from_documents(spark.read.parquet(f"{d}/documents.parquet")))
 
 
-def _code(spark: SparkSession) -> Corpus:
+def _files(spark: SparkSession) -> Corpus:
     texts = spark.createDataFrame(list(FILES.items()), "path string, text string")
-    from .sources.tables import _entries
+    return Corpus(_entries(texts.select("path", F.octet_length("text").cast("long").alias("size_bytes")), "code"), texts)
 
+
+def _code(spark: SparkSession, d: str, suffix: str = ".py") -> Corpus:
+    """Source files written from the documents, with their symbols and references."""
+    texts = code_of(spark.read.parquet(f"{d}/documents.parquet"), suffix)
     symbols, refs = extract.extract_all(texts)
     return Corpus(_entries(texts.select("path", F.octet_length("text").cast("long").alias("size_bytes")), "code"), texts, symbols, refs)
 
@@ -239,55 +242,62 @@ def excerpt_clusters(spark, d):
 
 
 def py_symbols(spark, d):
-    return _code(spark).symbols.where("language = 'python'").select("path", "qualname", "kind", "line", "end_line", "is_test", F.coalesce("parent", F.lit("")).alias("parent"), F.array_join("calls", ",").alias("calls"))
+    return _code(spark, d).symbols.select("path", "qualname", "kind", "line", "end_line", "is_test", F.coalesce("parent", F.lit("")).alias("parent"), F.array_join("calls", ",").alias("calls"), F.array_join("inherits", ",").alias("inherits"))
 
 
 def py_refs(spark, d):
-    return _code(spark).refs.where("path like '%.py'").select("path", "name", "cnt")
+    return _code(spark, d).refs.select("path", "name", F.col("cnt").cast("long").alias("cnt"))
 
 
 def c_symbols(spark, d):
-    return _code(spark).symbols.where("language = 'c'").select("qualname", "kind", "line", "end_line", F.coalesce("signature", F.lit("")).alias("signature"), F.array_join("calls", ",").alias("calls"))
+    return _code(spark, d, ".c").symbols.select("path", "qualname", "kind", "line", "end_line", "is_test", F.coalesce("signature", F.lit("")).alias("signature"), F.array_join("calls", ",").alias("calls"))
+
+
+#: The name that the symbol queries ask for, and a part of names.
+SYMBOL, PART_OF_NAME = "f_the", "_the"
 
 
 def symbol_search_exact(spark, d):
-    return xref.search_symbols(_code(spark), "add").select("path", "qualname", "line")
+    return xref.search_symbols(_code(spark, d), SYMBOL).select("path", "qualname", "line")
 
 
 def symbol_search_trigram(spark, d):
-    return xref.search_symbols(_code(spark), "epo").select("path", "qualname", "line")
+    return xref.search_symbols(_code(spark, d), PART_OF_NAME).select("path", "qualname", "line")
 
 
 def usages_rank(spark, d):
-    return xref.usages(_code(spark), "Repo").select("path", F.col("count").alias("n"), "defines_symbol")
+    return xref.usages(_code(spark, d), SYMBOL).select("path", F.col("count").cast("long").alias("n"), "defines_symbol")
 
 
 def related_tests(spark, d):
-    return xref.related_tests(_code(spark), "add").select("path", "qualname", "score")
+    return xref.related_tests(_code(spark, d), SYMBOL).select("path", "qualname", "line", F.col("score").cast("long").alias("score"))
 
 
 def used_by(spark, d):
-    c = _code(spark)
-    return xref.used_by(c).where(F.size("used_by") > 0).join(c.symbols, ["path", "ordinal"]).select("qualname", F.array_join("used_by", ", ").alias("used_by"))
+    """The first callers of every symbol that has some."""
+    c = _code(spark, d)
+    return xref.used_by(c).where(F.size("used_by") > 0).join(c.symbols, ["path", "ordinal"]).select("path", "line", "qualname", F.array_join("used_by", ", ").alias("used_by"))
 
 
 def resolve_ref(spark, d):
-    refs = spark.createDataFrame([("check",), ("self.save",), ("Base",), ("nowhere",), ("open_conn",)], "ref string")
-    return xref.resolve_refs(_code(spark), refs)
+    """Where every distinct base and call target of the corpus is defined."""
+    c = _code(spark, d)
+    return xref.resolve_refs(c, c.symbols.select(F.explode(F.concat("calls", "inherits")).alias("ref")))
 
 
 def file_skeleton(spark, d):
-    c = _code(spark)
+    """The skeleton of every file."""
+    c = _code(spark, d)
     return xref.file_skeletons(c, c.texts.select("path"))
 
 
 def contour(spark, d):
-    c = _code(spark)
-    return xref.contour(c, xref.ranked_symbols(xref.search_symbols(c, "add", limit=10)), "add")
+    c = _code(spark, d)
+    return xref.contour(c, xref.ranked_symbols(xref.search_symbols(c, SYMBOL, limit=10)), SYMBOL)
 
 
 def ask_parse(spark, d):
-    c = _code(spark)
+    c = _files(spark)
     q = spark.createDataFrame(list(enumerate(QUESTIONS)), "qid int, question string")
     return ask.parse(q, c.entries.unionByName(_documents(spark, d).entries.where("path <> '.'"))).select("qid", "intent", *[F.coalesce(x, F.lit("-")).alias(x) for x in ("subject", "query", "content_query", "entry_type", "suffix", "symbol_kind", "path_prefix")], "limit", "wants_location", "wants_list")
 
@@ -320,22 +330,16 @@ def delta_bm25_equals_full(spark, d):
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
-_SCIP = {"documents": [{"relative_path": "main.py", "language": "python", "occurrences": [{"symbol": "main", "symbol_roles": 1, "range": [1, 0, 1, 9]}, {"symbol": "util", "symbol_roles": 8, "range": [3, 4, 8]}]}, {"relative_path": "util.py", "occurrences": [{"symbol": "util", "symbol_roles": 1, "range": [0, 0, 4]}, {"symbol": "main", "symbol_roles": 1, "range": [7, 0, 4]}, {"symbol": "main"}]}]}
-
-
-def _occurrences(spark: SparkSession) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{folder.rstrip('/')}/scip-{uuid.uuid4().hex}"
-    spark.createDataFrame([(json.dumps(_SCIP),)], "value string").coalesce(1).write.text(path)
-    return scip.occurrences(spark, path)
+def _occurrences(spark: SparkSession, d: str) -> DataFrame:
+    return scip.occurrences_of(graphs_of(spark.read.parquet(f"{d}/documents.parquet")))
 
 
 def scip_defs(spark, d):
-    return scip.definitions(_occurrences(spark)).select("symbol", "relative_path", F.array_join(F.transform("range", lambda x: x.cast("string")), ",").alias("range"))
+    return scip.definitions(_occurrences(spark, d)).select("symbol", "relative_path", F.array_join(F.transform("range", lambda x: x.cast("string")), ",").alias("range"))
 
 
 def scip_refs(spark, d):
-    return scip.references(_occurrences(spark)).select("symbol", "relative_path", F.array_join(F.transform("range", lambda x: x.cast("string")), ",").alias("range"))
+    return scip.references(_occurrences(spark, d)).select("symbol", "relative_path", F.array_join(F.transform("range", lambda x: x.cast("string")), ",").alias("range"))
 
 
 def _edited(spark, d):
@@ -571,7 +575,31 @@ def _count(term: str) -> str:
     return f"((strlen(l) - strlen(replace(l, '{term}', ''))) // {len(term)})"
 
 
+#: The files of sources.code by their groups of words, and what they define, refer to and call.
+_CODE = f"""code AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'tests/' ELSE '' END || source || '/' || lang || '/doc_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.py' AS path, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS ws FROM documents),
+grp AS (SELECT doc_id, path, k, ws[k * {GROUP} + 1:k * {GROUP} + {GROUP}] AS g FROM (SELECT doc_id, path, ws, unnest(range(0, (len(ws) + {GROUP - 1}) // {GROUP})) AS k FROM code)),
+w AS (SELECT doc_id, path, k, 9 * k AS b, g, {", ".join(f"coalesce(g[{i}], 'none') AS w{i}" for i in range(1, 10))} FROM grp),
+sym AS (SELECT *, kind <> 'import' AND (starts_with(path, 'tests/') OR starts_with(name, 'test_')) AS is_test FROM (
+  SELECT path, k, 5 * k AS o, 'm_' || w1 AS name, 'm_' || w1 AS qualname, 'import' AS kind, b + 1 AS line, b + 1 AS end_line, '' AS parent, '' AS calls, '' AS inherits, '' AS doc FROM w
+  UNION ALL SELECT path, k, 5 * k + 1, 'n_' || w3, 'p_' || w2 || '.n_' || w3, 'import', b + 2, b + 2, '', '', '', '' FROM w
+  UNION ALL SELECT path, k, 5 * k + 2, 'C_' || w4 || '_' || k, 'C_' || w4 || '_' || k, 'class', b + 3, b + 7, '', '', 'C_' || w5 || '_0', array_to_string(g, ' ') FROM w
+  UNION ALL SELECT path, k, 5 * k + 3, 'f_' || w6, 'C_' || w4 || '_' || k || '.f_' || w6, 'method', b + 5, b + 7, 'C_' || w4 || '_' || k, 'f_' || w7 || ',self.f_' || w8, '', '' FROM w
+  UNION ALL SELECT path, k, 5 * k + 4, n, n, 'function', b + 8, b + 9, '', 'C_' || w4 || '_' || k || '.f_' || w6, '', '' FROM (SELECT *, CASE WHEN starts_with(w9, 't') THEN 'test_' ELSE 'f_' END || w9 AS n FROM w))),
+refs AS (SELECT path, 'c_' || w5 || '_0' AS name, 1 AS n FROM w UNION ALL SELECT path, 'f_' || w6, 1 FROM w UNION ALL SELECT path, 'f_' || w7, 1 FROM w UNION ALL SELECT path, 'f_' || w8, 1 FROM w UNION ALL SELECT path, 'a', 2 FROM w)"""
+_CALLERS = f"""edges AS (SELECT DISTINCT unnest(list_transform(string_split(calls, ','), lambda x: [x, string_split(x, '.')[-1]]).flatten()) AS target, path, o, line, qualname || ' (' || path || ':L' || line || ')' AS caller FROM sym WHERE calls <> ''),
+first AS (SELECT target, list(caller ORDER BY nth) AS who FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY string_split(lower(path), '/'), path, o, caller) AS nth FROM edges) WHERE nth <= {xref.MAX_CALLERS + 1} GROUP BY target),
+called AS (SELECT s.path, s.o, s.line, s.qualname, list_filter(coalesce(a.who, b.who, []), lambda x: NOT contains(x, '(' || s.path || ':L' || s.line || ')'))[1:{xref.MAX_CALLERS}] AS who FROM sym s LEFT JOIN first a ON a.target = s.qualname LEFT JOIN first b ON b.target = s.name)"""
+_RESOLVED = """place AS (SELECT name, path, line FROM sym QUALIFY row_number() OVER (PARTITION BY name ORDER BY lower(path), line) = 1),
+res AS (SELECT ref, ref || coalesce(' (' || place.path || ':L' || place.line || ')', '') AS resolved FROM (SELECT DISTINCT unnest(string_split(calls, ',') || string_split(inherits, ',')) AS ref FROM sym) r LEFT JOIN place ON place.name = string_split(ref, '.')[-1] WHERE ref <> '')"""
+#: The skeleton lines of classes, methods and functions.
+_SHOWN = """named AS (SELECT path, o, string_agg(resolved, ', ' ORDER BY i) AS named FROM (SELECT path, o, unnest(r) AS ref, unnest(range(len(r))) AS i FROM (SELECT path, o, string_split(calls || inherits, ',') AS r FROM sym WHERE calls || inherits <> '')) JOIN res USING (ref) GROUP BY path, o),
+shown AS (SELECT sym.path, sym.k, sym.o, sym.kind, CASE WHEN sym.kind = 'class' THEN 'class ' || name || '(' || inherits || '):  # inherits: ' || named || chr(10) || '  \"\"\"' || doc || '\"\"\"'
+  ELSE pad || '# [L' || sym.line || '-L' || end_line || ']' || chr(10) || pad || 'def ' || name || CASE WHEN sym.kind = 'method' THEN '(self, a)' ELSE '()' END || ':' || chr(10) || pad || '  # calls: ' || named || CASE WHEN len(who) > 0 THEN chr(10) || pad || '  # used_by: ' || array_to_string(who, ', ') ELSE '' END END AS shown
+  FROM (SELECT *, CASE WHEN kind = 'method' THEN '  ' ELSE '' END AS pad FROM sym WHERE kind <> 'import') sym JOIN called USING (path, o) JOIN named USING (path, o))"""
+
+
 def oracle_sql() -> dict[str, str]:
+    c = f"WITH {_CODE}"
     e, p, t = f"WITH {_ENTRIES}", f"WITH {_ENTRIES}, {_POSTINGS}", f"WITH {_ENTRIES}, {_DOC_TERMS}"
     total = " + ".join(_count(x) for x in TERMS)
     hits = " + ".join(f"CAST(contains(l, '{x}') AS INT)" for x in TERMS)
@@ -657,48 +685,28 @@ SELECT pattern, kind, count(*) AS n, min(key) AS first, max(key) AS last FROM ({
         "index_stats": f"""WITH {_ENTRIES}, {_POSTINGS}, {_DOC_TERMS} SELECT count(*) AS total_entries, count(*) FILTER (entry_type = 'file') AS total_files, count(*) FILTER (entry_type = 'directory') AS total_directories, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes,
 (SELECT count(DISTINCT token) FROM path_tokens) AS token_count, (SELECT count(DISTINCT token) FROM content_tokens) AS content_token_count, CAST(1 AS BIGINT) AS suffix_count, CAST(1 AS BIGINT) AS mime_count, (SELECT count(*) FROM bodies) AS text_files_indexed,
 (SELECT CAST(sum(size_bytes) AS BIGINT) FROM bodies) AS text_bytes_indexed, CAST(0 AS BIGINT) AS python_symbol_count, (SELECT n FROM cs) AS bm25_documents, (SELECT round(avgdl, 6) FROM cs) AS bm25_avg_document_length FROM entries""",
-        "py_symbols": _values(
-            "path, qualname, kind, line, end_line, is_test, parent, calls",
-            [
-                ("pkg/base.py", "Base", "class", 1, 5, False, "", ""), ("pkg/base.py", "Base.save", "method", 4, 5, False, "Base", "check"), ("pkg/base.py", "check", "function", 8, 9, False, "", "bool"),
-                ("pkg/repo.py", "pkg.base.Base", "import", 1, 1, False, "", ""), ("pkg/repo.py", "pkg.base.check", "import", 1, 1, False, "", ""), ("pkg/repo.py", "Repo", "class", 4, 7, False, "", ""),
-                ("pkg/repo.py", "Repo.add", "method", 5, 7, False, "Repo", "check,self.save"), ("tests/test_repo.py", "repo", "import", 1, 1, False, "", ""), ("tests/test_repo.py", "pkg.repo.Repo", "import", 2, 2, False, "", ""),
-                ("tests/test_repo.py", "test_add", "function", 5, 8, True, "", "Repo,repo.add"),
-            ],
-        ),
-        "py_refs": _values(
-            "path, name, cnt",
-            [("pkg/base.py", "check", 1), ("pkg/base.py", "item", 2), ("pkg/base.py", "bool", 2), ("pkg/base.py", "str", 1), ("pkg/repo.py", "base", 1), ("pkg/repo.py", "check", 1), ("pkg/repo.py", "item", 2), ("pkg/repo.py", "save", 1), ("tests/test_repo.py", "repo", 2), ("tests/test_repo.py", "add", 1)],
-        ).replace("SELECT *", "SELECT path, name, CAST(cnt AS BIGINT) AS cnt"),
-        "c_symbols": _values(
-            "qualname, kind, line, end_line, signature, calls",
-            [("stdio.h", "include", 1, 1, "", ""), ("PORT", "macro", 2, 2, "", ""), ("Conn", "struct", 4, 4, "", ""), ("open_conn", "function", 8, 8, "(int port) -> int", ""), ("serve", "function", 10, 14, "(int port) -> int", "open_conn,printf")],
-        ),
-        "symbol_search_exact": _values("path, qualname, line", [("pkg/repo.py", "Repo.add", 5)]),
-        "symbol_search_trigram": _values("path, qualname, line", [("pkg/repo.py", "Repo", 4), ("tests/test_repo.py", "repo", 1), ("tests/test_repo.py", "pkg.repo.Repo", 2)]),
-        "usages_rank": "SELECT path, CAST(n AS BIGINT) AS n, defines_symbol FROM (" + _values("path, n, defines_symbol", [("tests/test_repo.py", 2, False)]) + ")",
-        "related_tests": "SELECT path, qualname, CAST(score AS BIGINT) AS score FROM (" + _values("path, qualname, score", [("tests/test_repo.py", "test_add", 7)]) + ")",
-        "resolve_ref": _values("ref, resolved", [("check", "check (pkg/base.py:L8)"), ("self.save", "self.save (pkg/base.py:L4)"), ("Base", "Base (pkg/base.py:L1)"), ("nowhere", "nowhere"), ("open_conn", "open_conn (src/net.c:L8)")]),
-        "used_by": _values(
-            "qualname, used_by",
-            [
-                ("Base.save", "Repo.add (pkg/repo.py:L5)"), ("check", "Base.save (pkg/base.py:L4), Repo.add (pkg/repo.py:L5)"), ("pkg.base.check", "Base.save (pkg/base.py:L4), Repo.add (pkg/repo.py:L5)"),
-                ("Repo", "test_add (tests/test_repo.py:L5)"), ("Repo.add", "test_add (tests/test_repo.py:L5)"), ("pkg.repo.Repo", "test_add (tests/test_repo.py:L5)"), ("open_conn", "serve (src/net.c:L10)"),
-            ],
-        ),
-        "file_skeleton": _values(
-            "path, skeleton",
-            [
-                (
-                    "pkg/base.py",
-                    '# FILE: pkg/base.py\n\nclass Base:\n  """Root of all."""\n\n  # [L4-L5]\n  def save(self, item: str) -> bool:\n    # calls: check (pkg/base.py:L8)\n    # used_by: Repo.add (pkg/repo.py:L5)\n\n# [L8-L9]\ndef check(item):\n  # calls: bool\n  # used_by: Base.save (pkg/base.py:L4), Repo.add (pkg/repo.py:L5)',
-                ),
-                ("pkg/repo.py", "# FILE: pkg/repo.py\n\nclass Repo(Base):  # inherits: Base (pkg/base.py:L1)\n\n  # [L5-L7]\n  def add(self, item):\n    # calls: check (pkg/base.py:L8), self.save (pkg/base.py:L4)\n    # used_by: test_add (tests/test_repo.py:L5)\n"),
-                ("tests/test_repo.py", "# FILE: tests/test_repo.py\n\n# [L5-L8]\ndef test_add():\n  # calls: Repo (pkg/repo.py:L4), repo.add (pkg/repo.py:L5)"),
-                ("src/net.c", "# FILE: src/net.c\n\n#include <stdio.h>\n#define PORT\nstruct Conn:\n# [L8-L8]\ndef open_conn(int port) -> int:\n  # used_by: serve (src/net.c:L10)\n# [L10-L14]\ndef serve(int port) -> int:\n  # calls: open_conn (src/net.c:L8), printf"),
-            ],
-        ),
-        "contour": _values("skeleton", [("# CONTOUR: add\n# FILE: pkg/repo.py\n  # [L5-L7]\n  def add(self, item):\n    # calls: check (pkg/base.py:L8), self.save (pkg/base.py:L4)\n    # used_by: test_add (tests/test_repo.py:L5)\n",)]),
+        "py_symbols": f"{c} SELECT path, qualname, kind, CAST(line AS INT) AS line, CAST(end_line AS INT) AS end_line, is_test, parent, calls, inherits FROM sym",
+        "py_refs": f"{c} SELECT path, name, CAST(sum(n) AS BIGINT) AS cnt FROM refs GROUP BY path, name",
+        "c_symbols": f"""{c}, cw AS (SELECT replace(path, '.py', '.c') AS path, k * 10 AS b, * EXCLUDE (path, b) FROM w)
+SELECT path, qualname, kind, CAST(b + first AS INT) AS line, CAST(b + last AS INT) AS end_line, kind = 'function' AND starts_with(path, 'tests/') AS is_test, signature, calls FROM (
+  SELECT path, b, 'h_' || w1 || '.h' AS qualname, 'include' AS kind, 1 AS first, 1 AS last, '' AS signature, '' AS calls FROM cw
+  UNION ALL SELECT path, b, 'D_' || w2, 'macro', 2, 2, '', '' FROM cw UNION ALL SELECT path, b, 'S_' || w3, 'struct', 3, 3, '', '' FROM cw
+  UNION ALL SELECT path, b, 'f_' || w5, 'function', 6, 9, '(int a) -> int', CASE WHEN w5 = w6 THEN '' ELSE 'f_' || w6 END FROM cw)""",
+        "symbol_search_exact": f"{c} SELECT path, qualname, CAST(line AS INT) AS line FROM sym WHERE lower(name) = '{SYMBOL}' OR lower(qualname) = '{SYMBOL}' ORDER BY lower(path), line, lower(qualname) LIMIT 20",
+        "symbol_search_trigram": f"{c} SELECT path, qualname, CAST(line AS INT) AS line FROM sym WHERE contains(lower(name), '{PART_OF_NAME[:3]}') AND (contains(lower(name), '{PART_OF_NAME}') OR contains(lower(qualname), '{PART_OF_NAME}')) ORDER BY lower(path), line, lower(qualname) LIMIT 20",
+        "usages_rank": f"{c} SELECT path, CAST(sum(n) AS BIGINT) AS n, path IN (SELECT path FROM sym WHERE kind <> 'import' AND '{SYMBOL}' IN (lower(name), lower(qualname))) AS defines_symbol FROM refs WHERE name = '{SYMBOL}' GROUP BY path ORDER BY n DESC, string_split(lower(path), '/'), path LIMIT 20",
+        "related_tests": f"""{c}, n AS (SELECT path, sum(n) AS n FROM refs WHERE name = '{SYMBOL}' GROUP BY path)
+SELECT path, qualname, CAST(line AS INT) AS line, CAST(score AS BIGINT) AS score FROM (SELECT sym.*, 4 * CAST(contains(lower(name), '{SYMBOL}') OR contains(lower(qualname), '{SYMBOL}') AS INT) + 3 * coalesce(n.n, 0) + 2 * CAST(contains(lower(path), '{SYMBOL}') AS INT) AS score FROM sym LEFT JOIN n USING (path) WHERE is_test)
+WHERE score > 0 ORDER BY score DESC, lower(path), line, o LIMIT 20""",
+        "used_by": f"{c}, {_CALLERS} SELECT path, CAST(line AS INT) AS line, qualname, array_to_string(who, ', ') AS used_by FROM called WHERE len(who) > 0",
+        "resolve_ref": f"{c}, {_RESOLVED} SELECT ref, resolved FROM res",
+        "file_skeleton": f"""{c}, {_CALLERS}, {_RESOLVED}, {_SHOWN}, tops AS (SELECT path, o, string_agg(shown, chr(10) ORDER BY o) OVER (PARTITION BY path, k ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS whole FROM (SELECT path, k, o, CASE kind WHEN 'class' THEN shown || chr(10) WHEN 'method' THEN shown || chr(10) ELSE shown END AS shown FROM shown) QUALIFY row_number() OVER (PARTITION BY path, k ORDER BY o) = 1)
+SELECT path, '# FILE: ' || path || chr(10) || chr(10) || coalesce(whole, '# (no python symbols indexed in file)') AS skeleton FROM code LEFT JOIN (SELECT path, string_agg(whole, chr(10) ORDER BY o) AS whole FROM tops GROUP BY path) USING (path)""",
+        "contour": f"""{c}, {_CALLERS}, {_RESOLVED}, {_SHOWN}, ten AS (SELECT path, o, row_number() OVER (ORDER BY lower(path), line, lower(qualname)) AS r FROM sym WHERE '{SYMBOL}' IN (lower(name), lower(qualname)) QUALIFY r <= 10),
+f AS (SELECT path, min(r) AS r, '# FILE: ' || path || chr(10) || string_agg(shown, chr(10) ORDER BY r) || chr(10) AS body FROM ten JOIN shown USING (path, o) GROUP BY path)
+SELECT '# CONTOUR: {SYMBOL}' || coalesce(chr(10) || string_agg(body, chr(10) ORDER BY r), '') AS skeleton FROM f""",
+        "scip_defs": f"{c} SELECT symbol, relative_path, range FROM (SELECT 'C_' || w4 AS symbol, path AS relative_path, CAST(b + 2 AS VARCHAR) || ',6,' || CAST(length(w4) + 8 AS VARCHAR) AS range, doc_id, k FROM w) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY doc_id DESC, k DESC) = 1",
+        "scip_refs": f"{c} SELECT 'f_' || w8 AS symbol, path AS relative_path, CAST(b + 6 AS VARCHAR) || ',20,' || CAST(length(w8) + 22 AS VARCHAR) AS range FROM w",
         "ask_parse": 'SELECT qid, intent, subject, query, content_query, entry_type, suffix, symbol_kind, path_prefix, "limit", wants_location, wants_list FROM ('
         + _values(
             'qid, intent, subject, query, content_query, entry_type, suffix, symbol_kind, path_prefix, "limit", wants_location, wants_list',
@@ -710,7 +718,5 @@ SELECT pattern, kind, count(*) AS n, min(key) AS first, max(key) AS last FROM ({
             ],
         )
         + ")",
-        "scip_defs": _values("symbol, relative_path, range", [("main", "util.py", "7,0,4"), ("util", "util.py", "0,0,4")]),
-        "scip_refs": _values("symbol, relative_path, range", [("util", "main.py", "3,4,8"), ("main", "util.py", "0,0,0,0")]),
     }
     return out

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from lexquarry import queries as own
 
 D = "/root/testdata/sf0.001"
-FAST = ["entries_scan", "pages_scan", "fs_totals", "children_count", "tokenize_terms", "highlight", "doc_terms", "excerpt_clusters", "bm25_symbol_weights", "tree_files", "tree_stats", "tree_texts", "file_skeleton", "contour", "ask_parse", "path_postings", "corpus_stats", "search_path", "topk_tie_cut", "line_scores", "py_symbols", "py_refs", "c_symbols", "usages_rank", "used_by", "delta_classify", "delta_apply", "scip_defs", "scip_refs", "subtree_totals", "line_scores_by_positions", "search_stored_index"]
+FAST = ["entries_scan", "pages_scan", "fs_totals", "children_count", "tokenize_terms", "highlight", "doc_terms", "excerpt_clusters", "bm25_symbol_weights", "tree_files", "tree_stats", "tree_texts", "file_skeleton", "contour", "ask_parse", "path_postings", "corpus_stats", "search_path", "topk_tie_cut", "line_scores", "py_symbols", "py_refs", "c_symbols", "usages_rank", "used_by", "delta_classify", "delta_apply", "scip_defs", "scip_refs", "symbol_search_exact", "symbol_search_trigram", "related_tests", "resolve_ref", "subtree_totals", "line_scores_by_positions", "search_stored_index"]
 
 
 def test_names():
