@@ -6,8 +6,7 @@ sources.code writes from the whole texts of `documents`, since the tables have n
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -151,37 +150,38 @@ def bm25_symbol_weights(spark, d):
     return tf.join(hits, "path", "left").select("path", "weighted", "most", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
-#: A small tree that the tree queries write and list: paths and texts.
-TREE = {"README.md": "memory server\n", "docs/guide.txt": "hello guide\nalpha beta\n", "docs/deep/er/notes.JSON": "{}\n", "pkg/__init__.py": "", "pkg/a.b.py": "X = 1\n", ".hidden": "h", "Makefile": "all:\n", "__pycache__/x.pyc": "no", "node_modules/m/i.js": "no"}
+#: What the tree queries write: folder and end of a document's file by the remainder of its number.
+TREE_FOLDERS = ["", "", "", "", "", "", "deep/", "node_modules/m/"]
+TREE_ENDS = [".md", ".txt", ".JSON", ".html", "", ".bin", ".a.b.csv", ".js"]
 
 
-def _tree(spark: SparkSession) -> str:
-    """The folder of TREE, on the driver's disk as any tree that the source lists."""
-    root = tempfile.mkdtemp(prefix="lexquarry-tree-")
-    for p, t in TREE.items():
-        os.makedirs(os.path.dirname(os.path.join(root, p)), exist_ok=True)
-        with open(os.path.join(root, p), "w") as f:
-            f.write(t)
+def _tree(spark: SparkSession, d: str) -> str:
+    """The folder of a tree with a file for each document, some of them below ignored folders, in the folder that driver and executors share."""
+    of = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values)).cast("int"))
+    name = F.concat(F.lit("doc_"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), of(TREE_ENDS))
+    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.concat("source", F.lit("/"), "lang", F.lit("/"), of(TREE_FOLDERS), name).alias("path"), "text")
+    root = f"{fstree.local_path(tables.shared_folder(spark)).rstrip('/')}/{uuid.uuid4().hex}/tree"
+    fstree.write_files(texts, root)
     return root
 
 
 def tree_files(spark, d):
     """All entries below the root with their type, suffix, MIME type and permissions; ignored names are left out."""
-    e = fstree.scan(spark, _tree(spark), fstree.IGNORED_NAMES).where("path <> '.'")
+    e = fstree.scan(spark, _tree(spark, d), fstree.IGNORED_NAMES).where("path <> '.'")
     size = F.when(F.col("entry_type") == "file", F.col("size_bytes")).otherwise(0).cast("long")
     return e.select("path", "name", "entry_type", size.alias("size_bytes"), F.coalesce("suffix", F.lit("-")).alias("suffix"), F.coalesce("mime_type", F.lit("-")).alias("mime_type"), "parent_path", "children_count", F.left("permissions", F.lit(1)).alias("kind"), "is_symlink", fstree.is_text_entry().alias("is_text"))
 
 
 def tree_stats(spark, d):
     """The index report of a tree that was built from disk."""
-    c = build(spark, _tree(spark))
-    return tables.stats(c, "tree").select("total_entries", "total_files", "total_directories", "total_symlinks", "total_size_bytes", "text_files_indexed", "text_bytes_indexed", "suffix_count", "python_symbol_count", "bm25_documents")
+    c = build(spark, _tree(spark, d))
+    return tables.stats(c, "tree").select("total_entries", "total_files", "total_directories", "total_symlinks", "total_size_bytes", "text_files_indexed", "text_bytes_indexed", "suffix_count", "mime_count", "token_count", "content_token_count", "python_symbol_count", "bm25_documents", F.round("bm25_avg_document_length", 6).alias("bm25_avg_document_length"))
 
 
 def tree_texts(spark, d):
     """Texts that the index reads, and what a search in them finds."""
-    c = build(spark, _tree(spark))
-    hits = search.search(c, content_query="guide server", limit=5).select("path", F.lit(True).alias("hit"))
+    c = build(spark, _tree(spark, d))
+    hits = search.search(c, content_query=CONTENT, limit=20).select("path", F.lit(True).alias("hit"))
     return c.texts.join(hits, "path", "left").select("path", F.length("text").cast("long").alias("n_chars"), F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
@@ -575,6 +575,19 @@ def _count(term: str) -> str:
     return f"((strlen(l) - strlen(replace(l, '{term}', ''))) // {len(term)})"
 
 
+#: The tree of the tree queries, as _ENTRIES.
+_MIMES = {x: fstree.mime_of("." + x.rsplit(".", 1)[-1]) for x in TREE_ENDS if x}
+_TREE = f"""files AS (SELECT source || '/' || lang || '/' || ['', '', '', '', '', '', 'deep/'][doc_id % 8 + 1] AS dir, 'doc_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || [{", ".join(f"'{x}'" for x in TREE_ENDS)}][doc_id % 8 + 1] AS name,
+  [{", ".join(f"'{x[x.rfind('.'):]}'" if x else "NULL" for x in TREE_ENDS)}][doc_id % 8 + 1] AS suffix, [{", ".join(f"'{_MIMES[x]}'" if x else "NULL" for x in TREE_ENDS)}][doc_id % 8 + 1] AS mime_type, coalesce(text, '') AS text, source, lang, doc_id FROM documents WHERE doc_id % 8 <> 7),
+docs AS (SELECT dir || name AS path, name, rtrim(dir, '/') AS parent_path, suffix, mime_type, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text, strlen(text) AS size, doc_id FROM files),
+folders AS (SELECT DISTINCT source AS path, source AS name, '.' AS parent_path FROM documents UNION SELECT source || '/' || lang, lang, source FROM documents UNION SELECT rtrim(dir, '/'), 'deep', source || '/' || lang FROM files WHERE doc_id % 8 = 6),
+entries AS (
+  SELECT path, name, 'file' AS entry_type, CAST(size AS BIGINT) AS size_bytes, suffix, parent_path, mime_type FROM docs
+  UNION ALL SELECT path, name, 'directory', CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), parent_path, CAST(NULL AS VARCHAR) FROM folders
+  UNION ALL SELECT '.', 'tree', 'directory', CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)),
+bodies AS (SELECT path, text, CAST(size AS BIGINT) AS size_bytes FROM docs WHERE size <= 1048576 AND coalesce(suffix, '.bin') <> '.bin' AND regexp_matches(text, '[A-Za-z0-9]'))"""
+
+
 #: The files of sources.code by their groups of words, and what they define, refer to and call.
 _CODE = f"""code AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'tests/' ELSE '' END || source || '/' || lang || '/doc_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.py' AS path, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS ws FROM documents),
 grp AS (SELECT doc_id, path, k, ws[k * {GROUP} + 1:k * {GROUP} + {GROUP}] AS g FROM (SELECT doc_id, path, ws, unnest(range(0, (len(ws) + {GROUP - 1}) // {GROUP})) AS k FROM code)),
@@ -642,19 +655,13 @@ SELECT 'file' AS entry_type, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM
         "bm25_symbol_weights": f"""WITH {_ENTRIES}, w AS (SELECT path, regexp_extract_all(text, '[a-zA-Z0-9]+') AS w FROM docs), s AS (SELECT path, coalesce(w[1], 'none') AS name, coalesce(w[2], 'none') || '.' || coalesce(w[1], 'none') AS qualname FROM w),
 {_WITH_SYMBOLS}, {_qterms([*TERMS, "none", "src3"])}, {_SCORES}
 SELECT dl.path, dl.dl AS weighted, (SELECT max(tf) FROM dt WHERE dt.path = dl.path) AS most, round(CAST(coalesce(score, 0.0) AS DOUBLE), 6) AS score FROM dl LEFT JOIN sc USING (path)""",
-        "tree_files": "SELECT path, name, entry_type, CAST(size_bytes AS BIGINT) AS size_bytes, suffix, mime_type, parent_path, CAST(children_count AS BIGINT) AS children_count, kind, is_symlink, is_text FROM ("
-        + _values(
-            "path, name, entry_type, size_bytes, suffix, mime_type, parent_path, children_count, kind, is_symlink, is_text",
-            [
-                (".hidden", ".hidden", "file", 1, "-", "-", ".", 0, "-", False, False), ("Makefile", "Makefile", "file", 5, "-", "-", ".", 0, "-", False, False), ("README.md", "README.md", "file", 14, ".md", "text/markdown", ".", 0, "-", False, True),
-                ("docs", "docs", "directory", 0, "-", "-", ".", 2, "d", False, False), ("docs/guide.txt", "guide.txt", "file", 23, ".txt", "text/plain", "docs", 0, "-", False, True), ("docs/deep", "deep", "directory", 0, "-", "-", "docs", 1, "d", False, False),
-                ("docs/deep/er", "er", "directory", 0, "-", "-", "docs/deep", 1, "d", False, False), ("docs/deep/er/notes.JSON", "notes.JSON", "file", 3, ".JSON", "application/json", "docs/deep/er", 0, "-", False, True),
-                ("pkg", "pkg", "directory", 0, "-", "-", ".", 2, "d", False, False), ("pkg/__init__.py", "__init__.py", "file", 0, ".py", "text/x-python", "pkg", 0, "-", False, True), ("pkg/a.b.py", "a.b.py", "file", 6, ".py", "text/x-python", "pkg", 0, "-", False, True),
-            ],
-        )
-        + ")",
-        "tree_stats": "SELECT " + ", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in {"total_entries": 12, "total_files": 7, "total_directories": 5, "total_symlinks": 0, "total_size_bytes": 52, "text_files_indexed": 3, "text_bytes_indexed": 43, "suffix_count": 4, "python_symbol_count": 0, "bm25_documents": 11}.items()),
-        "tree_texts": "SELECT path, CAST(n_chars AS BIGINT) AS n_chars, hit FROM (" + _values("path, n_chars, hit", [(".hidden", 1, False), ("Makefile", 5, False), ("README.md", 14, True), ("docs/guide.txt", 23, True), ("docs/deep/er/notes.JSON", 3, False), ("pkg/__init__.py", 0, False), ("pkg/a.b.py", 6, False)]) + ")",
+        "tree_files": f"""WITH {_TREE}, all_paths AS (SELECT parent_path FROM entries)
+SELECT path, name, entry_type, size_bytes, coalesce(suffix, '-') AS suffix, coalesce(mime_type, '-') AS mime_type, parent_path, (SELECT count(*) FROM all_paths p WHERE p.parent_path = entries.path) AS children_count,
+CASE entry_type WHEN 'file' THEN '-' ELSE 'd' END AS kind, false AS is_symlink, entry_type = 'file' AND size_bytes <= 1048576 AND coalesce(suffix, '.bin') <> '.bin' AS is_text FROM entries WHERE path <> '.'""",
+        "tree_stats": f"""WITH {_TREE}, {_POSTINGS}, {_DOC_TERMS} SELECT count(*) AS total_entries, count(*) FILTER (entry_type = 'file') AS total_files, count(*) FILTER (entry_type = 'directory') AS total_directories, CAST(0 AS BIGINT) AS total_symlinks, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes,
+(SELECT count(*) FROM bodies) AS text_files_indexed, (SELECT CAST(sum(size_bytes) AS BIGINT) FROM bodies) AS text_bytes_indexed, count(DISTINCT lower(suffix)) AS suffix_count, count(DISTINCT mime_type) AS mime_count,
+(SELECT count(DISTINCT token) FROM path_tokens) AS token_count, (SELECT count(DISTINCT token) FROM content_tokens) AS content_token_count, CAST(0 AS BIGINT) AS python_symbol_count, (SELECT n FROM cs) AS bm25_documents, (SELECT round(avgdl, 6) FROM cs) AS bm25_avg_document_length FROM entries""",
+        "tree_texts": f"SELECT path, length(text) AS n_chars, hits.path IS NOT NULL AS hit FROM (WITH {_TREE} SELECT path, text FROM docs) LEFT JOIN (" + _search_sql("", CONTENT, limit=20).replace(_ENTRIES, _TREE) + ") hits USING (path)",
         "delta_classify": f"{snap} SELECT path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'modified' END AS change FROM old o FULL JOIN new n USING (path) WHERE o.size_bytes IS DISTINCT FROM n.size_bytes",
         "delta_apply": f"{snap} SELECT path, size_bytes FROM new",
         "delta_bm25_equals_full": f"{t.replace('FROM documents', 'FROM documents WHERE doc_id % 5 <> 0')} SELECT term, df FROM ts",

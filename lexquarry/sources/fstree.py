@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import mimetypes
 import os
+import re
+import shutil
 import stat
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -241,3 +244,38 @@ def read_texts(entries: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"path": [x for x, _ in rows], "text": [x for _, x in rows]})
 
     return entries.select("path").mapInArrow(read, "path string, text string")
+
+
+def write_files(texts: DataFrame, root: str) -> None:
+    """Writes the texts (path, text; null: empty) as files below a folder that driver and executors share, as `file:` URI or path; a repeated path keeps one of its texts.
+
+    Each task writes its own rows; a file appears whole, so a task that runs again changes nothing. A path that leaves the root fails.
+    """
+    base = os.path.realpath(os.path.expanduser(local_path(root)))
+    drafts = f"{base}.drafts"
+    for folder in (base, drafts):
+        os.makedirs(folder, exist_ok=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                full = resolve_requested(base, p)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                draft = os.path.join(drafts, uuid.uuid4().hex)
+                with open(draft, "wb") as f:
+                    f.write((t or "").encode("utf-8", "surrogatepass"))
+                os.replace(draft, full)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    texts.select("path", "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    shutil.rmtree(drafts, ignore_errors=True)
+
+
+def local_path(path: str) -> str:
+    """The path of a `file:` URI; other paths as they are. ValueError for other file systems, whose files a tree listing can't open."""
+    at = re.match(r"([a-z][a-z0-9+.-]*):(?://[^/]*)?(/.*)", path)
+    if at and at[1] != "file":
+        raise ValueError(f"not a mounted folder: {path}")
+    return at[2] if at else path

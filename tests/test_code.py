@@ -3,10 +3,12 @@
 import ast
 import re
 
+import pytest
+
 from lexquarry.operators import xref
 from lexquarry.operators.corpus import SYMBOLS, Corpus
 from lexquarry.operators.extract import extract_all
-from lexquarry.sources import scip
+from lexquarry.sources import fstree, scip
 from lexquarry.sources.code import GROUP, code_of, graphs_of
 from lexquarry.sources.tables import _entries
 
@@ -63,3 +65,21 @@ def test_references_found_by_a_looser_match(spark):
     refs = spark.createDataFrame([("p.nabx",), ("p.other",), ("nab",), ("gone.nab",), (None,)], "ref string")
     got = {r["ref"]: r["resolved"] for r in xref.resolve_refs(c, refs).collect()}
     assert got == {"p.nabx": "p.nabx (a.py:L1)", "p.other": "p.other (a.py:L2)", "nab": "nab", "gone.nab": "gone.nab"}
+
+
+def test_files_are_written_whole(spark, tmp_path):
+    root = tmp_path / "up" / "tree"
+    texts = [("a/b.txt", "one\r\ntwo é"), ("a/c", None), ("d.md", "x" * 3_000_000), ("d.md", "x" * 3_000_000)]
+    fstree.write_files(spark.createDataFrame(texts, "path string, text string").repartition(3), f"file://{root}")
+    found = {str(p.relative_to(root)): p.read_bytes().decode() for p in root.rglob("*") if p.is_file()}
+    assert found == {p: t or "" for p, t in texts}
+    assert [p.name for p in root.parent.iterdir()] == ["tree"]
+    with pytest.raises(Exception, match="escapes"):
+        fstree.write_files(spark.createDataFrame([("../x", "")], "path string, text string"), str(root))
+    assert not (root.parent / "x").exists()
+
+
+def test_local_paths():
+    assert [fstree.local_path(x) for x in ("/a/b", "file:/a/b", "file:///a b/c", "rel/x")] == ["/a/b", "/a/b", "/a b/c", "rel/x"]
+    with pytest.raises(ValueError, match="not a mounted folder"):
+        fstree.local_path("hdfs://host/a")
