@@ -39,6 +39,12 @@ def raw_words(v: Column) -> Column:
     return F.filter(F.split(v, NOT_ALNUM), lambda x: x != "")
 
 
+def word_at(v: Column, i: int) -> Column:
+    """raw_words()[i]; null without it. What stands after the word is not read."""
+    found = F.regexp_extract(v, rf"^[^a-zA-Z0-9]*+(?:[a-zA-Z0-9]++[^a-zA-Z0-9]++){{{i}}}([a-zA-Z0-9]++)", 1)
+    return F.when(found != "", found)
+
+
 def identifier_parts(token: Column) -> Column:
     """The lower-cased token, then its camel-case parts of two or more characters that differ from it."""
     whole = F.lower(token)

@@ -1,7 +1,7 @@
 """The index of a corpus as plain tables: tokens, weighted document terms and collection statistics.
 
-Every text is tokenised once, for `postings`: one row a document and token, with the token's weighted frequency and its count in the
-body. The tables of content tokens, document terms, lengths and statistics follow from it.
+A text is tokenised for `postings`: one row a document and token, with the token's weighted frequency and its count in the
+body. The tables of content tokens, document terms and statistics follow from it; lengths too, where it is held, else from `counts`.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import index_terms, indexed, stem, terms, token_set
+from ..functions.tokens import token_set
 from ..sources.fstree import IGNORED_NAMES, is_text_entry
+from .counts import counted, each_term
 
-#: Field weights of a document's terms, and the constants of BM25.
-W_NAME, W_PATH, W_SYMBOL, W_QUALNAME, W_BODY = 4, 2, 8, 4, 1
+#: The constants of BM25.
 K1, B = 1.5, 0.75
 
 SYMBOLS = (
@@ -50,18 +50,25 @@ class Corpus:
     symbols: DataFrame | None = None
     refs: DataFrame | None = None
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    #: Whether the tables are cached or stored.
+    held: bool = False
 
     def __post_init__(self) -> None:
         spark = self.spark
         if self.symbols is None:
-            self.symbols = spark.createDataFrame([], SYMBOLS)
+            self.symbols = spark.createDataFrame([], SYMBOLS).where(F.lit(False))  # so that joins with it are planned as none
         if self.refs is None:
-            self.refs = spark.createDataFrame([], REFS)
+            self.refs = spark.createDataFrame([], REFS).where(F.lit(False))
 
     @property
     def spark(self) -> SparkSession:
         return self.entries.sparkSession
 
+    @property
+    def has_postings(self) -> bool:
+        """Whether postings are held, so that reading them tokenises nothing."""
+        return self.held and "postings" in self.tables
+
     def __getattr__(self, name: str) -> DataFrame:
         make = _TABLES.get(name)
         if make is None:
@@ -73,7 +80,7 @@ class Corpus:
     def cache(self) -> Corpus:
         """Holds all tables that queries read in executor memory and disk. Postings lie in the order of their terms, in ranges that
         also split frequent terms, so that a query for some terms skips what holds none of them."""
-        self.tables = {}
+        self.tables, self.held = {}, True
         for name in ("entries", "symbols", "refs"):
             setattr(self, name, getattr(self, name).cache())
         for name in ("bodies", "path_tokens", "postings", "term_stats", "doc_lengths", "corpus_stats", "doc_stats"):
@@ -86,6 +93,7 @@ class Corpus:
     def unpersist(self) -> None:
         for df in [self.entries, self.symbols, self.refs, *self.tables.values()]:
             df.unpersist()
+        self.held = False
 
 
 def _bodies(c: Corpus) -> DataFrame:
@@ -98,25 +106,9 @@ def _path_tokens(c: Corpus) -> DataFrame:
     return c.entries.select("path", F.explode(token_set(F.concat_ws(" ", "name", "path"))).alias("token"))
 
 
-def _fields(c: Corpus) -> list[tuple[DataFrame, Column, int]]:
-    """Rows, their tokens and the weight of each field of a document beside its body."""
-    segments = F.split("path", "/")
-    above = F.flatten(F.transform(F.slice(segments, F.lit(1), F.greatest(F.size(segments) - 1, F.lit(0))), index_terms))
-    return [
-        (c.entries, index_terms(stem(F.col("name"))), W_NAME),
-        (c.entries, above, W_PATH),
-        (c.symbols, index_terms(F.col("name")), W_SYMBOL),
-        (c.symbols.where("qualname <> '' and qualname <> name"), index_terms(F.col("qualname")), W_QUALNAME),
-    ]
-
-
 def _postings(c: Corpus) -> DataFrame:
     """(path, term, tf, in_body) of all tokens: weighted occurrences in all fields, 0 for tokens that aren't indexed, and occurrences in the body."""
-    rows = c.bodies.select("path", F.explode(terms(F.col("text"))).alias("term"), F.lit(1).alias("body"), F.lit(0).alias("other"))
-    for df, found, weight in _fields(c):
-        rows = rows.unionByName(df.select("path", F.explode(found).alias("term"), F.lit(0).alias("body"), F.lit(weight).alias("other")))
-    counts = rows.groupBy("path", "term").agg(F.sum("body").alias("in_body"), F.sum("other").alias("other"))
-    return counts.select("path", "term", (F.col("other") + F.when(indexed(F.col("term")), F.col("in_body") * W_BODY).otherwise(0)).alias("tf"), "in_body")
+    return each_term(counted(c), "path")
 
 
 def _content_tokens(c: Corpus) -> DataFrame:
@@ -133,7 +125,9 @@ def _term_stats(c: Corpus) -> DataFrame:
 
 def _doc_lengths(c: Corpus) -> DataFrame:
     """The weighted token counts of the fields. Documents without tokens have no row."""
-    return c.doc_terms.groupBy("path").agg(F.sum("tf").alias("dl"))
+    if c.has_postings:
+        return c.doc_terms.groupBy("path").agg(F.sum("tf").alias("dl"))
+    return counted(c, []).where("dl > 0").select("path", "dl")
 
 
 def _corpus_stats(c: Corpus) -> DataFrame:

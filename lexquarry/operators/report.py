@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from ..functions.tokens import token_set
 from ..sources.fstree import IGNORED_NAMES
 from .corpus import Corpus, hold
+from .counts import counted
 
 
-def _fact(kind: str, key: Column, size: Column | int = 0) -> Column:
+def _fact(kind: str, key: Column, size: Column | int = 0, n: Column | int = 1) -> Column:
     size = F.lit(size) if isinstance(size, int) else F.coalesce(size, F.lit(0))
-    return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), size.cast("long").alias("size"))
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), n.cast("long").alias("n"), size.cast("long").alias("size"))
 
 
 def _rows(df: DataFrame, found: Column) -> DataFrame:
@@ -32,13 +34,15 @@ def facts(c: Corpus, sign: int = 1) -> DataFrame:
     kinds = F.array(_fact("entry", F.col("entry_type"), F.when(F.col("entry_type") == "file", F.col("size_bytes"))))
     named = F.transform(token_set(F.concat_ws(" ", "name", "path")), lambda t: _fact("path_token", t))
     rows = _rows(c.entries, F.concat(kinds, present(_fact("suffix", F.lower("suffix")), _fact("mime", F.lower("mime_type"))), named))
-    document = present(_fact("content_token", F.when(F.col("in_body") > 0, F.col("term"))), _fact("document", F.when(F.col("tf") > 0, F.col("path")), F.col("tf")))
-    rows = rows.unionByName(_rows(c.postings, document))
+    # A document is one fact of as many rows as it has terms, and one for each token of its body.
+    document = F.filter(F.array(_fact("document", F.col("path"), F.col("dl"), F.col("n_terms"))), lambda f: f["n"] > 0)
+    in_body = F.transform(F.filter(F.arrays_zip("terms", "bodies"), lambda t: t["bodies"] > 0), lambda t: _fact("content_token", t["terms"]))
+    rows = rows.unionByName(_rows(counted(c), F.concat(document, in_body)))
     rows = rows.unionByName(_rows(c.bodies, F.array(_fact("text", F.lit(""), F.col("size_bytes")))))
     is_test = F.when(F.coalesce("is_test", F.lit(False)), "test").otherwise("other")
     rows = rows.unionByName(_rows(c.symbols, F.concat(F.array(_fact("symbol", is_test)), present(_fact("python_file", F.col("path"))))))
     rows = rows.unionByName(_rows(c.refs, present(_fact("reference", F.col("name")), _fact("python_file", F.col("path")))))
-    return rows.groupBy("kind", "key").agg((F.count("*") * sign).alias("n"), (F.sum("size") * sign).alias("size"))
+    return rows.groupBy("kind", "key").agg((F.sum("n") * sign).alias("n"), (F.sum("size") * sign).alias("size"))
 
 
 def part(c: Corpus, paths: DataFrame) -> Corpus:

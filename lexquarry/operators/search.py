@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.excerpts import proximity_boost
 from ..functions.tokens import lines, query_terms, under
-from .corpus import K1, Corpus, beside, idf
+from .corpus import K1, Corpus, beside, hold, idf, norm
+from .counts import counted, each_term
 
 
 def suffix_filter(suffix: str) -> Column:
@@ -23,8 +24,8 @@ def prefix_filter(prefix: str) -> Column:
     return under(F.col("path"), "." if prefix == "." else prefix.strip("/"))
 
 
-def candidates(c: Corpus, query: str = "", content_query: str = "", entry_type: str | None = None, suffix: str | None = None, path_prefix: str | None = None) -> DataFrame:
-    """Entries with any token of the query in name or path, and any of the content query in the body, that pass all filters."""
+def candidates(c: Corpus, query: str = "", content_query: str = "", entry_type: str | None = None, suffix: str | None = None, path_prefix: str | None = None, found: DataFrame | None = None) -> DataFrame:
+    """Entries with any token of the query in name or path, and any of the content query in the body, that pass all filters. `found` are the rows of matches() for the content query's tokens."""
     out = c.entries
     for condition in (F.col("entry_type") == entry_type if entry_type else None, suffix_filter(suffix) if suffix else None, prefix_filter(path_prefix) if path_prefix else None):
         if condition is not None:
@@ -39,7 +40,8 @@ def candidates(c: Corpus, query: str = "", content_query: str = "", entry_type:
     cq = content_query.strip().lower()
     if cq:
         tokens = sorted(set(query_terms(cq)))
-        out = out.join(c.content_tokens.where(F.col("token").isin(tokens)).select("path"), "path", "left_semi") if tokens else out.where(F.lit(False))
+        held = c.content_tokens if found is None else each_term(found, "path").where("in_body > 0").withColumnRenamed("term", "token")
+        out = out.join(held.where(F.col("token").isin(tokens)).select("path"), "path", "left_semi") if tokens else out.where(F.lit(False))
     return out
 
 
@@ -52,17 +54,31 @@ def bm25_terms(query: str, content_query: str) -> list[str]:
 LITERALS = 500
 
 
-def scores(c: Corpus, qterms: list[tuple[int, str, int]]) -> DataFrame:
-    """(qid, path, score) of every document that has a term of a query; qterms are (qid, term, repeats).
+def matches(c: Corpus, names: list[str]) -> DataFrame | None:
+    """What the documents hold of some terms, with their lengths (rows of counts.counted), from one pass over the texts; None where postings are held."""
+    return None if c.has_postings else hold(counted(c, sorted(set(names))))
 
-    Only postings of the queries' terms are grouped: the restriction on `term` is pushed below the aggregation of the index.
+
+def scores(c: Corpus, qterms: list[tuple[int, str, int]], found: DataFrame | None = None) -> DataFrame:
+    """(qid, path, score) of every document that has a term of a query; qterms are (qid, term, repeats), `found` the matches() of their terms.
+
+    Texts are read once, and only terms of the queries leave the tasks that count them. Of held postings only those of the queries' terms are read.
     """
     asked = c.spark.createDataFrame(qterms, "qid int, term string, qtf int")
     names = sorted({t for _, t, _ in qterms})
-    some = c.doc_terms.where(F.col("term").isin(names)) if len(names) <= LITERALS else c.doc_terms.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    found = matches(c, names) if found is None else found
+    if found is not None:
+        some = each_term(found, "path", "dl").where("tf > 0")
+        stats = found.where("dl > 0").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+        some = beside(some, stats).withColumn("norm", norm(F.col("dl"), F.col("avgdl"))).drop("dl", "avgdl", "n")
+        rows = some
+    else:
+        some = c.doc_terms.where(F.col("term").isin(names)) if len(names) <= LITERALS else c.doc_terms.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+        stats = c.corpus_stats
+        rows = some.join(c.doc_stats.select("path", "norm"), "path")
     df = some.groupBy("term").agg(F.count("*").alias("df"))
     wanted = F.broadcast(df.join(F.broadcast(asked), "term"))  # as many rows as the queries have terms
-    hits = beside(some.join(wanted, "term").join(c.doc_stats.select("path", "norm"), "path"), c.corpus_stats)
+    hits = beside(rows.join(wanted, "term"), stats)
     gain = F.col("qtf") * idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))
     return hits.groupBy("qid", "path").agg(F.sum(gain).alias("score"))
 
@@ -77,12 +93,13 @@ def top(scored: DataFrame, limit: int) -> DataFrame:
 
 def search(c: Corpus, query: str = "", content_query: str = "", entry_type: str | None = None, suffix: str | None = None, path_prefix: str | None = None, limit: int = 50, proximity: bool = False) -> DataFrame:
     """Entries with `score`, best first."""
-    found = candidates(c, query, content_query, entry_type, suffix, path_prefix)
     terms = bm25_terms(query, content_query)
+    held = matches(c, terms) if terms else None
+    found = candidates(c, query, content_query, entry_type, suffix, path_prefix, held)
     if not terms:
         return top(found.withColumn("score", F.lit(0.0)), limit)
     qterms = [(0, t, n) for t, n in Counter(terms).items()]
-    scored = found.join(scores(c, qterms).drop("qid"), "path", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    scored = found.join(scores(c, qterms, held).drop("qid"), "path", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     if proximity:
         ranked = scored.join(c.bodies.select("path", "text"), "path", "left")
         boost = proximity_boost(F.when(F.col("text").isNotNull(), lines(F.col("text"))), F.array(*[F.lit(t) for t in terms]))

@@ -165,6 +165,7 @@ class Generations:
             "postings": rows.where("tf > 0 or in_body > 0").select("path", "term", "tf", "in_body"), "path_tokens": rows.where("in_path").select("path", F.col("term").alias("token")), "term_stats": ix.terms(),
             "corpus_stats": ix.totals().select(F.coalesce("n", F.lit(0)).alias("n"), "avgdl"), "doc_lengths": rows.where("tf > 0").select("path", "dl").distinct(),
         }
+        c.held = True
         return c
 
     def refresh(self, root: str, entries: DataFrame | None = None, ignore: tuple[str, ...] = IGNORED_NAMES) -> dict:
