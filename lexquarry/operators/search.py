@@ -13,6 +13,15 @@ from .corpus import K1, Corpus, beside, hold, idf, norm
 from .counts import counted, each_term
 
 
+#: Scores that differ by less may be ties: sums of the same gains in another order.
+SAME = 1e-9
+
+
+def by_score() -> Column:
+    """Best first; scores that agree in nine places are ties, whatever order their gains were added in."""
+    return F.round("score", 9).desc()
+
+
 def suffix_filter(suffix: str) -> Column:
     """Whatever the case, with or without dot."""
     s = suffix.lower()
@@ -87,8 +96,8 @@ def top(scored: DataFrame, limit: int) -> DataFrame:
     """The best `limit` rows. At the cut, ties go to the lexicographically larger lower-cased paths; the result is then in ascending order."""
     if limit <= 0:
         return scored.limit(0)
-    cut = scored.orderBy(F.desc("score"), F.lower("path").desc(), F.col("path").desc()).limit(limit)
-    return cut.orderBy(F.desc("score"), F.lower("path"), "path")
+    cut = scored.orderBy(by_score(), F.lower("path").desc(), F.col("path").desc()).limit(limit)
+    return cut.orderBy(by_score(), F.lower("path"), "path")
 
 
 def search(c: Corpus, query: str = "", content_query: str = "", entry_type: str | None = None, suffix: str | None = None, path_prefix: str | None = None, limit: int = 50, proximity: bool = False) -> DataFrame:
@@ -113,7 +122,7 @@ def search_many(c: Corpus, queries: list[str], limit: int = 5) -> DataFrame:
     qterms = c.spark.createDataFrame(rows, "qid int, query string, term string, qtf int")
     found = c.path_tokens.withColumnRenamed("token", "term").join(F.broadcast(qterms.select("qid", "query", "term")), "term").select("qid", "query", "path").distinct()
     scored = found.join(scores(c, [(i, t, n) for i, _, t, n in rows]), ["qid", "path"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    cut = Window.partitionBy("qid").orderBy(F.desc("score"), F.lower("path").desc(), F.col("path").desc())
-    shown = Window.partitionBy("qid").orderBy(F.desc("score"), F.lower("path"), "path")
+    cut = Window.partitionBy("qid").orderBy(by_score(), F.lower("path").desc(), F.col("path").desc())
+    shown = Window.partitionBy("qid").orderBy(by_score(), F.lower("path"), "path")
     kept = scored.withColumn("cut", F.row_number().over(cut)).where(F.col("cut") <= limit)
     return kept.withColumn("rank", F.row_number().over(shown)).drop("cut")

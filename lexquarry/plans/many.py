@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import terms
 from ..operators import grams
 from ..operators.corpus import Corpus, hold
+from ..operators.search import by_score
 from ..operators.stored import StoredIndex
 from .ask import WORD, parse
 
@@ -55,7 +56,7 @@ def _files(ix: StoredIndex, c: Corpus, q: DataFrame) -> DataFrame:
     asked = places.join(bare.select("k1", "k2", "k3").distinct(), ["k1", "k2", "k3"], "left_semi").withColumn("n", F.row_number().over(first)).where("n <= 10").drop("n")
     listed = asked.join(bare, ["k1", "k2", "k3"]).select("qid", "path", F.lit(0.0).alias("score"))
     found = scored.unionByName(allowed(within)).unionByName(listed).join(own.select("qid", "limit", "no_root"), "qid")
-    best = _top(found, [F.desc("score"), F.lower("path").desc(), F.col("path").desc()], F.col("limit"), [F.desc("score"), F.lower("path"), F.col("path")])
+    best = _top(found, [by_score(), F.lower("path").desc(), F.col("path").desc()], F.col("limit"), [by_score(), F.lower("path"), F.col("path")])
     return best.where("not (no_root and path = '.')").select("qid", F.lit("search_files").alias("intent"), "path", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("line"), "score", "rank")
 
 
