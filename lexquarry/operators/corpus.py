@@ -7,6 +7,7 @@ body. The tables of content tokens, document terms and statistics follow from it
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,13 @@ def hold(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_rows(df: DataFrame) -> DataFrame:
+    """The rows as they are now, as Parquet in the shared folder: for many columns and long lists, of which readers take some."""
+    at = f"{shared_folder(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 @dataclass
 class Corpus:
     """entries and texts are given; symbols and refs may be empty. The other tables follow from them, lazily."""
