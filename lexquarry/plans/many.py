@@ -15,6 +15,11 @@ from .ask import WORD, parse
 _RESULT = ["qid", "intent", "path", "name", "line", "score", "rank"]
 
 
+def _kept() -> list[Column]:
+    """The order in which rows of a search are kept."""
+    return [by_score(), F.lower("path").desc(), F.col("path").desc()]
+
+
 def _top(df: DataFrame, order: list[Column], limit: Column, shown: list[Column] | None = None) -> DataFrame:
     """Each question's first `limit` rows in `order`, ranked in the order `shown`."""
     own = Window.partitionBy("qid")
@@ -41,7 +46,11 @@ def _files(ix: StoredIndex, c: Corpus, q: DataFrame) -> DataFrame:
     has = lambda col: F.size(terms(F.col(col))) > 0
     ranked = q.where((has("q") | (F.col("q") == "")) & (has("cq") | (F.col("cq") == "")) & ((F.col("q") != "") | (F.col("cq") != "")))
     allowed = lambda docs: docs.join(entries, "path").join(own, "qid").where(_passes()).select("qid", "path", "score")
-    scored = ix.search_each(ranked.select("qid", "query", "content_query"), 10, allowed)
+    # Questions that ask for the same are searched once, as the first of them; only its best rows go to the others.
+    ranked = ranked.withColumn("first", F.min("qid").over(Window.partitionBy("q", "cq", "want_type", F.lower("want_suffix"), "path_prefix", "limit")))
+    ranked = hold(ranked.select("first", "qid", "query", "content_query", F.greatest("limit", F.lit(10)).alias("most")))
+    scored = ix.search_each(ranked.where("qid = first").select("qid", "query", "content_query"), 10, allowed).join(ranked.where("qid = first").select("qid", "most"), "qid")
+    scored = _top(scored, _kept(), F.col("most")).select(F.col("qid").alias("first"), "path", "score").join(ranked.select("first", "qid"), "first").select("qid", "path", "score")
     # Questions without tokens: what names and paths hold of the query, by grams.
     keys = entries.select("path", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("path")))).alias("key"))
     odd = q.where((F.col("q") != "") & ~has("q") & (F.col("cq") == ""))
@@ -56,7 +65,7 @@ def _files(ix: StoredIndex, c: Corpus, q: DataFrame) -> DataFrame:
     asked = places.join(bare.select("k1", "k2", "k3").distinct(), ["k1", "k2", "k3"], "left_semi").withColumn("n", F.row_number().over(first)).where("n <= 10").drop("n")
     listed = asked.join(bare, ["k1", "k2", "k3"]).select("qid", "path", F.lit(0.0).alias("score"))
     found = scored.unionByName(allowed(within)).unionByName(listed).join(own.select("qid", "limit", "no_root"), "qid")
-    best = _top(found, [by_score(), F.lower("path").desc(), F.col("path").desc()], F.col("limit"), [by_score(), F.lower("path"), F.col("path")])
+    best = _top(found, _kept(), F.col("limit"), [by_score(), F.lower("path"), F.col("path")])
     return best.where("not (no_root and path = '.')").select("qid", F.lit("search_files").alias("intent"), "path", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("line"), "score", "rank")
 
 
