@@ -1,6 +1,7 @@
 """Removal of passages that a document with a smaller id also holds, by suffix automata of reference shards.
 
-Documents are dealt to blocks of about BLOCK_CHARS characters by a hash of their id and text. Four exchanges between blocks and shards find and settle what repeats:
+Documents are dealt to blocks by a hash of their id and text; blocks and shards grow with the root of the input, so that their messages
+grow with the input (`_sizes`). Four exchanges between blocks and shards find and settle what repeats:
 
 1. each block sends the anchors of its windows to shards by anchor (an anchor is the least word 5-gram hash of a
    window, so equal windows have equal anchors), one row a block and shard;
@@ -8,7 +9,7 @@ Documents are dealt to blocks of about BLOCK_CHARS characters by a hash of their
    more than HOT distinct windows, such as those over a short line that many documents have between other words;
 3. blocks send the passages around those anchors, as words, to the shards that own the anchors; a shard's passages
    are its reference text, equal passages once. The shard builds a suffix automaton of them, in ascending order of their
-   first document, and streams every passage through it: the matching statistics give, for every window, the
+   first document, some anchors at a time, and streams every passage through it: the matching statistics give, for every window, the
    smallest document that holds its words. Each window over a hot anchor is a passage of its own and goes by the hash of all
    its words, so such windows spread over all shards and only equal ones meet;
 4. blocks remove the maximal spans of windows that a smaller document holds.
@@ -21,6 +22,7 @@ an anchor. So no task holds all occurrences of anything.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -34,8 +36,10 @@ from ._words import SPACED, Words, grams
 
 #: Words of an anchor. Longer anchors repeat less by chance, shorter ones are fewer.
 ANCHOR = 5
-#: Characters in a block, about; blocks for each shard.
-BLOCK_CHARS, BLOCKS_PER_SHARD = 800_000, 2
+#: Least characters in a block, about; blocks for each shard; characters in a block for each of its messages to shards.
+BLOCK_CHARS, BLOCKS_PER_SHARD, MESSAGE_CHARS = 200_000, 2, 4_000
+#: Words of passages in an automaton, about.
+AUTOMATON_WORDS = 100_000
 #: Distinct windows of an anchor beyond which it is hot.
 HOT = 20_000
 #: Id of rows without one: after all others.
@@ -90,6 +94,12 @@ def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
     return ((anchor.view(np.uint64) >> np.uint64(17)) % np.uint64(shards)).astype(np.int64)
 
 
+def _sizes(chars: int, blocks: int | None = None) -> tuple[int, int]:
+    """Blocks and shards for so many characters. A message goes from each block to each shard: about one for every MESSAGE_CHARS characters."""
+    blocks = blocks or max(1, min(chars // BLOCK_CHARS, math.isqrt(chars * BLOCKS_PER_SHARD // MESSAGE_CHARS)))
+    return blocks, max(1, blocks // BLOCKS_PER_SHARD)
+
+
 class _Block:
     """A block's documents, ascending by id."""
 
@@ -122,11 +132,13 @@ class _Block:
         size = np.diff(np.append(first, len(ok)))
         first, size = first[ok[first]], size[ok[first]]
         a, n = self.start[first], size + window - 1
-        key = np.zeros(len(a), dtype=np.uint64)
+        longest = np.argsort(-n, kind="stable")  # word j is looked up in the runs that have it
+        at, own = a[longest], np.zeros(len(a), dtype=np.uint64)
         mult = np.uint64(0x9E3779B97F4A7C15)
-        for j in range(int(n.max()) if len(n) else 0):
-            at = np.minimum(a + j, len(self.words.hash) - 1)
-            key = np.where(j < n, (key ^ self.words.hash[at]) * mult + np.uint64(j), key)
+        for j, c in enumerate(np.searchsorted(-n[longest], -np.arange(int(n.max()) if len(n) else 0)).tolist()):
+            own[:c] = (own[:c] ^ self.words.hash[at[:c] + j]) * mult + np.uint64(j)
+        key = np.empty_like(own)
+        key[longest] = own
         return first, size, anchor[first], key.view(np.int64)
 
 
@@ -218,6 +230,30 @@ class Automaton:
         return out
 
 
+def _first_docs(known: dict[bytes, list], window: int) -> dict[bytes, list[int]]:
+    """For each passage (first document, anchor) the smallest document with each of its windows. Passages of different anchors share no window,
+    so an automaton takes those of some anchors, and none takes an anchor's only passage."""
+    of: dict[int, list[bytes]] = {}
+    for x, (_, a) in known.items():
+        of.setdefault(a, []).append(x)
+    out: dict[bytes, list[int]] = {}
+    part: list[bytes] = []
+    words = 0
+    for i, own in enumerate(of.values(), 1):
+        if len(own) == 1:
+            out[own[0]] = [known[own[0]][0]] * (own[0].count(b" ") + 2 - window)
+        else:
+            part += own
+            words += sum(x.count(b" ") + 1 for x in own)
+        if part and (words >= AUTOMATON_WORDS or i == len(of)):
+            m = Automaton()
+            for x in sorted(part, key=lambda y: known[y][0]):
+                m.add(x.split(b" "), known[x][0])
+            out |= {x: m.first_docs(x.split(b" "), window) for x in part}
+            part, words = [], 0
+    return out
+
+
 def repeats(docs: DataFrame, window: int = 13, blocks: int | None = None, hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256, and the removed spans of words (start, end).
 
@@ -225,8 +261,7 @@ def repeats(docs: DataFrame, window: int = 13, blocks: int | None = None, hot: i
     with equal ids don't count as earlier than each other; a null id counts as the largest; a null or empty text has no words.
     """
     docs = texts(docs)
-    blocks = blocks or max(1, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)
-    shards = max(1, blocks // BLOCKS_PER_SHARD)
+    blocks, shards = _sizes(0 if blocks else docs.agg(F.sum(F.length("text"))).first()[0] or 0, blocks)
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
     def offer(key: tuple, t: pa.Table) -> pa.Table:
@@ -267,18 +302,19 @@ def repeats(docs: DataFrame, window: int = 13, blocks: int | None = None, hot: i
         order = np.lexsort((doc, h))
         order = order[np.append(True, h[order][1:] != h[order][:-1])] if len(order) else order  # equal passages of the block once, with their first document
         s = _shard(anchor[order], shards)
+        by = np.argsort(s, kind="stable")
+        shard, at = np.unique(s[by], return_index=True)
         w = b.words
         rows = []
-        for k in np.unique(s):
-            own = order[s == k]
+        for k, own in zip(shard.tolist(), np.split(order[by], at[1:]), strict=False):
             body = [w.buf[w.start[b.start[f]] : w.end[b.start[f] + n + window - 2]] for f, n in zip(first[own].tolist(), size[own].tolist(), strict=True)]
             head = _pack(h[own], doc[own], anchor[own])
-            rows.append((int(k), key[0].as_py(), 2, len(head).to_bytes(8, "little") + head + zlib.compress(b"\n".join(b" ".join(x.split()) for x in body), 1)))
+            rows.append((k, key[0].as_py(), 2, len(head).to_bytes(8, "little") + head + zlib.compress(b"\n".join(b" ".join(x.split()) for x in body), 1)))
         return _message(rows)
 
     def match(key: tuple, t: pa.Table) -> pa.Table:
         block = t.column("block").to_pylist()
-        known: dict[bytes, list] = {}  # passage: first document, anchor, number of passages with the anchor
+        known: dict[bytes, list] = {}  # passage: first document, anchor
         each = []
         for raw in t.column("body").to_pylist():
             n = int.from_bytes(raw[:8], "little")
@@ -291,14 +327,7 @@ def repeats(docs: DataFrame, window: int = 13, blocks: int | None = None, hot: i
                     known[x] = [d, a]
                 elif d < got[0]:
                     got[0] = d
-        alone: dict[int, int] = {}
-        for _, a in known.values():
-            alone[a] = alone.get(a, 0) + 1
-        m = Automaton()
-        for x, (d, a) in sorted(known.items(), key=lambda y: y[1][0]):
-            if alone[a] > 1:  # the windows of an anchor's only passage are in no other passage
-                m.add(x.split(b" "), d)
-        answers = {x: m.first_docs(x.split(b" "), window) if alone[a] > 1 else [d] * (x.count(b" ") + 2 - window) for x, (d, a) in known.items()}
+        answers = _first_docs(known, window)
         rows = []
         for i, (h, p) in zip(block, each, strict=True):
             least = [answers[x] for x in p]

@@ -189,3 +189,19 @@ def test_automaton_against_substrings():
             first[tuple(t[s : s + 4])] = d
     for q in [*texts, [b"a", b"b"] * 10, [b"z"] * 6]:
         assert m.first_docs(q, 4) == [first[tuple(q[s : s + 4])] for s in range(len(q) - 3)]
+
+
+def test_messages_grow_with_the_input():
+    """op4: blocks and shards grew with the input, so that their messages, one for each pair, grew with its square; and no automaton has more than some anchors."""
+    for chars in (10**9, 10**10, 10**12):
+        (a, b), (c, d) = substrings._sizes(chars), substrings._sizes(5 * chars)
+        assert 4.9 < c * d / (a * b) < 5.1 and a * b <= chars // 3_900
+    assert substrings._sizes(0) == (1, 1) and substrings._sizes(0, 7) == (7, 3)
+
+
+@pytest.mark.parametrize("words", [1, 10, 100])
+def test_automata_of_some_anchors(monkeypatch, words):
+    monkeypatch.setattr(substrings, "AUTOMATON_WORDS", words)
+    known = {b"a b c": [5, 1], b"b c d": [3, 1], b"x y z": [2, 2], b"q r s": [4, 3], b"q r s t": [9, 3], b"u v": [7, 4]}
+    want = {b"a b c": [5, 3], b"b c d": [3, 3], b"x y z": [2, 2], b"q r s": [4, 4], b"q r s t": [4, 4, 9], b"u v": [7]}
+    assert substrings._first_docs(known, 2) == want and substrings._first_docs({}, 2) == {}
