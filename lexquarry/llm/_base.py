@@ -15,6 +15,11 @@ from ..functions.tokens import let
 #: A key is hot from this share of a table's rows on, so that at most as many keys are hot as the share's inverse says.
 HOT_SHARE = 1 / 200
 
+#: Edges that one task takes through the rounds of components(): dealt over all partitions, so few are hundreds of files a round.
+FEW_EDGES = 50_000
+#: Tasks that read the keys with over 1000 rows, once they are counted.
+HOT_TASKS = 8
+
 #: Characters of text handled at once by a Python batch; a longer text is a batch of its own.
 SLICE_CHARS = 1 << 21
 
@@ -60,7 +65,7 @@ def hot_keys(big: DataFrame, on: list[str], counts: DataFrame | None = None) ->
     """(on, salts) of the keys with over 1000 rows that hold HOT_SHARE or more of all such keys' rows: at most 200. `counts` (on, n),
     if the rows are counted already."""
     counts = big.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts.select(*on, "n")
-    counts = settle(counts.where("n > 1000"))
+    counts = settle(counts.where("n > 1000")).coalesce(HOT_TASKS)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return counts.where(F.col("n") >= max(1000.0, total * HOT_SHARE)).select(*on, F.ceil(F.col("n") / F.lit(max(500.0, total * HOT_SHARE / 4))).cast("int").alias("salts"))
 
@@ -69,7 +74,7 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: list[st
     """big joined with small on keys that are not null. The rows of a hot key of `big` are dealt over several tasks by a hash of
     `spread`, and the key's rows of `small`, of which there are few, go to each of them. `how` is inner or left."""
     hot = hot_keys(big, on, counts)
-    if not hot.limit(1).count():
+    if hot.isEmpty():
         return big.join(small, on, how)
     hot = F.broadcast(hot)  # HOT_SHARE bounds its rows
     cold = big.join(hot.select(*on), on, "left_anti").join(small, on, how)
@@ -114,22 +119,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of `edges` (a, b: long); the component is its smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), both as grouped minima and equi-joins, until
-    every edge leads to a smallest node. Edges stay distributed; only their count and two digests of 64 bits reach the driver.
+    every edge leads to a smallest node. Edges stay distributed, unless they are FEW_EDGES at most: those lie in one partition, which no step
+    deals out. Only the edges' count and two digests of 64 bits reach the driver.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = settle(e)
-    seen = None
+    few = e.count() <= FEW_EDGES
+    together, beside = (lambda df: df.coalesce(1), F.broadcast) if few else (lambda df: df, lambda df: df)
+    e, seen = together(e), None
     for _ in range(max_rounds):
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = together(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         low = both.groupBy("a").agg(F.min("b").alias("m0")).select("a", F.least("a", "m0").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(beside(low), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        e = settle(small)
+        small = large.join(beside(least), "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        e = together(settle(together(small).distinct()))
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break
         seen = tuple(now)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component")))
+    return together(e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))))

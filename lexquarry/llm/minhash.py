@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rest = settle(rest.select("bucket", F.least("block", "peer").alias("i"), F.greatest("block", "peer").alias("j"), "block", "rep", "label"))
     with_text = salted_join(rest, docs.select(F.col("doc_id").alias("rep"), "text"), ["rep"], ["bucket", "i", "j"])
     more = settle(with_text.groupBy("bucket", "i", "j").applyInArrow(_compare(k, percent), "a long, b long"))
-    if more.limit(1).count():
+    if not more.isEmpty():
         groups = settle(components(links.union(more)))
 
     classes = classes.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lexquarry.llm import minhash, substrings
+from lexquarry.llm import _base, minhash, substrings
 from lexquarry.llm._base import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,6 +93,18 @@ def test_components_of_paths_and_stars(spark):
     assert {got[i] for i in range(1, 41)} == {1} and {got[i] for i in range(100, 140)} == {100}
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_components_of_few_and_many_edges(spark, monkeypatch, few):
+    """op2: a few thousand edges went to all partitions several times a round, hundreds of files each."""
+    monkeypatch.setattr(_base, "FEW_EDGES", few)
+    plans = []
+    monkeypatch.setattr(_base, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df.checkpoint(eager=True))
+    edges = [(i, i + 1) for i in range(1, 40)] + [(90, i) for i in range(91, 99)] + [(98, 70), (7, 7), (2**40, -5), (3, 4)]
+    got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {**{i: 1 for i in range(1, 41)}, **{i: 70 for i in [70, *range(90, 99)]}, 2**40: -5, -5: -5}
+    assert len(plans) > 2 and all(("hashpartitioning" in p) == (few == 0) for p in plans[1:])
+
+
 def brute_repeats(rows, n=13):
     words = [(r[0], WORD.findall(r[1] or "")) for r in rows]
     key = lambda i: 2**63 if i is None else i
