@@ -91,7 +91,8 @@ def _sketch(docs: DataFrame, k: int, rows: int) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked."""
+    """The pairs (a, b) whose full sets are linked. Texts move once, by id, for both sides."""
+    docs = docs.repartition("doc_id")
     one, two = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), docs.select(F.col("doc_id").alias("b"), F.col("text").alias("other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

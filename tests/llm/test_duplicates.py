@@ -73,6 +73,16 @@ def test_blocks_find_all_links(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_texts_move_once_for_both_sides_of_pairs(spark):
+    """op2: the texts of both sides were moved apart."""
+    rows = [(i, f"a b c d e {i // 2}") for i in range(6)]
+    pairs = spark.createDataFrame([(1, 0), (2, 0), (5, 4)], "a long, b long")
+    got = minhash._confirm(pairs, spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 2  # the same rows by the same key: made once
+    assert sorted(map(tuple, got.collect())) == [(1, 0), (5, 4)]
+
+
 def test_densified_bins_keep_likeness():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
