@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm import contamination, minhash, packing, secrets, toxicity
-from lexquarry.llm._base import table
+from lexquarry.llm._base import settle, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
     groups = minhash.near_duplicates(docs, k=5, percent=80)
-    kept = groups.where("kept and doc_id is not null").select("doc_id").distinct()
+    # Settled, so that the stages that find the ids and those that move the texts don't start, and broadcast, together.
+    kept = settle(groups.where("kept and doc_id is not null").select("doc_id").distinct())
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 

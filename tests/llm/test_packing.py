@@ -142,3 +142,14 @@ def test_stages_take_extra_columns_and_nulls(spark, docs, rows):
         assert 0 < out.count() <= len(rows), name
         empty = stage(spark, docs.limit(0), "/root/testdata/sf0.001")
         assert empty.count() == 0, name
+
+
+def test_kept_ids_are_found_before_texts_move(spark):
+    """pipeline: the last stages of the near-duplicate groups ran in one execution with the join that moves the texts."""
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (None, "g"), (3, None)], "doc_id long, text string")
+    out = p.drop_near_duplicates(spark, docs, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "class_id" not in plan and "d0" not in plan
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, "a b c d e f"), (3, None), (None, "g")]
