@@ -17,9 +17,9 @@ from .counts import counted, each_term
 SAME = 1e-9
 
 
-def by_score() -> Column:
-    """Best first; scores that agree in nine places are ties, whatever order their gains were added in."""
-    return F.round("score", 9).desc()
+def by_score(places: int = 9) -> Column:
+    """Best first; scores that agree in nine places are ties, whatever order their gains were added in. Fewer places are for results that show no more."""
+    return F.round("score", places).desc()
 
 
 def suffix_filter(suffix: str) -> Column:
@@ -92,28 +92,28 @@ def scores(c: Corpus, qterms: list[tuple[int, str, int]], found: DataFrame | Non
     return hits.groupBy("qid", "path").agg(F.sum(gain).alias("score"))
 
 
-def top(scored: DataFrame, limit: int) -> DataFrame:
+def top(scored: DataFrame, limit: int, places: int = 9) -> DataFrame:
     """The best `limit` rows. At the cut, ties go to the lexicographically larger lower-cased paths; the result is then in ascending order."""
     if limit <= 0:
         return scored.limit(0)
-    cut = scored.orderBy(by_score(), F.lower("path").desc(), F.col("path").desc()).limit(limit)
-    return cut.orderBy(by_score(), F.lower("path"), "path")
+    cut = scored.orderBy(by_score(places), F.lower("path").desc(), F.col("path").desc()).limit(limit)
+    return cut.orderBy(by_score(places), F.lower("path"), "path")
 
 
-def search(c: Corpus, query: str = "", content_query: str = "", entry_type: str | None = None, suffix: str | None = None, path_prefix: str | None = None, limit: int = 50, proximity: bool = False) -> DataFrame:
-    """Entries with `score`, best first."""
+def search(c: Corpus, query: str = "", content_query: str = "", entry_type: str | None = None, suffix: str | None = None, path_prefix: str | None = None, limit: int = 50, proximity: bool = False, places: int = 9) -> DataFrame:
+    """Entries with `score`, best first; scores that agree in so many places are ties."""
     terms = bm25_terms(query, content_query)
     held = matches(c, terms) if terms else None
     found = candidates(c, query, content_query, entry_type, suffix, path_prefix, held)
     if not terms:
-        return top(found.withColumn("score", F.lit(0.0)), limit)
+        return top(found.withColumn("score", F.lit(0.0)), limit, places)
     qterms = [(0, t, n) for t, n in Counter(terms).items()]
     scored = found.join(scores(c, qterms, held).drop("qid"), "path", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     if proximity:
         ranked = scored.join(c.bodies.select("path", "text"), "path", "left")
         boost = proximity_boost(F.when(F.col("text").isNotNull(), lines(F.col("text"))), F.array(*[F.lit(t) for t in terms]))
         scored = ranked.withColumn("score", F.col("score") + boost).drop("text")
-    return top(scored, limit)
+    return top(scored, limit, places)
 
 
 def search_many(c: Corpus, queries: list[str], limit: int = 5) -> DataFrame:
