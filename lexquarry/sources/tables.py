@@ -18,7 +18,7 @@ def _entries(files: DataFrame, root_name: str) -> DataFrame:
     rows = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.lit("file").alias("entry_type"), "size_bytes").unionByName(folders).unionByName(root)
     rows = rows.withColumn("suffix", F.when(F.col("path") != ".", suffix_of(F.col("name"))))
     mime = F.create_map(*[F.lit(x) for s in TEXT_SUFFIXES for x in (s, mime_of(s) or "text/plain")])
-    return rows.withColumn("mime_type", F.get(F.map_values(F.map_filter(mime, lambda k, _: k == F.lower(F.col("suffix")))), F.lit(0))).withColumn("parent_path", parent_path(F.col("path"))).withColumn("walk_key", walk_key(F.col("path")))
+    return rows.withColumn("mime_type", F.element_at(mime, F.lower("suffix"))).withColumn("parent_path", parent_path(F.col("path"))).withColumn("walk_key", walk_key(F.col("path")))
 
 
 def document_paths(documents: DataFrame) -> DataFrame:
